@@ -1,46 +1,14 @@
-"""Reading input tables and cutting lineage."""
+"""Reading input tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_UNSET: dict[str, str] = {}
+from fellpath.plans.staging import fresh_path, materialise, shared_dir
+
+__all__ = ["fresh_path", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir``, read through Spark only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver see.
-
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset
-    (single-machine tests) a temporary folder of this machine stands in.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _UNSET:
-        _UNSET["dir"] = tempfile.mkdtemp(prefix="fellpath-")
-    return _UNSET["dir"]
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path of its own for one intermediate table or archive set."""
-    return f"{shared_dir(spark)}/fellpath/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
-
-    It cuts lineage like ``checkpoint()``, survives the loss of executors, and
-    gives the following joins true sizes.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fellpath.llm import langid
+from fellpath.llm import langid, shingle_join
 from fellpath.llm._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,13 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op7_langid": op7_langid,
+    "op8_shingle_join": op8_shingle_join,
 }
 
 #: None of these can be written in SQL; tests/llm holds them against brute force.
