@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fellpath.llm import langid, shingle_join
+from fellpath.llm import decontaminate, langid, shingle_join
 from fellpath.llm._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, where=~langid.held_out())
@@ -24,6 +28,7 @@ def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_decontaminate": op3_decontaminate,
     "op7_langid": op7_langid,
     "op8_shingle_join": op8_shingle_join,
 }
