@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fellpath.llm import decontaminate, langid, shingle_join
+from fellpath.llm import decontaminate, langid, mixing, shingle_join
 from fellpath.llm._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,16 @@ def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op7_langid": op7_langid,
     "op8_shingle_join": op8_shingle_join,
+    "op9_mixing": op9_mixing,
 }
 
 #: None of these can be written in SQL; tests/llm holds them against brute force.
