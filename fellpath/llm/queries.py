@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fellpath.llm import decontaminate, langid, mixing, shingle_join
+from fellpath.llm import decontaminate, langid, mixing, sanitise, shingle_join
 from fellpath.llm._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.detect(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", sanitise.digest(found["base"])).drop("base")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, where=~langid.held_out())
@@ -34,6 +39,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
+    "op5_sanitise": op5_sanitise,
     "op7_langid": op7_langid,
     "op8_shingle_join": op8_shingle_join,
     "op9_mixing": op9_mixing,
