@@ -43,7 +43,9 @@ WIDTH, NUM, DEN = 5, 80, 100
 #: Share of documents from which a shingle is frequent, and how many are kept.
 FREQUENT, MOST_FREQUENT = 0.0005, 65_536
 #: Bits of a signature, rows of a tile's block.
-SIGNATURE_BITS, BLOCK_ROWS = 1024, 1024
+SIGNATURE_BITS, BLOCK_ROWS = 1024, 512
+#: Pairs of tiles that are compared in one numpy step.
+PAIRS_AT_ONCE = 500_000
 #: Ids up to this count are broadcast to select texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -174,28 +176,35 @@ def _tiles(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     rows = rows.join(sets.select("id", "sig"), "id")
 
-    def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.drop_duplicates(["id", "sig"])
-        sig = np.frombuffer(b"".join(tile["sig"]), np.uint64).reshape(len(tile), -1)
-        ids, n, root = (tile[c].to_numpy(np.int64) for c in ("id", "n", "root"))
-        own = tile["own"].to_numpy(np.int64) == tile["band"].iat[0]
-        block, within = tile["block"].to_numpy(np.int64), tile["lo"].iat[0] == tile["hi"].iat[0]
-        a, b = [], []
-        for i in range(len(tile) - 1):
-            at = np.flatnonzero((root[i + 1 :] != root[i]) & (own[i + 1 :] | own[i]) & (within | (block[i + 1 :] != block[i]))) + i + 1
-            if len(at):
-                small, large = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
-                at = at[den * small >= num * large]
-                differing = np.bitwise_count(sig[at] ^ sig[i]).sum(1, dtype=np.int64)
-                at = at[_may_link(n[at], n[i], differing, num, den)]
-                a.append(np.minimum(ids[at], ids[i]))
-                b.append(np.maximum(ids[at], ids[i]))
-        if not a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    tiles = rows.select("h", "band", "lo", "hi", "id", "n", "root", "own", "block", "sig").groupBy("h", "band", "lo", "hi")
-    return tiles.applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+    tiles = rows.groupBy("h", "band", "lo", "hi").agg(F.collect_list(F.struct("id", "n", "root", (F.col("own") == F.col("band")).alias("own"), "block", "sig")).alias("x"))
+    tiles = tiles.where(F.size("x") > 1).select((F.col("lo") == F.col("hi")).alias("within"), *(F.col(f"x.{c}").alias(c) for c in ("id", "n", "root", "own", "block", "sig")))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows_in = batch["id"].map(len).to_numpy()
+            for m in np.unique(rows_in).tolist():
+                same = batch[rows_in == m]
+                i, j = np.triu_indices(m, 1)
+                at_once = max(1, PAIRS_AT_ONCE // len(i))
+                for k in range(0, len(same), at_once):
+                    yield _compare(same.iloc[k : k + at_once], i, j, num, den)
+
+    return tiles.mapInPandas(compare, "a long, b long").where("a <> b").distinct()
+
+
+def _compare(tiles: pd.DataFrame, i: np.ndarray, j: np.ndarray, num: int, den: int) -> pd.DataFrame:
+    """Pairs (i, j) of each of several tiles with equal numbers of rows that may link."""
+    ids, n, root, block = (np.stack(tiles[c].to_list()).astype(np.int64) for c in ("id", "n", "root", "block"))
+    own, within = np.stack(tiles["own"].to_list()).astype(bool), tiles["within"].to_numpy(bool)[:, None]
+    small, large = np.minimum(n[:, i], n[:, j]), np.maximum(n[:, i], n[:, j])
+    open_ = (root[:, i] != root[:, j]) & (own[:, i] | own[:, j]) & (within | (block[:, i] != block[:, j])) & (den * small >= num * large)
+    t, p = np.nonzero(open_)
+    sig = np.frombuffer(b"".join(x for row in tiles["sig"] for x in row), np.uint64).reshape(*ids.shape, -1)
+    x, y = (t, i[p]), (t, j[p])
+    differing = np.bitwise_count(sig[x] ^ sig[y]).sum(1, dtype=np.int64)
+    near = _may_link(n[x], n[y], differing, num, den)
+    a, b = ids[x][near], ids[y][near]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
