@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fellpath.llm import decontaminate, langid, mixing, sanitise, shingle_join
+from fellpath.llm import chunk_dedup, decontaminate, langid, mixing, sanitise, shingle_join
 from fellpath.llm._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", sanitise.digest(found["base"])).drop("base")
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.shared_regions(table(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, where=~langid.held_out())
@@ -40,6 +44,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_sanitise": op5_sanitise,
+    "op6_chunk_dedup": op6_chunk_dedup,
     "op7_langid": op7_langid,
     "op8_shingle_join": op8_shingle_join,
     "op9_mixing": op9_mixing,
