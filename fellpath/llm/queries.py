@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fellpath.llm import chunk_dedup, decontaminate, langid, mixing, sanitise, shingle_join
+from fellpath.llm import chunk_dedup, decontaminate, knn_join, langid, mixing, sanitise, shingle_join
 from fellpath.llm._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +47,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_voronoi_knn": op2_voronoi_knn,
     "op3_decontaminate": op3_decontaminate,
     "op5_sanitise": op5_sanitise,
     "op6_chunk_dedup": op6_chunk_dedup,
@@ -50,5 +56,21 @@ QUERIES: dict[str, Query] = {
     "op9_mixing": op9_mixing,
 }
 
-#: None of these can be written in SQL; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others cannot be written in SQL; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_voronoi_knn": """
+        WITH valid AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+          FROM embeddings
+          WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+          FROM valid q JOIN valid d ON q.vec_id <> d.vec_id
+          WHERE q.vec_id % 50 = 0),
+        ranked AS (
+          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+          FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}
