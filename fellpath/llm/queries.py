@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fellpath.llm import chunk_dedup, decontaminate, knn_join, langid, mixing, sanitise, shingle_join
+from fellpath.llm import chunk_dedup, decontaminate, knn_join, langid, mixing, sanitise, shingle_join, url_filter
 from fellpath.llm._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+RULES = [url_filter.parse_rule(*r) for r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -47,6 +55,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
     "op2_voronoi_knn": op2_voronoi_knn,
     "op3_decontaminate": op3_decontaminate,
     "op5_sanitise": op5_sanitise,
