@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fellpath.llm import chunk_dedup, decontaminate, knn_join, langid, mixing, sanitise, shingle_join, url_filter
+from fellpath.llm import chunk_dedup, decontaminate, knn_join, langid, mixing, sanitise, shingle_join, url_filter, warc_zst
 from fellpath.llm._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc_zst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc_zst.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.detect(table(spark, sf_dir, "documents"))
     return found.withColumn("base_sha256", sanitise.digest(found["base"])).drop("base")
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_voronoi_knn": op2_voronoi_knn,
     "op3_decontaminate": op3_decontaminate,
+    "op4_warc_zst": op4_warc_zst,
     "op5_sanitise": op5_sanitise,
     "op6_chunk_dedup": op6_chunk_dedup,
     "op7_langid": op7_langid,
