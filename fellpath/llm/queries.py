@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fellpath.llm import chunk_dedup, decontaminate, knn_join, langid, mixing, sanitise, shingle_join, url_filter, warc_zst
+from fellpath.llm import chunk_dedup, decontaminate, knn_join, langid, mixing, pseudo_likelihood, sanitise, shingle_join, url_filter, warc_zst
 from fellpath.llm._tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+
+
 RULES = [url_filter.parse_rule(*r) for r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
 
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op7_langid": op7_langid,
     "op8_shingle_join": op8_shingle_join,
     "op9_mixing": op9_mixing,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
 #: The others cannot be written in SQL; tests/llm holds them against brute force.
