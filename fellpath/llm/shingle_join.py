@@ -56,28 +56,36 @@ def _sets(batch: pd.DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, own
 
 
+def _signature(own: np.ndarray) -> bytes:
+    """A bitmap with one hashed bit per shingle."""
+    bits = np.zeros(SIGNATURE_BITS, np.uint8)
+    bits[(own >> np.uint64(40)).astype(np.int64) % SIGNATURE_BITS] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _sizes_and_frequent(docs: DataFrame, width: int) -> DataFrame:
-    """A row (id, n, d1, d2) per document, and rows (h, seen) of shingles that
+    """A row (id, n, d1, d2, sig) per document, and rows (h, seen) of shingles that
     many documents of one batch share."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, d1, d2, held = [], [], [], []
+            n, d1, d2, sig, held = [], [], [], [], []
             for _, own in _sets(batch, width):
                 n.append(len(own))
                 d1.append(own.sum(dtype=np.uint64))
                 d2.append(mix64(own).sum(dtype=np.uint64))
+                sig.append(_signature(own))
                 held.append(own)
-            yield pd.DataFrame({"id": batch["id"], "gone": batch["gone"], "n": pd.array(n, "Int32"), "d1": pd.array(np.array(d1, np.uint64).view(np.int64), "Int64"), "d2": pd.array(np.array(d2, np.uint64).view(np.int64), "Int64"), "h": pd.array([None] * len(n), "Int64"), "seen": pd.array([None] * len(n), "Int64")})
+            yield pd.DataFrame({"id": batch["id"], "gone": batch["gone"], "n": pd.array(n, "Int32"), "d1": pd.array(np.array(d1, np.uint64).view(np.int64), "Int64"), "d2": pd.array(np.array(d2, np.uint64).view(np.int64), "Int64"), "sig": sig, "h": pd.array([None] * len(n), "Int64"), "seen": pd.array([None] * len(n), "Int64")})
             every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
             del held
             edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True]))) if len(every) else np.zeros(1, np.int64)
             runs = np.diff(edge)
             often = np.flatnonzero(runs >= max(3, FREQUENT * len(batch)))
             if len(often):
-                yield pd.DataFrame({"id": np.zeros(len(often), np.int64), "gone": True, "n": pd.array([None] * len(often), "Int32"), "d1": pd.array([None] * len(often), "Int64"), "d2": pd.array([None] * len(often), "Int64"), "h": pd.array(every[edge[often]].view(np.int64), "Int64"), "seen": pd.array(runs[often], "Int64")})
+                yield pd.DataFrame({"id": np.zeros(len(often), np.int64), "gone": True, "n": pd.array([None] * len(often), "Int32"), "d1": pd.array([None] * len(often), "Int64"), "d2": pd.array([None] * len(often), "Int64"), "sig": None, "h": pd.array(every[edge[often]].view(np.int64), "Int64"), "seen": pd.array(runs[often], "Int64")})
 
-    return docs.mapInPandas(scan, "id long, gone boolean, n int, d1 long, d2 long, h long, seen long")
+    return docs.mapInPandas(scan, "id long, gone boolean, n int, d1 long, d2 long, sig binary, h long, seen long")
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den: int) -> DataFrame:
@@ -113,22 +121,6 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den:
     return docs.mapInPandas(prefix, "h long, id long, n int")
 
 
-def _full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (id, n, sig, shingles) with the bitmap signature and sorted array."""
-
-    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = [s for _, s in _sets(batch, width)]
-            sig = []
-            for s in own:
-                bits = np.zeros(SIGNATURE_BITS, np.uint8)
-                bits[(s >> np.uint64(40)).astype(np.int64) % SIGNATURE_BITS] = 1
-                sig.append(np.packbits(bits).tobytes())
-            yield pd.DataFrame({"id": batch["id"], "n": np.array([len(s) for s in own], np.int32), "sig": sig, "shingles": [s.view(np.int64) for s in own]})
-
-    return docs.mapInPandas(full, "id long, n int, sig binary, shingles array<long>")
-
-
 def _may_link(na: np.ndarray, nb: np.ndarray, differing: np.ndarray, num: int, den: int) -> np.ndarray:
     """Each differing bit stands for at least one shingle of one side only, so
     2 * overlap <= na + nb - differing; a link needs (num + den) * overlap >=
@@ -136,8 +128,12 @@ def _may_link(na: np.ndarray, nb: np.ndarray, differing: np.ndarray, num: int, d
     return (num + den) * (na + nb - differing) >= 2 * num * (na + nb)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The links among candidate ``pairs`` (a, b)."""
+def _confirm(pairs: DataFrame, sized: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The links among candidate ``pairs`` (a, b), both ends distinct.
+
+    Only the few pairs that pass the bitmap bound fetch their texts, which are
+    smaller than their arrays of shingles.
+    """
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,23 +144,29 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     def intersect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch["s_a"], batch["s_b"], strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.loc[np.array(linked, bool), ["a", "b"]]
-
-    def sides(rows: DataFrame, *columns: str) -> DataFrame:
-        for side in "ab":
-            rows = rows.join(sets.select(F.col("id").alias(side), *(F.col(c).alias(f"{'s' if c == 'shingles' else c}_{side}") for c in columns)), side)
-        return rows
-
-    near = sides(pairs, "n", "sig").select("n_a", "sig_a", "n_b", "sig_b", "a", "b").mapInPandas(bound, "a long, b long").distinct()
-    near = materialise(near, "pairs")
-    return sides(near, "shingles").select("s_a", "s_b", "a", "b").mapInPandas(intersect, "a long, b long").distinct()
-
-
-def _tiles(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+            for k in range(0, len(batch), 512):
+                part = batch.iloc[k : k + 512]
+                sets = [[own for _, own in _sets(part.rename(columns={f"t_{side}": "text"}), width)] for side in "ab"]
+                linked = []
+                for x, y in zip(*sets, strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(den * both >= num * (len(x) + len(y) - both))
+                yield part.loc[np.array(linked, bool), ["a", "b"]]
+
+    near = pairs
+    for side in "ab":
+        near = near.join(sized.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
+    near = materialise(near.select("n_a", "sig_a", "n_b", "sig_b", "a", "b").mapInPandas(bound, "a long, b long").distinct(), "near-pairs")
+    ids = materialise(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "near-ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = materialise(rows.join(ids, "id", "left_semi").select("id", "text").distinct(), "near-texts")
+    for side in "ab":
+        near = near.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"t_{side}")), side)
+    return materialise(near.select("t_a", "t_b", "a", "b").mapInPandas(intersect, "a long, b long").distinct(), "links")
+
+
+def _tiles(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs (a, b) of different classes that share ``h``; ``rows``: h, id, n, root."""
     step = float(np.log(den / num)) if den > num else 1.0
     band = F.floor(F.log(F.col("n")) / F.lit(step)).cast("int")
@@ -174,7 +176,7 @@ def _tiles(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     rows = rows.join(counts, ["h", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    rows = rows.join(sets.select("id", "sig"), "id")
+    rows = rows.join(held.select("id", "sig"), "id")
 
     tiles = rows.groupBy("h", "band", "lo", "hi").agg(F.collect_list(F.struct("id", "n", "root", (F.col("own") == F.col("band")).alias("own"), "block", "sig")).alias("x"))
     tiles = tiles.where(F.size("x") > 1).select((F.col("lo") == F.col("hi")).alias("within"), *(F.col(f"x.{c}").alias(c) for c in ("id", "n", "root", "own", "block", "sig")))
@@ -213,7 +215,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key = F.col(doc_id).cast("long")
     rows = docs.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("gone"), F.col(text).cast("string").alias("text"))
     first = materialise(_sizes_and_frequent(rows, width), "shingle-sizes")
-    sized = first.where(F.col("n").isNotNull()).select("id", "gone", "n", "d1", "d2")
+    sized = first.where(F.col("n").isNotNull()).select("id", "gone", "n", "d1", "d2", "sig")
     n_docs = sized.count()
     frequent = first.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(4, FREQUENT * n_docs))
     frequent = frequent.orderBy(F.desc("seen"), "h").limit(MOST_FREQUENT).toPandas()["h"].to_numpy(np.int64).view(np.uint64)
@@ -221,7 +223,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = sized.where("n > 0 and not gone").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("d1", "d2", "n", "rep")
     equal = materialise(sized.join(copies, ["d1", "d2", "n"]).where("not gone and id <> rep").select("id", "rep").distinct(), "equal-sets")
 
-    posts = materialise(_prefixes(rows.where("not gone").select("id", "text"), frequent, width, num, den), "prefixes")
+    present = rows.where("not gone").select("id", "text")
+    posts = _prefixes(present, frequent, width, num, den)
     several = posts.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
     shared = posts.join(several, "h", "left_semi").join(equal, "id", "left").select("h", F.coalesce("rep", "id").alias("id"), "n").distinct()
     shared = materialise(shared, "shared-prefixes")
@@ -230,22 +233,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = pairs.where(den * F.least("n", "lead.n") >= num * F.greatest("n", "lead.n"))
     pairs = materialise(pairs.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
 
-    alive = materialise(shared.join(leaders.select("h"), "h", "left_semi").select("id").distinct(), "involved")
-    if alive.count() <= BROADCAST_IDS:
-        alive = F.broadcast(alive)
-    sets = materialise(_full_sets(rows.where("not gone").join(alive, "id", "left_semi").select("id", "text"), width), "full-sets")
-
-    links = materialise(_confirm(pairs, sets, num, den), "links")
+    held = sized.where("n > 0 and not gone").select("id", "n", "sig").distinct()
+    links = _confirm(pairs, held, present, width, num, den)
     classes = connected_components(links, "a", "b")
     spread = shared.join(classes.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = spread.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
     spread = materialise(spread.join(mixed, "h", "left_semi"), "mixed-prefixes")
-    further = _tiles(spread, sets, num, den).join(pairs, ["a", "b"], "left_anti")
-    more = materialise(_confirm(further, sets, num, den), "links")
+    further = _tiles(spread, held, num, den).join(pairs, ["a", "b"], "left_anti")
+    more = _confirm(further, held, present, width, num, den)
 
     edges = links.union(more).union(equal.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     roots = connected_components(edges, "a", "b")
-    out = sized.join(roots, sized["id"] == roots["node"], "left")
+    out = sized.select("id", "gone", "n").join(roots, F.col("id") == F.col("node"), "left")
     own = F.when(~F.col("gone"), F.col("id"))
     root = F.when(~F.col("gone"), F.coalesce("root", "id"))
     return out.select(own.alias(doc_id), F.col("n").cast("long").alias("n_shingles"), root.alias("component_id"))
