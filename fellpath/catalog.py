@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from fellpath.plans import network_queries
+from fellpath.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES"]
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+ENTRY = network_queries.nearest_snap
