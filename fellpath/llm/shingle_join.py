@@ -28,6 +28,7 @@ links with nothing; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ WIDTH, NUM, DEN = 5, 80, 100
 FREQUENT, MOST_FREQUENT = 0.0005, 65_536
 #: Bits of a signature, rows of a tile's block.
 SIGNATURE_BITS, BLOCK_ROWS = 1024, 512
+#: Shingles of the texts that meet in one task to be intersected.
+TILE_SHINGLES = 300_000
 #: Pairs of tiles that are compared in one numpy step.
 PAIRS_AT_ONCE = 500_000
 #: Ids up to this count are broadcast to select texts; more are joined by shuffle.
@@ -131,8 +134,11 @@ def _may_link(na: np.ndarray, nb: np.ndarray, differing: np.ndarray, num: int, d
 def _confirm(pairs: DataFrame, sized: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The links among candidate ``pairs`` (a, b), both ends distinct.
 
-    Only the few pairs that pass the bitmap bound fetch their texts, which are
-    smaller than their arrays of shingles.
+    Pairs that pass the bitmap bound are grouped by the components they form.
+    Small components share a bucket, large ones are cut into blocks by pairs of
+    id hashes, so every text travels once to each bucket or block pair that
+    needs it, and what meets in one task is bounded. Pairs that earlier links
+    of the same task connect already are not decided again.
     """
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,28 +148,54 @@ def _confirm(pairs: DataFrame, sized: DataFrame, rows: DataFrame, width: int, nu
                 differing = np.bitwise_count(x).reshape(len(batch), -1).sum(1, dtype=np.int64)
                 yield batch.loc[_may_link(batch["n_a"].to_numpy(np.int64), batch["n_b"].to_numpy(np.int64), differing, num, den), ["a", "b"]]
 
-    def intersect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.iloc[k : k + 512]
-                sets = [[own for _, own in _sets(part.rename(columns={f"t_{side}": "text"}), width)] for side in "ab"]
-                linked = []
-                for x, y in zip(*sets, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(den * both >= num * (len(x) + len(y) - both))
-                yield part.loc[np.array(linked, bool), ["a", "b"]]
+    def decide(texts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, list[np.ndarray]] = defaultdict(list)
+        ids = texts["id"].tolist()
+        for i, own in _sets(texts, width):
+            held[ids[i]].append(own)
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        linked = []
+        for a, b in zip(asked["a"].tolist(), asked["b"].tolist(), strict=True):
+            if top(a) != top(b) and any(_linked(x, y, num, den) for x in held[a] for y in held[b]):
+                root[top(a)] = top(b)
+                linked.append((a, b))
+        return pd.DataFrame(linked, columns=["a", "b"], dtype=np.int64)
 
     near = pairs
     for side in "ab":
         near = near.join(sized.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
     near = materialise(near.select("n_a", "sig_a", "n_b", "sig_b", "a", "b").mapInPandas(bound, "a long, b long").distinct(), "near-pairs")
-    ids = materialise(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "near-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = materialise(rows.join(ids, "id", "left_semi").select("id", "text").distinct(), "near-texts")
-    for side in "ab":
-        near = near.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"t_{side}")), side)
-    return materialise(near.select("t_a", "t_b", "a", "b").mapInPandas(intersect, "a long, b long").distinct(), "links")
+    nodes = connected_components(near, "a", "b").withColumnRenamed("node", "id")
+    nodes = materialise(nodes.join(sized.groupBy("id").agg(F.sum("n").alias("n")), "id"), "near-nodes")
+    weights = nodes.groupBy("root").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("blocks"), F.sum("n").alias("n"))
+    buckets = weights.where("blocks <= 1").agg(F.ceil(F.sum("n") / TILE_SHINGLES)).first()[0] or 1
+    nodes = nodes.join(weights.drop("n"), "root")
+    block = F.when(F.col("blocks") <= 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")))
+    nodes = nodes.select("id", F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1).alias("t0"), block.alias("t1"))
+    ends = {side: nodes.select(F.col("id").alias(side), F.col("t0").alias(f"t0_{side}"), F.col("t1").alias(f"t1_{side}")) for side in "ab"}
+    asked = near.join(ends["a"], "a").join(ends["b"], "b").select(F.col("t0_a").alias("t0"), F.col("t1_a").alias("t1"), F.col("t1_b").alias("t2"), "a", "b")
+    asked = materialise(asked, "near-tiles")
+    tile = ["t0", "t1", "t2"]
+    need = materialise(asked.select(*tile, F.col("a").alias("id")).union(asked.select(*tile, "b")).distinct(), "near-needs")
+    if need.count() <= BROADCAST_IDS:
+        need = F.broadcast(need)
+    texts = rows.join(need, "id").select(*tile, "id", "text")
+    return materialise(texts.groupBy(tile).cogroup(asked.groupBy(tile)).applyInPandas(decide, "a long, b long"), "links")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Decide by the intersection of two sorted arrays."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+    both = int((y[at] == x).sum()) if len(x) else 0
+    return both > 0 and den * both >= num * (len(x) + len(y) - both)
 
 
 def _tiles(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
