@@ -19,7 +19,10 @@ How a link is found:
    put in bands of size (a factor ``den/num`` each; a pair is in the same or in
    neighbouring bands), large tiles are cut into blocks, and hashed bitmap
    signatures are compared in bulk: differing bits bound the overlap from above.
-5. Pairs that pass are decided by intersecting their sorted shingle arrays.
+5. Pairs that pass meet again with bitmaps as wide as their sets ask for, which
+   tell long documents apart as well as short ones.
+6. Pairs that pass this too are decided by intersecting their sorted shingle
+   arrays; only their texts are read and sent again.
 
 Defined results: null, empty or blank text has no shingle and links with
 nothing; rows with equal ids and several texts link as one node; a null id
@@ -45,12 +48,13 @@ WIDTH, NUM, DEN = 5, 80, 100
 FREQUENT, MOST_FREQUENT = 0.0005, 65_536
 #: Bits of a signature, rows of a tile's block.
 SIGNATURE_BITS, BLOCK_ROWS = 1024, 512
-#: Shingles of the texts that meet in one task to be intersected.
-TILE_SHINGLES = 300_000
+#: Shingles of the texts, or of the wide bitmaps, that meet in one task.
+TILE_SHINGLES, TILE_BITMAP_SHINGLES = 300_000, 10_000_000
 #: Pairs of tiles that are compared in one numpy step.
 PAIRS_AT_ONCE = 500_000
 #: Ids up to this count are broadcast to select texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+TILE = ["t0", "t1", "t2"]
 
 
 def _sets(batch: pd.DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -59,36 +63,51 @@ def _sets(batch: pd.DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, own
 
 
-def _signature(own: np.ndarray) -> bytes:
+def _signature(own: np.ndarray, width: int = SIGNATURE_BITS) -> bytes:
     """A bitmap with one hashed bit per shingle."""
-    bits = np.zeros(SIGNATURE_BITS, np.uint8)
-    bits[(own >> np.uint64(40)).astype(np.int64) % SIGNATURE_BITS] = 1
+    bits = np.zeros(width, np.uint8)
+    bits[(own >> np.uint64(24)).astype(np.int64) % width] = 1
     return np.packbits(bits).tobytes()
 
 
+def _wide_signature(own: np.ndarray) -> bytes | None:
+    """A bitmap of two to four bits per shingle, where the plain one is narrower."""
+    width = 1 << max(2 * len(own) - 1, 1).bit_length()
+    return _signature(own, width) if width > SIGNATURE_BITS else None
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ; the wider one is folded to the other."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.bitwise_count(np.bitwise_or.reduce(a.reshape(-1, len(b))) ^ b).sum(dtype=np.int64))
+
+
 def _sizes_and_frequent(docs: DataFrame, width: int) -> DataFrame:
-    """A row (id, n, d1, d2, sig) per document, and rows (h, seen) of shingles that
+    """A row (id, n, d1, d2, sig, wide) per document, and rows (h, seen) of shingles that
     many documents of one batch share."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, d1, d2, sig, held = [], [], [], [], []
+            n, d1, d2, sig, wide, held = [], [], [], [], [], []
             for _, own in _sets(batch, width):
                 n.append(len(own))
                 d1.append(own.sum(dtype=np.uint64))
                 d2.append(mix64(own).sum(dtype=np.uint64))
                 sig.append(_signature(own))
+                wide.append(_wide_signature(own))
                 held.append(own)
-            yield pd.DataFrame({"id": batch["id"], "gone": batch["gone"], "n": pd.array(n, "Int32"), "d1": pd.array(np.array(d1, np.uint64).view(np.int64), "Int64"), "d2": pd.array(np.array(d2, np.uint64).view(np.int64), "Int64"), "sig": sig, "h": pd.array([None] * len(n), "Int64"), "seen": pd.array([None] * len(n), "Int64")})
+            yield pd.DataFrame({"id": batch["id"], "gone": batch["gone"], "n": pd.array(n, "Int32"), "d1": pd.array(np.array(d1, np.uint64).view(np.int64), "Int64"), "d2": pd.array(np.array(d2, np.uint64).view(np.int64), "Int64"), "sig": sig, "wide": wide, "h": pd.array([None] * len(n), "Int64"), "seen": pd.array([None] * len(n), "Int64")})
             every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
             del held
             edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True]))) if len(every) else np.zeros(1, np.int64)
             runs = np.diff(edge)
             often = np.flatnonzero(runs >= max(3, FREQUENT * len(batch)))
             if len(often):
-                yield pd.DataFrame({"id": np.zeros(len(often), np.int64), "gone": True, "n": pd.array([None] * len(often), "Int32"), "d1": pd.array([None] * len(often), "Int64"), "d2": pd.array([None] * len(often), "Int64"), "sig": None, "h": pd.array(every[edge[often]].view(np.int64), "Int64"), "seen": pd.array(runs[often], "Int64")})
+                yield pd.DataFrame({"id": np.zeros(len(often), np.int64), "gone": True, "n": pd.array([None] * len(often), "Int32"), "d1": pd.array([None] * len(often), "Int64"), "d2": pd.array([None] * len(often), "Int64"), "sig": None, "wide": None, "h": pd.array(every[edge[often]].view(np.int64), "Int64"), "seen": pd.array(runs[often], "Int64")})
 
-    return docs.mapInPandas(scan, "id long, gone boolean, n int, d1 long, d2 long, sig binary, h long, seen long")
+    return docs.mapInPandas(scan, "id long, gone boolean, n int, d1 long, d2 long, sig binary, wide binary, h long, seen long")
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den: int) -> DataFrame:
@@ -131,14 +150,34 @@ def _may_link(na: np.ndarray, nb: np.ndarray, differing: np.ndarray, num: int, d
     return (num + den) * (na + nb - differing) >= 2 * num * (na + nb)
 
 
+def _in_tiles(near: DataFrame, sized: DataFrame, room: int) -> tuple[DataFrame, DataFrame]:
+    """``near`` pairs (a, b) by tiles, rows (t0, t1, t2, a, b), and the ids that each tile needs.
+
+    Pairs are grouped by the components they form. Small components share a
+    bucket, large ones are cut into blocks by pairs of id hashes, so what an id
+    stands for travels once to each bucket or block pair that needs it, and
+    what meets in one task is bounded by ``room`` shingles a side.
+    """
+    nodes = connected_components(near, "a", "b").withColumnRenamed("node", "id")
+    nodes = materialise(nodes.join(sized.groupBy("id").agg(F.sum("n").alias("n")), "id"), "near-nodes")
+    weights = nodes.groupBy("root").agg(F.ceil(F.sum("n") / room).cast("int").alias("blocks"), F.sum("n").alias("n"))
+    buckets = weights.where("blocks <= 1").agg(F.ceil(F.sum("n") / room)).first()[0] or 1
+    nodes = nodes.join(weights.drop("n"), "root")
+    block = F.when(F.col("blocks") <= 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")))
+    nodes = nodes.select("id", F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1).alias("t0"), block.alias("t1"))
+    ends = {side: nodes.select(F.col("id").alias(side), F.col("t0").alias(f"t0_{side}"), F.col("t1").alias(f"t1_{side}")) for side in "ab"}
+    asked = near.join(ends["a"], "a").join(ends["b"], "b")
+    asked = materialise(asked.select(F.col("t0_a").alias("t0"), F.least("t1_a", "t1_b").alias("t1"), F.greatest("t1_a", "t1_b").alias("t2"), "a", "b"), "near-tiles")
+    need = asked.select(*TILE, F.col("a").alias("id")).union(asked.select(*TILE, "b")).distinct()
+    return asked, materialise(need, "near-needs")
+
+
 def _confirm(pairs: DataFrame, sized: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The links among candidate ``pairs`` (a, b), both ends distinct.
 
-    Pairs that pass the bitmap bound are grouped by the components they form.
-    Small components share a bucket, large ones are cut into blocks by pairs of
-    id hashes, so every text travels once to each bucket or block pair that
-    needs it, and what meets in one task is bounded. Pairs that earlier links
-    of the same task connect already are not decided again.
+    Pairs that pass the bound by plain bitmaps meet in tiles with their wide
+    ones; what passes there meets in tiles with its texts. Pairs that earlier
+    links of the same task connect already are not decided again.
     """
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,6 +187,13 @@ def _confirm(pairs: DataFrame, sized: DataFrame, rows: DataFrame, width: int, nu
                 differing = np.bitwise_count(x).reshape(len(batch), -1).sum(1, dtype=np.int64)
                 yield batch.loc[_may_link(batch["n_a"].to_numpy(np.int64), batch["n_b"].to_numpy(np.int64), differing, num, den), ["a", "b"]]
 
+    def narrow(bitmaps: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        for i, n, sig in zip(bitmaps["id"].tolist(), bitmaps["n"].tolist(), bitmaps["sig"].tolist(), strict=True):
+            held[i].append((n, sig))
+        pass_ = [any(_may_link(m, n, _differing(x, y), num, den) for m, x in held[a] for n, y in held[b]) for a, b in zip(asked["a"].tolist(), asked["b"].tolist(), strict=True)]
+        return asked.loc[np.array(pass_, bool), ["a", "b"]]
+
     def decide(texts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         held: dict[int, list[np.ndarray]] = defaultdict(list)
         ids = texts["id"].tolist()
@@ -171,22 +217,14 @@ def _confirm(pairs: DataFrame, sized: DataFrame, rows: DataFrame, width: int, nu
     for side in "ab":
         near = near.join(sized.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
     near = materialise(near.select("n_a", "sig_a", "n_b", "sig_b", "a", "b").mapInPandas(bound, "a long, b long").distinct(), "near-pairs")
-    nodes = connected_components(near, "a", "b").withColumnRenamed("node", "id")
-    nodes = materialise(nodes.join(sized.groupBy("id").agg(F.sum("n").alias("n")), "id"), "near-nodes")
-    weights = nodes.groupBy("root").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("blocks"), F.sum("n").alias("n"))
-    buckets = weights.where("blocks <= 1").agg(F.ceil(F.sum("n") / TILE_SHINGLES)).first()[0] or 1
-    nodes = nodes.join(weights.drop("n"), "root")
-    block = F.when(F.col("blocks") <= 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")))
-    nodes = nodes.select("id", F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1).alias("t0"), block.alias("t1"))
-    ends = {side: nodes.select(F.col("id").alias(side), F.col("t0").alias(f"t0_{side}"), F.col("t1").alias(f"t1_{side}")) for side in "ab"}
-    asked = near.join(ends["a"], "a").join(ends["b"], "b").select(F.col("t0_a").alias("t0"), F.col("t1_a").alias("t1"), F.col("t1_b").alias("t2"), "a", "b")
-    asked = materialise(asked, "near-tiles")
-    tile = ["t0", "t1", "t2"]
-    need = materialise(asked.select(*tile, F.col("a").alias("id")).union(asked.select(*tile, "b")).distinct(), "near-needs")
+    asked, need = _in_tiles(near, sized, TILE_BITMAP_SHINGLES)
+    bitmaps = sized.select("id", "n", F.coalesce("wide", "sig").alias("sig")).join(need, "id").select(*TILE, "id", "n", "sig")
+    near = materialise(bitmaps.groupBy(TILE).cogroup(asked.groupBy(TILE)).applyInPandas(narrow, "a long, b long"), "close-pairs")
+    asked, need = _in_tiles(near, sized, TILE_SHINGLES)
     if need.count() <= BROADCAST_IDS:
         need = F.broadcast(need)
-    texts = rows.join(need, "id").select(*tile, "id", "text")
-    return materialise(texts.groupBy(tile).cogroup(asked.groupBy(tile)).applyInPandas(decide, "a long, b long"), "links")
+    texts = rows.join(need, "id").select(*TILE, "id", "text")
+    return materialise(texts.groupBy(TILE).cogroup(asked.groupBy(TILE)).applyInPandas(decide, "a long, b long"), "links")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -247,7 +285,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key = F.col(doc_id).cast("long")
     rows = docs.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("gone"), F.col(text).cast("string").alias("text"))
     first = materialise(_sizes_and_frequent(rows, width), "shingle-sizes")
-    sized = first.where(F.col("n").isNotNull()).select("id", "gone", "n", "d1", "d2", "sig")
+    sized = first.where(F.col("n").isNotNull()).select("id", "gone", "n", "d1", "d2", "sig", "wide")
     n_docs = sized.count()
     frequent = first.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(4, FREQUENT * n_docs))
     frequent = frequent.orderBy(F.desc("seen"), "h").limit(MOST_FREQUENT).toPandas()["h"].to_numpy(np.int64).view(np.uint64)
@@ -265,7 +303,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = pairs.where(den * F.least("n", "lead.n") >= num * F.greatest("n", "lead.n"))
     pairs = materialise(pairs.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
 
-    held = sized.where("n > 0 and not gone").select("id", "n", "sig").distinct()
+    held = sized.where("n > 0 and not gone").select("id", "n", "sig", "wide").distinct()
     links = _confirm(pairs, held, present, width, num, den)
     classes = connected_components(links, "a", "b")
     spread = shared.join(classes.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -282,12 +282,27 @@ def test_shingle_join(spark, mixed, odd, empty):
 
 
 def test_shingle_join_small_tiles(spark, mixed, monkeypatch):
-    for name, value in (("BLOCK_ROWS", 3), ("TILE_SHINGLES", 200), ("PAIRS_AT_ONCE", 5), ("BROADCAST_IDS", 0)):
+    for name, value in (("BLOCK_ROWS", 3), ("TILE_SHINGLES", 200), ("TILE_BITMAP_SHINGLES", 300), ("PAIRS_AT_ONCE", 5), ("BROADCAST_IDS", 0)):
         monkeypatch.setattr(shingle_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(mixed).collect()}
     assert got == brute_classes([(r.doc_id, r.text) for r in mixed.select("doc_id", "text").collect()])
 
 
+def test_bitmaps_bound_from_above():
+    """No pair that links is lost by bitmaps of any width."""
+    rng = np.random.RandomState(8)
+    for n in (1, 40, 700, 1500, 5000):
+        for share in (0.0, 0.85, 0.95, 1.0):
+            both = rng.randint(0, 2**62, int(n * share) + 1).astype(np.uint64)
+            x, y = (np.unique(np.concatenate((both, rng.randint(0, 2**62, n - int(n * share)).astype(np.uint64)))) for _ in range(2))
+            for a in (shingle_join._signature(x), shingle_join._wide_signature(x) or shingle_join._signature(x)):
+                for b in (shingle_join._signature(y), shingle_join._wide_signature(y) or shingle_join._signature(y)):
+                    bound = shingle_join._may_link(len(x), len(y), shingle_join._differing(a, b), 80, 100)
+                    assert bound or not shingle_join._linked(x, y, 80, 100)
+    x, y = rng.randint(0, 2**62, 3000).astype(np.uint64), rng.randint(0, 2**62, 3000).astype(np.uint64)
+    assert not shingle_join._may_link(3000, 3000, shingle_join._differing(shingle_join._wide_signature(x), shingle_join._wide_signature(y)), 80, 100)
+
+
 def test_shingle_join_wide_tiles(spark):
     """Members that share shingles but not a class with the smallest member."""
     base, rows = prose(900, 60).split(), []
