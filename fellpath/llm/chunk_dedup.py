@@ -10,8 +10,9 @@ chunks join to regions, and regions of at least ``MIN_WORDS`` words count: the
 first holder (smallest id) of a region keeps it, the others may drop it.
 
 Counting is summed on the map side, so a passage that a third of all documents
-hold meets in one row. Marking the occurrences is a plain join with one row for
-each shared digest, which adaptive execution splits where a digest is hot.
+hold meets in one row. The shared digests are written, so that marking their
+occurrences is a plain join of two scans, with one row for each digest on one
+side, which adaptive execution splits where a digest is hot.
 
 Defined results: null or empty text has no chunk; chunks that repeat only
 within one document are not shared; rows with equal ids are one document; a
@@ -28,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fellpath.llm._tables import materialise
+
 MIN_CHARS, MAX_CHARS = 16, 128
 MIN_WORDS = 20
 
@@ -103,6 +106,7 @@ def shared_regions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     holder of any of its chunks) and ``kept`` (whether this document is it)."""
     rows = chunk_table(docs, doc_id, text)
     holders = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h1", "h2", "first")
+    holders = materialise(holders, "shared-chunks")
     marked = rows.join(holders, ["h1", "h2"]).repartition("id")
     start, length = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255))
     marked = marked.select("id", start.alias("start"), (start + length).alias("end"), F.col("place").bitwiseAND(F.lit(255)).alias("words"), "first").distinct()
