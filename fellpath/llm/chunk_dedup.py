@@ -6,8 +6,10 @@ comes within ``MAX_CHARS``, as in periodic text, it ends at the smallest hash on
 the way. Ends depend on the text around them only, so an insertion moves the
 chunks beside it and no others. Chunks are compared by a 128-bit digest;
 one whose digest also occurs in another document is shared. Neighbouring shared
-chunks join to regions, and regions of at least ``MIN_WORDS`` words count: the
-first holder (smallest id) of a region keeps it, the others may drop it.
+chunks form runs, and runs of at least ``MIN_WORDS`` words count. A run is split
+to regions where the first holder (smallest id) of its chunks changes: that
+document holds all of the region and keeps it, the others may drop it, so of
+every shared chunk one holder is never told to drop it.
 
 Counting is summed on the map side, so a passage that a third of all documents
 hold meets in one row. The shared digests are written, so that marking their
@@ -103,7 +105,8 @@ def _rows(ids: list, starts: list, ends: list, words: list, raw: list) -> pd.Dat
 def shared_regions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per region that other documents share: ``doc_id``, ``start``,
     ``end`` (code points), ``n_chunks``, ``words``, ``first_doc_id`` (smallest
-    holder of any of its chunks) and ``kept`` (whether this document is it)."""
+    holder of each of its chunks) and ``kept`` (whether this document is it).
+    ``min_words`` holds for the run of neighbouring regions, not for each."""
     rows = chunk_table(docs, doc_id, text)
     holders = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h1", "h2", "first")
     holders = materialise(holders, "shared-chunks")
@@ -111,7 +114,9 @@ def shared_regions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     start, length = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255))
     marked = marked.select("id", start.alias("start"), (start + length).alias("end"), F.col("place").bitwiseAND(F.lit(255)).alias("words"), "first").distinct()
     order = Window.partitionBy("id").orderBy("start", "end")
-    island = F.sum(F.when(F.lag("end").over(order) == F.col("start"), 0).otherwise(1)).over(order)
-    regions = marked.withColumn("island", island).groupBy("id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.sum("words").alias("words"), F.min("first").alias("first"))
-    regions = regions.where(F.col("words") >= min_words)
+    touches = F.lag("end").over(order) == F.col("start")
+    run = F.sum(F.when(touches, 0).otherwise(1)).over(order)
+    part = F.sum(F.when(touches & (F.lag("first").over(order) == F.col("first")), 0).otherwise(1)).over(order)
+    regions = marked.withColumns({"run": run, "part": part}).groupBy("id", "run", "part", "first").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.sum("words").alias("words"))
+    regions = regions.withColumn("run_words", F.sum("words").over(Window.partitionBy("id", "run"))).where(F.col("run_words") >= min_words)
     return regions.select(F.col("id").alias(doc_id), "start", "end", "n_chunks", "words", F.col("first").alias("first_doc_id"), (F.col("first") == F.col("id")).alias("kept"))

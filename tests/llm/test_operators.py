@@ -235,6 +235,26 @@ def test_chunk_dedup(spark, odd, empty):
     assert chunk_dedup.shared_regions(odd).count() == 0 and chunk_dedup.shared_regions(empty).count() == 0
 
 
+def test_chunk_dedup_keeps_one_holder_of_every_shared_chunk(spark):
+    """An original, a near copy with an edited middle and an exact copy of that; passages of two documents side by side."""
+    original = prose(600, 300).split()
+    edited = " ".join([*original[:120], *prose(601, 60).split(), *original[180:]])
+    texts = {1: " ".join(original), 2: edited, 3: edited, 4: prose(602, 200), 5: prose(603, 200)}
+    texts[6] = texts[7] = texts[4] + " " + texts[5] + " " + prose(604, 80)
+    got = chunk_dedup.shared_regions(documents(spark, [(i, t, None, None) for i, t in texts.items()])).collect()
+    holders, dropped = collections.defaultdict(set), collections.defaultdict(set)
+    for i, text in texts.items():
+        for s, e in chunk_dedup.chunks(text):
+            holders[text[s:e]].add(i)
+            if any(r.doc_id == i and r.start <= s and e <= r.end and not r.kept for r in got):
+                dropped[text[s:e]].add(i)
+    assert dropped and all(min(held) not in dropped[part] for part, held in holders.items())
+    assert all(texts[r.doc_id][r.start : r.end] in texts[r.first_doc_id] and r.kept == (r.first_doc_id == r.doc_id) for r in got)
+    assert any(r.doc_id == 2 and r.kept for r in got) and not any(r.doc_id == 3 and r.kept for r in got)
+    whole = {i: sum(r.end - r.start for r in got if r.doc_id == i) for i in (3, 7)}
+    assert whole[3] == len(texts[3]) and whole[7] == len(texts[7])
+
+
 def test_langid(spark, odd, empty):
     german = "ein der und sch keit ung heit ie".split()
     rows = [(i, prose(i, 30) if i % 2 else prose(i, 30, german), "en" if i % 2 else "de", "s") for i in range(120)]
