@@ -3,7 +3,7 @@
 Entities to protect are the addresses, network addresses, card and phone
 numbers found by fixed patterns. A term (a run of letters) near an entity
 discloses it as far as seeing the term tells that the entity is there: with
-document counts over the whole corpus,
+counts of distinct texts over the whole corpus, copies of a text counting once,
 
     disclosure(e, t) = PMI(e; t) / IC(e) = log(N n_et / (n_e n_t)) / log(N / n_e)
 
@@ -12,8 +12,8 @@ with an entity in at least ``MIN_SUPPORT`` different texts and disclose it by
 ``GENERALISE`` or more become spans: they are generalised to their shape, and
 from ``REMOVE`` on removed. Spans of the fixed patterns always stay.
 
-One pass finds entities and the terms around them, another counts the documents
-of every term. Both are summed before any shuffle by a common key; entities or
+One pass finds entities and the terms around them, another counts the distinct
+texts of every term. Both are summed before any shuffle by a common key; entities or
 terms of any frequency stay spread, and no list per entity is ever built.
 
 Defined results: null text has no spans and stays null; rows are told apart by
@@ -131,7 +131,7 @@ def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, s
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     body = F.col(text).cast("string")
-    return docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(doc_id), body).alias("k1"), F.xxhash64(body, F.lit(1), F.col(doc_id)).alias("k2"), F.xxhash64(body).alias("same"), body.alias("__text"))
+    return docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(doc_id), body).alias("k1"), F.xxhash64(body, F.lit(1), F.col(doc_id)).alias("k2"), F.when(body.isNotNull(), F.xxhash64(body)).alias("same"), body.alias("__text"))
 
 
 def find_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,26 +164,26 @@ def find_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def term_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (t, n_t): in how many documents each term occurs."""
+    """Rows (t, n_t): in how many distinct texts each term occurs."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: Counter[str] = Counter()
             for body in batch["__text"]:
-                if isinstance(body, str):
-                    seen.update(set(_TERM.findall(body.lower())))
+                seen.update({term.lower() for term in set(_TERM.findall(body))})
             yield pd.DataFrame({"t": _term_hash(list(seen)), "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
-    return docs.select(F.col(text).cast("string").alias("__text")).mapInPandas(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+    texts = docs.select(F.col(text).cast("string").alias("__text")).where("__text is not null").distinct()
+    return texts.mapInPandas(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(found: DataFrame, terms: DataFrame, n_docs: int, *, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def disclosing(found: DataFrame, terms: DataFrame, n_texts: int, *, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """Rows (e, t, disclosure): the terms that give an entity away."""
     near = found.select("same", F.explode("near").alias("x")).select("same", "x.e", "x.t").distinct()
     together = near.groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_support)
     entities = near.select("same", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
     rows = together.join(entities, "e").join(terms, "t")
-    n = F.lit(float(max(n_docs, 1)))
+    n = F.lit(float(max(n_texts, 1)))
     share = (F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))) / F.log(n / F.col("n_e"))
     return rows.where(F.col("n_e") < n).withColumn("disclosure", share).where(F.col("disclosure") >= generalise).select("e", "t", "disclosure")
 
@@ -198,7 +198,7 @@ def term_spans(found: DataFrame, rules: DataFrame) -> DataFrame:
 
 def _plan(docs: DataFrame, doc_id: str, text: str, options: dict) -> tuple[DataFrame, DataFrame]:
     found = find_entities(docs, doc_id, text)
-    rules = disclosing(found, term_documents(docs, text), found.count(), **options)
+    rules = disclosing(found, term_documents(docs, text), found.where("same is not null").select("same").distinct().count(), **options)
     return found, materialise(term_spans(found, materialise(rules, "disclosing")), "term-spans")
 
 

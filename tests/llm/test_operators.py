@@ -215,6 +215,13 @@ def test_sanitise(spark, odd, empty):
     assert {r.n_email for r in sanitise.detect(odd).where("doc_id = 7").collect()} == {1}
 
 
+def test_sanitise_counts_copies_once(spark):
+    rows = [(i, f"Zorbane wrote from bob@mail.example.com {prose(i, 20)}", "en", "a") for i in range(3) for _ in range(40)]
+    rows = [(k, *row[1:]) for k, row in enumerate(rows)] + [(1000 + i, prose(i + 50, 10), "en", "a") for i in range(300)]
+    found = sanitise.detect(documents(spark, rows)).where("doc_id < 1000").collect()
+    assert len(found) == 120 and all("term:0:7" in r.spans.split(",") for r in found)
+
+
 def test_chunk_dedup(spark, odd, empty):
     passage = prose(400, 70)
     rows = [(i, prose(i, 150), None, None) for i in range(30)]
