@@ -1,19 +1,22 @@
 """Information-theoretic sanitisation of personal data.
 
 Entities to protect are the addresses, network addresses, card and phone
-numbers found by fixed patterns. A term (a run of letters) near an entity
-discloses it as far as seeing the term tells that the entity is there: with
+numbers found by fixed patterns. A term (a run of letters) of a text that holds
+an entity discloses it as far as seeing the term tells that the entity is there: with
 counts of distinct texts over the whole corpus, copies of a text counting once,
 
     disclosure(e, t) = PMI(e; t) / IC(e) = log(N n_et / (n_e n_t)) / log(N / n_e)
 
-which is 1 when the term occurs beside the entity only. Terms that co-occur
-with an entity in at least ``MIN_SUPPORT`` different texts and disclose it by
-``GENERALISE`` or more become spans: they are generalised to their shape, and
-from ``REMOVE`` on removed. Spans of the fixed patterns always stay.
+which is 1 when the term occurs in texts of the entity only. Co-occurrence is
+over whole texts of any length. Terms that co-occur with an entity in at least
+``MIN_SUPPORT`` different texts and disclose it by ``GENERALISE`` or more become
+spans wherever they occur, also in texts without the entity: they are
+generalised to their shape, and from ``REMOVE`` on removed. Spans of the fixed
+patterns always stay.
 
-One pass finds entities and the terms around them, another counts the distinct
-texts of every term. Both are summed before any shuffle by a common key; entities or
+One pass finds entities and the terms of the texts that hold them, another
+counts the distinct texts of every term, a third finds the disclosing terms in
+all texts. Counts are summed before any shuffle by a common key; entities or
 terms of any frequency stay spread, and no list per entity is ever built.
 
 Defined results: null text has no spans and stays null; rows are told apart by
@@ -35,9 +38,7 @@ from fellpath.llm._tables import materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
 MIN_SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
-#: Terms around an entity: so many on each side, no further than so many characters.
-SIDE_TERMS, SIDE_CHARS = 8, 200
-#: Rows of term spans that are broadcast at most; more are joined by shuffle.
+#: Entities, disclosing terms or term spans that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -113,20 +114,22 @@ def _term_hash(terms: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(terms, object), categorize=False).view(np.int64) if terms else np.zeros(0, np.int64)
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms around every entity."""
-    covered = sorted((s, e) for _, s, e in spans)
-    out = []
-    for kind, start, end in spans:
-        value = text[start:end].lower()
-        entity = f"{kind}:{value if kind < 2 else re.sub('[^0-9]', '', value)}"
-        left, right = max(0, start - SIDE_CHARS), min(len(text), end + SIDE_CHARS)
-        before = [(m.start() + left, m.end() + left) for m in _TERM.finditer(text[left:start]) if m.start() or not left]
-        after = [(m.start() + end, m.end() + end) for m in _TERM.finditer(text[end:right]) if m.end() + end < right or right == len(text)]
-        for s, e in before[-SIDE_TERMS:] + after[:SIDE_TERMS]:
-            if not any(a < e and s < b for a, b in covered):
-                out.append((entity, text[s:e].lower(), s, e))
-    return out
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all terms of a text outside ``spans``."""
+    found = [(m[0].lower(), *m.span()) for m in _TERM.finditer(text)]
+    if not found or not spans:
+        return found
+    covered = np.array(sorted((s, e) for _, s, e in spans))
+    reach = np.maximum.accumulate(covered[:, 1])
+    before = np.searchsorted(covered[:, 0], [e for _, _, e in found])
+    free = (before == 0) | (reach[before - 1] <= np.array([s for _, s, _ in found]))
+    return [x for x, out in zip(found, free.tolist(), strict=True) if out]
+
+
+def _entity(text: str, span: tuple[int, int, int]) -> str:
+    kind, start, end = span
+    value = text[start:end].lower()
+    return f"{kind}:{value if kind < 2 else re.sub('[^0-9]', '', value)}"
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -135,32 +138,27 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def find_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``__id``, keys, counts by kind, the base spans and ``near``, the
-    terms around its entities (entity, term, start, end); written once."""
+    """Per row: ``__id``, keys, counts by kind, the base spans, its distinct
+    entities ``e`` and, where it has any, all its distinct terms ``t``; written once."""
     keyed = _keyed(docs, doc_id, text)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            base, counts, at, rows = [], [], [0], []
+            base, counts, entities, terms = [], [], [], []
             for body in batch["__text"]:
                 spans = base_spans(body if isinstance(body, str) else "")
                 base.append(render(spans))
                 counts.append([sum(k == kind for k, _, _ in spans) for kind in range(4)])
-                rows += _contexts(body, spans) if spans else []
-                at.append(len(rows))
-            entity, term = _term_hash([r[0] for r in rows]), _term_hash([r[1] for r in rows])
-            start, end = np.array([r[2] for r in rows], np.int32), np.array([r[3] for r in rows], np.int32)
+                entities.append(_term_hash(sorted({_entity(body, x) for x in spans})))
+                terms.append(_term_hash(sorted({x[0] for x in _terms(body, spans)})) if spans else np.zeros(0, np.int64))
             out = batch.drop(columns="__text")
             out[["n_email", "n_ip", "n_card", "n_phone"]] = np.array(counts, np.int64).reshape(-1, 4)
-            out["base"] = base
-            for name, values in (("e", entity), ("t", term), ("s", start), ("f", end)):
-                out[name] = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            out["base"], out["e"], out["t"] = base, entities, terms
             yield out
 
     kind = keyed.schema["__id"].dataType.simpleString()
-    schema = f"__id {kind}, k1 long, k2 long, same long, n_email long, n_ip long, n_card long, n_phone long, base string, e array<long>, t array<long>, s array<int>, f array<int>"
-    found = keyed.mapInPandas(scan, schema)
-    return materialise(found.withColumn("near", F.arrays_zip("e", "t", "s", "f")).drop("e", "t", "s", "f"), "entities")
+    schema = f"__id {kind}, k1 long, k2 long, same long, n_email long, n_ip long, n_card long, n_phone long, base string, e array<long>, t array<long>"
+    return materialise(keyed.mapInPandas(scan, schema), "entities")
 
 
 def term_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -179,27 +177,52 @@ def term_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def disclosing(found: DataFrame, terms: DataFrame, n_texts: int, *, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """Rows (e, t, disclosure): the terms that give an entity away."""
-    near = found.select("same", F.explode("near").alias("x")).select("same", "x.e", "x.t").distinct()
-    together = near.groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_support)
-    entities = near.select("same", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
-    rows = together.join(entities, "e").join(terms, "t")
+    texts = found.where(F.size("e") > 0).select("same", "e", "t").distinct()
+    entities = texts.select(F.explode("e").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
+    entities = materialise(entities, "entity-texts")
+    known = F.broadcast(entities) if entities.count() <= BROADCAST_ROWS else entities
+    near = texts.select(F.explode("e").alias("e"), "t").join(known.select("e"), "e")
+    together = near.select("e", F.explode("t").alias("t")).groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_support)
+    rows = together.join(known, "e").join(terms, "t")
     n = F.lit(float(max(n_texts, 1)))
     share = (F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))) / F.log(n / F.col("n_e"))
     return rows.where(F.col("n_e") < n).withColumn("disclosure", share).where(F.col("disclosure") >= generalise).select("e", "t", "disclosure")
 
 
-def term_spans(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (k1, k2, terms): the disclosing terms of each text that has any, as
-    sorted (start, end, disclosure)."""
-    near = found.where(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.e", "x.t", "x.s", "x.f")
-    hits = near.join(rules, ["e", "t"]).groupBy("k1", "k2", "s", "f").agg(F.max("disclosure").alias("d"))
+def term_spans(docs: DataFrame, rules: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (k1, k2, terms): all occurrences of disclosing terms in each text
+    that has any, as sorted (start, end, disclosure)."""
+    rules = materialise(rules.groupBy("t").agg(F.max("disclosure").alias("d")), "disclosing-terms")
+    few = rules.count() <= BROADCAST_ROWS
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(rules.select("t").toPandas()["t"].to_numpy(np.int64)) if few else None)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = known.value
+        for batch in batches:
+            held = []
+            for body in batch["__text"]:
+                found = _terms(body, [])
+                hashes = _term_hash([x[0] for x in found])
+                hit = np.ones(len(hashes), bool) if wanted is None else np.searchsorted(wanted, hashes, "right") > np.searchsorted(wanted, hashes)
+                free = set(_terms(body, base_spans(body))) if hit.any() else set()
+                hit &= np.array([x in free for x in found], bool)
+                at = np.array([x[1:] for x in found], np.int32).reshape(-1, 2)
+                held.append((hashes[hit], at[hit, 0], at[hit, 1]))
+            out = batch.drop(columns="__text")
+            out["t"], out["s"], out["f"] = ([x[k] for x in held] for k in range(3))
+            yield out[out["t"].map(len) > 0]
+
+    rows = _keyed(docs, doc_id, text).select("k1", "k2", "__text").where("__text is not null")
+    hits = rows.mapInPandas(scan, "k1 long, k2 long, t array<long>, s array<int>, f array<int>")
+    hits = hits.select("k1", "k2", F.explode(F.arrays_zip("t", "s", "f")).alias("x")).select("k1", "k2", "x.t", "x.s", "x.f")
+    hits = hits.join(F.broadcast(rules) if few else rules, "t").groupBy("k1", "k2", "s", "f").agg(F.max("d").alias("d"))
     return hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("s", "f", "d"))).alias("terms"))
 
 
 def _plan(docs: DataFrame, doc_id: str, text: str, options: dict) -> tuple[DataFrame, DataFrame]:
     found = find_entities(docs, doc_id, text)
     rules = disclosing(found, term_documents(docs, text), found.where("same is not null").select("same").distinct().count(), **options)
-    return found, materialise(term_spans(found, materialise(rules, "disclosing")), "term-spans")
+    return found, materialise(term_spans(docs, rules, doc_id, text), "term-spans")
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
@@ -207,7 +230,7 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
     as ``kind:start:end`` by kind, then start."""
     found, terms = _plan(docs, doc_id, text, options)
     extra = F.array_join(F.transform("terms", lambda x: F.concat(F.lit(f"{KINDS[4]}:"), x["s"].cast("string"), F.lit(":"), x["f"].cast("string"))), ",")
-    out = found.drop("near").join(terms, ["k1", "k2"], "left")
+    out = found.drop("e", "t").join(terms, ["k1", "k2"], "left")
     spans = F.concat("base", F.coalesce(F.concat(F.when(F.col("base") != "", ",").otherwise(""), extra), F.lit("")))
     return out.select(F.col("__id").alias(doc_id), "n_email", "n_ip", "n_card", "n_phone", "base", spans.alias("spans"))
 
@@ -231,7 +254,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """``docs`` with the personal data of ``text`` replaced; all rows and columns stay."""
     _, terms = _plan(docs, doc_id, text, options)
     terms = terms.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), *(F.col(f"terms.{c}").alias(f"__{c}") for c in "sfd"))
-    if terms.count() <= BROADCAST_ROWS:
+    if (terms.agg(F.sum(F.size("__s"))).first()[0] or 0) <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
 
     @F.pandas_udf("string")

@@ -222,6 +222,26 @@ def test_sanitise_counts_copies_once(spark):
     assert len(found) == 120 and all("term:0:7" in r.spans.split(",") for r in found)
 
 
+def test_sanitise_finds_disclosing_terms_in_whole_texts(spark, monkeypatch):
+    """A name far from its address, again further on, and in a text without the address."""
+    rows = [(i, f"Zorbane {prose(i, 400)} zorbane {prose(i + 50, 400)} bob@mail.example.com", "en", "a") for i in range(6)]
+    rows += [(6, f"{prose(70, 50)} Zorbane, {prose(71, 50)}", "en", "a")]
+    rows += [(i, prose(i, 300), "en", "a") for i in range(100, 200)]
+    for most in (sanitise.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(sanitise, "BROADCAST_ROWS", most)
+        found = {r.doc_id: r.spans.split(",") for r in sanitise.detect(documents(spark, rows)).collect()}
+        for i, text, _, _ in rows[:7]:
+            for m in re.finditer("zorbane", text.lower()):
+                assert f"term:{m.start()}:{m.end()}" in found[i]
+        clean = {r.doc_id: r.text for r in sanitise.sanitise(documents(spark, rows)).collect()}
+        assert len(clean) == len(rows) and all("zorbane" not in t.lower() for t in clean.values())
+
+
+def test_terms_outside_spans():
+    text = "one bob@mail.example.com two three 4111 1111 1111 1111four"
+    assert sanitise._terms(text, sanitise.base_spans(text)) == [("one", 0, 3), ("two", 25, 28), ("three", 29, 34), ("four", 54, 58)]
+
+
 def test_chunk_dedup(spark, odd, empty):
     passage = prose(400, 70)
     rows = [(i, prose(i, 150), None, None) for i in range(30)]
