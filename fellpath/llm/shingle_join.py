@@ -9,20 +9,22 @@ How a link is found:
 1. Equal sets collapse to their smallest document by digest.
 2. Prefix filter: with any fixed order of all shingles, two linked documents
    share a shingle among the first ``n - ceil(num/den * n) + 1`` of each. The
-   order is by hash, but shingles found in many documents come last, so shared
-   boilerplate stays out of prefixes. Which shingles count as frequent affects
-   cost only, never the result.
-3. Stars: every document is compared with the smallest document of each shared
-   prefix shingle; most groups of near copies become one class here, at a cost
-   linear in their size.
-4. Tiles: for prefix shingles that still span several classes, documents are
-   put in bands of size (a factor ``den/num`` each; a pair is in the same or in
-   neighbouring bands), large tiles are cut into blocks, and hashed bitmap
-   signatures are compared in bulk: differing bits bound the overlap from above.
-5. Pairs that pass meet again with bitmaps as wide as their sets ask for, which
-   tell long documents apart as well as short ones.
-6. Pairs that pass this too are decided by intersecting their sorted shingle
-   arrays; only their texts are read and sent again.
+   order is by how many documents hold a shingle, rare first, then by hash.
+   Counts come from one table of 2^24 hashed counters, summed over all
+   documents; counters that several shingles share make the order less good,
+   never the result less exact.
+3. Prefix shingles with the same documents are one list; each distinct list is
+   compared once. Lists are told apart by sums of hashes, never collected.
+4. Stars: every document is compared with the smallest document of its lists;
+   most groups of near copies become one class here, at a cost linear in size.
+5. Tiles: in lists that still span several classes, documents outside the
+   leading class meet each other and that class. Documents are put in bands of
+   size (a factor ``den/num`` each; a pair is in the same or in neighbouring
+   bands), large lists are cut into blocks, and hashed bitmap signatures, as
+   wide as their sets ask for, are compared in bulk: differing bits bound the
+   overlap from above.
+6. Pairs that pass are decided by intersecting their sorted shingle arrays;
+   only their texts are read and sent again.
 
 Defined results: null, empty or blank text has no shingle and links with
 nothing; rows with equal ids and several texts link as one node; a null id
@@ -31,12 +33,14 @@ links with nothing; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fellpath.llm._tables import materialise
@@ -44,17 +48,14 @@ from fellpath.llm._words import blocks, hash_words, mix64, shingles
 from fellpath.operators.components import connected_components
 
 WIDTH, NUM, DEN = 5, 80, 100
-#: Share of documents from which a shingle is frequent, and how many are kept.
-FREQUENT, MOST_FREQUENT = 0.0005, 65_536
-#: Bits of a signature, rows of a tile's block.
+#: Counters of the table that orders shingles, and of one of its rows.
+COUNTER_BITS, CHUNK_BITS = 24, 13
+#: Least bits of a signature, rows of a tile's block.
 SIGNATURE_BITS, BLOCK_ROWS = 1024, 512
-#: Shingles of the texts, or of the wide bitmaps, that meet in one task.
-TILE_SHINGLES, TILE_BITMAP_SHINGLES = 300_000, 10_000_000
-#: Pairs of tiles that are compared in one numpy step.
-PAIRS_AT_ONCE = 500_000
+#: Shingles of the texts that meet in one task on each side.
+TILE_SHINGLES = 500_000
 #: Ids up to this count are broadcast to select texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-TILE = ["t0", "t1", "t2"]
 
 
 def _sets(batch: pd.DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,82 +64,93 @@ def _sets(batch: pd.DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, own
 
 
-def _signature(own: np.ndarray, width: int = SIGNATURE_BITS) -> bytes:
-    """A bitmap with one hashed bit per shingle."""
-    bits = np.zeros(width, np.uint8)
-    bits[(own >> np.uint64(24)).astype(np.int64) % width] = 1
-    return np.packbits(bits).tobytes()
+def _slots(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def _wide_signature(own: np.ndarray) -> bytes | None:
-    """A bitmap of two to four bits per shingle, where the plain one is narrower."""
-    width = 1 << max(2 * len(own) - 1, 1).bit_length()
-    return _signature(own, width) if width > SIGNATURE_BITS else None
+def _signature(own: np.ndarray) -> bytes:
+    """A bitmap with one hashed bit per shingle, of two to four bits for each."""
+    width = max(SIGNATURE_BITS, 1 << max(2 * len(own) - 1, 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(own >> np.uint64(8)).astype(np.int64) & (width - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _differing(x: bytes, y: bytes) -> int:
-    """Bits in which two bitmaps differ; the wider one is folded to the other."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    if len(a) < len(b):
-        a, b = b, a
-    return int(np.bitwise_count(np.bitwise_or.reduce(a.reshape(-1, len(b))) ^ b).sum(dtype=np.int64))
+def _fold(sig: bytes, words: int) -> np.ndarray:
+    """A bitmap as ``words`` 64-bit words; wider ones are folded onto themselves."""
+    return np.bitwise_or.reduce(np.frombuffer(sig, np.uint64).reshape(-1, words))
 
 
-def _sizes_and_frequent(docs: DataFrame, width: int) -> DataFrame:
-    """A row (id, n, d1, d2, sig, wide) per document, and rows (h, seen) of shingles that
-    many documents of one batch share."""
+def _scan(docs: DataFrame, width: int) -> DataFrame:
+    """A row (id, gone, tx, n, d1, d2, sig) per document, and rows (chunk, counts):
+    each task's counters of how many of its documents hold a shingle."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << COUNTER_BITS, np.uint32)
+        none = pd.array([None], "Int64")
+        for batch in batches:
+            for first, raw in blocks(batch["text"].tolist()):
+                n, d1, d2, sig = [], [], [], []
+                for own in shingles(*hash_words(raw), width):
+                    n.append(len(own))
+                    d1.append(own.sum(dtype=np.uint64))
+                    d2.append(mix64(own).sum(dtype=np.uint64))
+                    sig.append(_signature(own))
+                    counts[_slots(own)] += np.uint32(1)
+                part = batch.iloc[first : first + len(n)]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "gone": part["gone"].to_numpy(), "tx": pd.array(part["tx"], "Int64"), "n": pd.array(n, "Int32"), "d1": np.array(d1, np.uint64).view(np.int64), "d2": np.array(d2, np.uint64).view(np.int64), "sig": sig, "chunk": none.repeat(len(n)), "counts": None})
+        for chunk, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
+            if part.any():
+                yield pd.DataFrame({"id": [0], "gone": True, "tx": none, "n": pd.array([None], "Int32"), "d1": 0, "d2": 0, "sig": None, "chunk": pd.array([chunk], "Int64"), "counts": [zlib.compress(part.astype(np.min_scalar_type(int(part.max()))).tobytes(), 1)]})
+
+    return docs.mapInPandas(scan, "id long, gone boolean, tx long, n int, d1 long, d2 long, sig binary, chunk long, counts binary")
+
+
+def _order_table(counts: DataFrame) -> np.ndarray:
+    """The order class of every counter in one byte: eight steps for each doubling.
+
+    Tasks add up the rows of a chunk as they stream in, so what is held is at
+    most one table whatever the number of rows; 2^24 bytes reach the driver.
+    """
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        size = 1 << CHUNK_BITS
         for batch in batches:
-            n, d1, d2, sig, wide, held = [], [], [], [], [], []
-            for _, own in _sets(batch, width):
-                n.append(len(own))
-                d1.append(own.sum(dtype=np.uint64))
-                d2.append(mix64(own).sum(dtype=np.uint64))
-                sig.append(_signature(own))
-                wide.append(_wide_signature(own))
-                held.append(own)
-            yield pd.DataFrame({"id": batch["id"], "gone": batch["gone"], "n": pd.array(n, "Int32"), "d1": pd.array(np.array(d1, np.uint64).view(np.int64), "Int64"), "d2": pd.array(np.array(d2, np.uint64).view(np.int64), "Int64"), "sig": sig, "wide": wide, "h": pd.array([None] * len(n), "Int64"), "seen": pd.array([None] * len(n), "Int64")})
-            every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            del held
-            edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True]))) if len(every) else np.zeros(1, np.int64)
-            runs = np.diff(edge)
-            often = np.flatnonzero(runs >= max(3, FREQUENT * len(batch)))
-            if len(often):
-                yield pd.DataFrame({"id": np.zeros(len(often), np.int64), "gone": True, "n": pd.array([None] * len(often), "Int32"), "d1": pd.array([None] * len(often), "Int64"), "d2": pd.array([None] * len(often), "Int64"), "sig": None, "wide": None, "h": pd.array(every[edge[often]].view(np.int64), "Int64"), "seen": pd.array(runs[often], "Int64")})
-
-    return docs.mapInPandas(scan, "id long, gone boolean, n int, d1 long, d2 long, sig binary, wide binary, h long, seen long")
-
-
-def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den: int) -> DataFrame:
+            for chunk, packed in zip(batch["chunk"].tolist(), batch["counts"].tolist(), strict=True):
+                raw = zlib.decompress(packed)
+                own = np.frombuffer(raw, np.dtype(f"u{len(raw) // size}"))
+                total[chunk] = total.get(chunk, 0) + own.astype(np.int64)
+        for chunk, own in total.items():
+            steps = np.minimum(np.log2(np.maximum(own, 1)) * 8, 255).astype(np.uint8)
+            yield pd.DataFrame({"chunk": [chunk], "steps": [zlib.compress(steps.tobytes(), 1)]})
+
+    table = np.zeros((1 << (COUNTER_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
+    summed = counts.select("chunk", "counts").repartition(F.col("chunk")).mapInPandas(add, "chunk long, steps binary")
+    for row in summed.toLocalIterator():
+        table[row["chunk"]] = np.frombuffer(zlib.decompress(row["steps"]), np.uint8)
+    return table.ravel()
+
+
+def _prefixes(docs: DataFrame, table: np.ndarray, width: int, num: int, den: int) -> DataFrame:
     """Rows (h, id, n): the prefix shingles of every document."""
-    order = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, rank = shared.value
+        steps = shared.value
         for batch in batches:
-            ids, hs, ns, lengths = batch["id"].to_numpy(), [], [], []
-            at = []
-            for i, own in _sets(batch, width):
-                if not len(own):
-                    continue
-                keep = len(own) - (num * len(own) + den - 1) // den + 1
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    often = known[place] == own
-                    first = own[~often]
-                    if len(first) < keep:
-                        last = own[often][np.argsort(-rank[place[often]], kind="stable")]
-                        first = np.concatenate((first, last))
-                else:
-                    first = own
-                hs.append(first[:keep])
-                at.append(i)
-                ns.append(len(own))
-                lengths.append(len(hs[-1]))
-            if hs:
-                yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "id": np.repeat(ids[at], lengths), "n": np.repeat(np.array(ns, np.int32), lengths)})
+            ids = batch["id"].to_numpy()
+            for first, raw in blocks(batch["text"].tolist()):
+                hs, ns, at = [], [], []
+                for i, own in enumerate(shingles(*hash_words(raw), width)):
+                    if len(own):
+                        keep = len(own) - (num * len(own) + den - 1) // den + 1
+                        hs.append(own[np.argsort(steps[_slots(own)], kind="stable")[:keep]])
+                        ns.append(len(own))
+                        at.append(first + i)
+                if hs:
+                    lengths = [len(x) for x in hs]
+                    yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "id": np.repeat(ids[at], lengths), "n": np.repeat(np.array(ns, np.int32), lengths)})
 
     return docs.mapInPandas(prefix, "h long, id long, n int")
 
@@ -150,55 +162,58 @@ def _may_link(na: np.ndarray, nb: np.ndarray, differing: np.ndarray, num: int, d
     return (num + den) * (na + nb - differing) >= 2 * num * (na + nb)
 
 
-def _in_tiles(near: DataFrame, sized: DataFrame, room: int) -> tuple[DataFrame, DataFrame]:
-    """``near`` pairs (a, b) by tiles, rows (t0, t1, t2, a, b), and the ids that each tile needs.
-
-    Pairs are grouped by the components they form. Small components share a
-    bucket, large ones are cut into blocks by pairs of id hashes, so what an id
-    stands for travels once to each bucket or block pair that needs it, and
-    what meets in one task is bounded by ``room`` shingles a side.
-    """
-    nodes = connected_components(near, "a", "b").withColumnRenamed("node", "id")
-    nodes = materialise(nodes.join(sized.groupBy("id").agg(F.sum("n").alias("n")), "id"), "near-nodes")
-    weights = nodes.groupBy("root").agg(F.ceil(F.sum("n") / room).cast("int").alias("blocks"), F.sum("n").alias("n"))
-    buckets = weights.where("blocks <= 1").agg(F.ceil(F.sum("n") / room)).first()[0] or 1
-    nodes = nodes.join(weights.drop("n"), "root")
-    block = F.when(F.col("blocks") <= 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")))
-    nodes = nodes.select("id", F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1).alias("t0"), block.alias("t1"))
-    ends = {side: nodes.select(F.col("id").alias(side), F.col("t0").alias(f"t0_{side}"), F.col("t1").alias(f"t1_{side}")) for side in "ab"}
-    asked = near.join(ends["a"], "a").join(ends["b"], "b")
-    asked = materialise(asked.select(F.col("t0_a").alias("t0"), F.least("t1_a", "t1_b").alias("t1"), F.greatest("t1_a", "t1_b").alias("t2"), "a", "b"), "near-tiles")
-    need = asked.select(*TILE, F.col("a").alias("id")).union(asked.select(*TILE, "b")).distinct()
-    return asked, materialise(need, "near-needs")
-
-
-def _confirm(pairs: DataFrame, sized: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The links among candidate ``pairs`` (a, b), both ends distinct.
-
-    Pairs that pass the bound by plain bitmaps meet in tiles with their wide
-    ones; what passes there meets in tiles with its texts. Pairs that earlier
-    links of the same task connect already are not decided again.
-    """
+def _bounded(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose signatures allow a link."""
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                x = np.frombuffer(b"".join(batch["sig_a"]), np.uint64) ^ np.frombuffer(b"".join(batch["sig_b"]), np.uint64)
-                differing = np.bitwise_count(x).reshape(len(batch), -1).sum(1, dtype=np.int64)
-                yield batch.loc[_may_link(batch["n_a"].to_numpy(np.int64), batch["n_b"].to_numpy(np.int64), differing, num, den), ["a", "b"]]
-
-    def narrow(bitmaps: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        held: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-        for i, n, sig in zip(bitmaps["id"].tolist(), bitmaps["n"].tolist(), bitmaps["sig"].tolist(), strict=True):
-            held[i].append((n, sig))
-        pass_ = [any(_may_link(m, n, _differing(x, y), num, den) for m, x in held[a] for n, y in held[b]) for a, b in zip(asked["a"].tolist(), asked["b"].tolist(), strict=True)]
-        return asked.loc[np.array(pass_, bool), ["a", "b"]]
+            near = np.zeros(len(batch), bool)
+            for k, (na, x, nb, y) in enumerate(zip(batch["n_a"].tolist(), batch["sig_a"].tolist(), batch["n_b"].tolist(), batch["sig_b"].tolist(), strict=True)):
+                words = min(len(x), len(y)) // 8
+                near[k] = _may_link(na, nb, int(np.bitwise_count(_fold(x, words) ^ _fold(y, words)).sum(dtype=np.int64)), num, den)
+            yield batch.loc[near, ["a", "b"]]
+
+    for side in "ab":
+        pairs = pairs.join(held.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
+    return pairs.select("n_a", "sig_a", "n_b", "sig_b", "a", "b").mapInPandas(bound, "a long, b long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Decide by the intersection of two sorted arrays."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+    both = int((y[at] == x).sum()) if len(x) else 0
+    return both > 0 and den * both >= num * (len(x) + len(y) - both)
+
+
+def _decided(near: DataFrame, held: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The links among candidate pairs (a, b), written.
+
+    Ends are dealt to buckets by hash; a pair is decided where the bucket of
+    one end meets that of the other, so a text travels once to each meeting it
+    has a pair in, and each meeting holds about ``TILE_SHINGLES`` a side.
+    """
+    near = materialise(near.distinct(), "near-pairs")
+    ends = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    total = held.join(ends, "id", "left_semi").agg(F.sum("n")).first()[0] or 0
+    spread = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(math.ceil(total / TILE_SHINGLES), math.isqrt(2 * spread) + 1)
+
+    def bucket(end: str) -> Column:
+        return F.pmod(F.xxhash64(end), F.lit(buckets)).cast("int")
+
+    asked = near.select(bucket("a").alias("t0"), bucket("b").alias("t1"), "a", "b")
+    need = materialise(asked.select("t0", "t1", F.col("a").alias("id")).union(asked.select("t0", "t1", "b")).distinct(), "near-needs")
+    if need.count() <= BROADCAST_IDS:
+        need = F.broadcast(need)
+    texts = rows.join(need, "id").select("t0", "t1", "id", "text")
 
     def decide(texts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        held: dict[int, list[np.ndarray]] = defaultdict(list)
+        sets: dict[int, list[np.ndarray]] = defaultdict(list)
         ids = texts["id"].tolist()
         for i, own in _sets(texts, width):
-            held[ids[i]].append(own)
+            sets[ids[i]].append(own)
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -208,43 +223,32 @@ def _confirm(pairs: DataFrame, sized: DataFrame, rows: DataFrame, width: int, nu
 
         linked = []
         for a, b in zip(asked["a"].tolist(), asked["b"].tolist(), strict=True):
-            if top(a) != top(b) and any(_linked(x, y, num, den) for x in held[a] for y in held[b]):
+            if top(a) != top(b) and any(_linked(x, y, num, den) for x in sets[a] for y in sets[b]):
                 root[top(a)] = top(b)
                 linked.append((a, b))
         return pd.DataFrame(linked, columns=["a", "b"], dtype=np.int64)
 
-    near = pairs
-    for side in "ab":
-        near = near.join(sized.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
-    near = materialise(near.select("n_a", "sig_a", "n_b", "sig_b", "a", "b").mapInPandas(bound, "a long, b long").distinct(), "near-pairs")
-    asked, need = _in_tiles(near, sized, TILE_BITMAP_SHINGLES)
-    bitmaps = sized.select("id", "n", F.coalesce("wide", "sig").alias("sig")).join(need, "id").select(*TILE, "id", "n", "sig")
-    near = materialise(bitmaps.groupBy(TILE).cogroup(asked.groupBy(TILE)).applyInPandas(narrow, "a long, b long"), "close-pairs")
-    asked, need = _in_tiles(near, sized, TILE_SHINGLES)
-    if need.count() <= BROADCAST_IDS:
-        need = F.broadcast(need)
-    texts = rows.join(need, "id").select(*TILE, "id", "text")
-    return materialise(texts.groupBy(TILE).cogroup(asked.groupBy(TILE)).applyInPandas(decide, "a long, b long"), "links")
-
-
-def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Decide by the intersection of two sorted arrays."""
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-    both = int((y[at] == x).sum()) if len(x) else 0
-    return both > 0 and den * both >= num * (len(x) + len(y) - both)
+    return materialise(texts.groupBy("t0", "t1").cogroup(asked.groupBy("t0", "t1")).applyInPandas(decide, "a long, b long"), "links")
 
 
 def _tiles(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) of different classes that share ``h``; ``rows``: h, id, n, root."""
+    """Candidate pairs (a, b) of different classes that share a list ``h``; ``rows``: h, id, n, root.
+
+    In each list and band the class of the smallest root leads. The others meet
+    in block pairs with each other and with the leading class, whose documents
+    never meet among themselves.
+    """
     step = float(np.log(den / num)) if den > num else 1.0
     band = F.floor(F.log(F.col("n")) / F.lit(step)).cast("int")
     rows = rows.withColumn("own", band).withColumn("band", F.explode(F.array(band, band + 1)))
-    counts = rows.groupBy("h", "band").agg(F.count("*").alias("rows"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    counts = counts.where(F.col("r0") != F.col("r1")).select("h", "band", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("n_blocks"))
-    rows = rows.join(counts, ["h", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    spans = rows.groupBy("h", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("rows")).where("r0 < r1")
+    rows = rows.join(spans.select("h", "band", "r0"), ["h", "band"]).withColumn("leads", F.col("root") == F.col("r0"))
+    sizes = rows.groupBy("h", "band").agg(*(F.greatest(F.ceil(F.count(F.when(c, 1)) / BLOCK_ROWS), F.lit(1)).cast("int").alias(x) for c, x in ((F.col("leads"), "n_lead"), (~F.col("leads"), "n_rest"))))
+    rows = rows.join(sizes, ["h", "band"])
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("leads"), F.col("n_lead")).otherwise(F.col("n_rest"))).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("leads"), -1 - block).otherwise(block))
+    # A leading block meets every other block; an other block meets all blocks.
+    rows = rows.withColumn("other", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), F.col("n_rest") - 1)).otherwise(F.sequence(-F.col("n_lead"), F.col("n_rest") - 1))))
     rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     rows = rows.join(held.select("id", "sig"), "id")
 
@@ -253,68 +257,76 @@ def _tiles(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows_in = batch["id"].map(len).to_numpy()
-            for m in np.unique(rows_in).tolist():
-                same = batch[rows_in == m]
-                i, j = np.triu_indices(m, 1)
-                at_once = max(1, PAIRS_AT_ONCE // len(i))
-                for k in range(0, len(same), at_once):
-                    yield _compare(same.iloc[k : k + at_once], i, j, num, den)
+            seen: set[tuple[int, int]] = set()
+            for tile in batch.itertuples(index=False):
+                seen.update(_compare(tile, num, den))
+            yield pd.DataFrame(sorted(seen), columns=["a", "b"], dtype=np.int64)
 
     return tiles.mapInPandas(compare, "a long, b long").where("a <> b").distinct()
 
 
-def _compare(tiles: pd.DataFrame, i: np.ndarray, j: np.ndarray, num: int, den: int) -> pd.DataFrame:
-    """Pairs (i, j) of each of several tiles with equal numbers of rows that may link."""
-    ids, n, root, block = (np.stack(tiles[c].to_list()).astype(np.int64) for c in ("id", "n", "root", "block"))
-    own, within = np.stack(tiles["own"].to_list()).astype(bool), tiles["within"].to_numpy(bool)[:, None]
-    small, large = np.minimum(n[:, i], n[:, j]), np.maximum(n[:, i], n[:, j])
-    open_ = (root[:, i] != root[:, j]) & (own[:, i] | own[:, j]) & (within | (block[:, i] != block[:, j])) & (den * small >= num * large)
-    t, p = np.nonzero(open_)
-    sig = np.frombuffer(b"".join(x for row in tiles["sig"] for x in row), np.uint64).reshape(*ids.shape, -1)
-    x, y = (t, i[p]), (t, j[p])
-    differing = np.bitwise_count(sig[x] ^ sig[y]).sum(1, dtype=np.int64)
-    near = _may_link(n[x], n[y], differing, num, den)
-    a, b = ids[x][near], ids[y][near]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _compare(tile: tuple, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of one tile that may link; each pair is taken in one band and one block pair."""
+    ids, n, root, block = (np.asarray(x, np.int64) for x in (tile.id, tile.n, tile.root, tile.block))
+    own = np.asarray(tile.own, bool)
+    words = min(len(s) for s in tile.sig) // 8
+    sig = np.stack([_fold(s, words) for s in tile.sig])
+    found = []
+    for i in range(len(ids) - 1):
+        js = np.arange(i + 1, len(ids))
+        small, large = np.minimum(n[i], n[js]), np.maximum(n[i], n[js])
+        js = js[(root[i] != root[js]) & (own[i] | own[js]) & (tile.within | (block[i] != block[js])) & (den * small >= num * large)]
+        if len(js):
+            differing = np.bitwise_count(sig[i] ^ sig[js]).sum(1, dtype=np.int64)
+            for j in js[_may_link(n[i], n[js], differing, num, den)].tolist():
+                found.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    return found
+
+
+def _lists(posts: DataFrame) -> DataFrame:
+    """Rows (h, id, n) of shingles that several documents share, one shingle for
+    each distinct list of documents; written."""
+    several = posts.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+    shared = materialise(posts.join(several, "h", "left_semi").distinct(), "shared-prefixes")
+    marks = shared.groupBy("h").agg(F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("id", F.lit(2)).cast("decimal(20,0)")).alias("s2"), F.count("*").alias("rows"))
+    kept = marks.groupBy("s1", "s2", "rows").agg(F.min("h").alias("h")).select("h")
+    return materialise(shared.join(kept, "h", "left_semi"), "lists")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    spark = docs.sparkSession
-    key = F.col(doc_id).cast("long")
-    rows = docs.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("gone"), F.col(text).cast("string").alias("text"))
-    first = materialise(_sizes_and_frequent(rows, width), "shingle-sizes")
-    sized = first.where(F.col("n").isNotNull()).select("id", "gone", "n", "d1", "d2", "sig", "wide")
-    n_docs = sized.count()
-    frequent = first.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(4, FREQUENT * n_docs))
-    frequent = frequent.orderBy(F.desc("seen"), "h").limit(MOST_FREQUENT).toPandas()["h"].to_numpy(np.int64).view(np.uint64)
-
-    copies = sized.where("n > 0 and not gone").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("d1", "d2", "n", "rep")
-    equal = materialise(sized.join(copies, ["d1", "d2", "n"]).where("not gone and id <> rep").select("id", "rep").distinct(), "equal-sets")
-
-    present = rows.where("not gone").select("id", "text")
-    posts = _prefixes(present, frequent, width, num, den)
-    several = posts.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    shared = posts.join(several, "h", "left_semi").join(equal, "id", "left").select("h", F.coalesce("rep", "id").alias("id"), "n").distinct()
-    shared = materialise(shared, "shared-prefixes")
-    leaders = shared.groupBy("h").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("hi")).where("lead.id < hi")
-    pairs = shared.join(leaders, "h").where(F.col("id") != F.col("lead.id"))
+    key, body = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    rows = docs.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("gone"), body.alias("text"), F.xxhash64(body).alias("tx"))
+    first = materialise(_scan(rows, width), "shingle-sizes")
+    sized = first.where(F.col("n").isNotNull()).drop("chunk", "counts")
+    table = _order_table(first.where(F.col("chunk").isNotNull()))
+
+    nodes = sized.where("n > 0 and not gone")
+    copies = nodes.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("d1", "d2", "n", "rep")
+    equal = materialise(nodes.join(copies, ["d1", "d2", "n"]).where("id <> rep").select("id", "tx", "rep").distinct(), "equal-sets")
+    few = F.broadcast(equal) if equal.count() <= BROADCAST_IDS else equal
+    distinct = rows.where("not gone").join(few, ["id", "tx"], "left_anti").select("id", "text")
+
+    posts = materialise(_prefixes(distinct, table, width, num, den), "prefixes")
+    lists = _lists(posts)
+    leaders = lists.groupBy("h").agg(F.min(F.struct("id", "n")).alias("lead"))
+    pairs = lists.join(leaders, "h").where(F.col("id") != F.col("lead.id"))
     pairs = pairs.where(den * F.least("n", "lead.n") >= num * F.greatest("n", "lead.n"))
     pairs = materialise(pairs.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
 
-    held = sized.where("n > 0 and not gone").select("id", "n", "sig", "wide").distinct()
-    links = _confirm(pairs, held, present, width, num, den)
-    classes = connected_components(links, "a", "b")
-    spread = shared.join(classes.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    held = nodes.join(few, ["id", "tx"], "left_anti").select("id", "n", "sig").distinct()
+    links = _decided(_bounded(pairs, held, num, den), held, distinct, width, num, den)
+    stars = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
+    spread = lists.join(stars, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = spread.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
-    spread = materialise(spread.join(mixed, "h", "left_semi"), "mixed-prefixes")
-    further = _tiles(spread, held, num, den).join(pairs, ["a", "b"], "left_anti")
-    more = _confirm(further, held, present, width, num, den)
-
-    edges = links.union(more).union(equal.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    roots = connected_components(edges, "a", "b")
-    out = sized.select("id", "gone", "n").join(roots, F.col("id") == F.col("node"), "left")
+    spread = materialise(spread.join(mixed, "h", "left_semi"), "mixed-lists")
+    more = _decided(_tiles(spread, held, num, den).join(pairs, ["a", "b"], "left_anti"), held, distinct, width, num, den)
+
+    several = nodes.groupBy("id").agg(F.min("d1").alias("x0"), F.max("d1").alias("x1"), F.min("d2").alias("y0"), F.max("d2").alias("y1")).where("x0 < x1 or y0 < y1").select("id")
+    bridges = equal.join(several, "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    roots = connected_components(links.union(more).union(bridges), "a", "b")
+    out = sized.select("id", "tx", "gone", "n").join(few, ["id", "tx"], "left").withColumn("node", F.coalesce("rep", "id"))
+    out = out.join(roots, "node", "left")
     own = F.when(~F.col("gone"), F.col("id"))
-    root = F.when(~F.col("gone"), F.coalesce("root", "id"))
+    root = F.when(~F.col("gone"), F.coalesce("root", "node"))
     return out.select(own.alias(doc_id), F.col("n").cast("long").alias("n_shingles"), root.alias("component_id"))

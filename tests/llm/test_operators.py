@@ -329,7 +329,7 @@ def test_shingle_join(spark, mixed, odd, empty):
 
 
 def test_shingle_join_small_tiles(spark, mixed, monkeypatch):
-    for name, value in (("BLOCK_ROWS", 3), ("TILE_SHINGLES", 200), ("TILE_BITMAP_SHINGLES", 300), ("PAIRS_AT_ONCE", 5), ("BROADCAST_IDS", 0)):
+    for name, value in (("BLOCK_ROWS", 3), ("TILE_SHINGLES", 200), ("BROADCAST_IDS", 0)):
         monkeypatch.setattr(shingle_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(mixed).collect()}
     assert got == brute_classes([(r.doc_id, r.text) for r in mixed.select("doc_id", "text").collect()])
@@ -338,16 +338,45 @@ def test_shingle_join_small_tiles(spark, mixed, monkeypatch):
 def test_bitmaps_bound_from_above():
     """No pair that links is lost by bitmaps of any width."""
     rng = np.random.RandomState(8)
-    for n in (1, 40, 700, 1500, 5000):
-        for share in (0.0, 0.85, 0.95, 1.0):
-            both = rng.randint(0, 2**62, int(n * share) + 1).astype(np.uint64)
-            x, y = (np.unique(np.concatenate((both, rng.randint(0, 2**62, n - int(n * share)).astype(np.uint64)))) for _ in range(2))
-            for a in (shingle_join._signature(x), shingle_join._wide_signature(x) or shingle_join._signature(x)):
-                for b in (shingle_join._signature(y), shingle_join._wide_signature(y) or shingle_join._signature(y)):
-                    bound = shingle_join._may_link(len(x), len(y), shingle_join._differing(a, b), 80, 100)
-                    assert bound or not shingle_join._linked(x, y, 80, 100)
-    x, y = rng.randint(0, 2**62, 3000).astype(np.uint64), rng.randint(0, 2**62, 3000).astype(np.uint64)
-    assert not shingle_join._may_link(3000, 3000, shingle_join._differing(shingle_join._wide_signature(x), shingle_join._wide_signature(y)), 80, 100)
+
+    def may_link(x, y):
+        a, b = shingle_join._signature(x), shingle_join._signature(y)
+        words = min(len(a), len(b)) // 8
+        differing = int(np.bitwise_count(shingle_join._fold(a, words) ^ shingle_join._fold(b, words)).sum())
+        return shingle_join._may_link(len(x), len(y), differing, 80, 100)
+
+    for n in (1, 40, 500, 530, 700, 1000, 1100, 5000):
+        for share in (0.0, 0.85, 0.9, 0.95, 1.0):
+            for m in (n, int(n * 1.1)):
+                both = rng.randint(0, 2**62, int(n * share) + 1).astype(np.uint64)
+                x, y = (np.unique(np.concatenate((both, rng.randint(0, 2**62, k - int(n * share)).astype(np.uint64)))) for k in (n, m))
+                assert may_link(x, y) or not shingle_join._linked(x, y, 80, 100)
+    for n in (300, 1000, 2000, 3000):
+        x, y = rng.randint(0, 2**62, n).astype(np.uint64), rng.randint(0, 2**62, n).astype(np.uint64)
+        assert not may_link(x, y)
+
+
+def test_shingle_join_shared_passage(spark):
+    """A passage in hundreds of documents makes no candidates among them."""
+    passage, rows = prose(950, 60), []
+    for i in range(300):
+        rows.append((i, f"{prose(1000 + i, 40)} {passage}", "en", "s"))
+    rows += [(300, prose(2000, 3000), "en", "s"), (301, prose(2000, 2990) + " a b c", "en", "s"), (302, rows[7][1] + " more", "en", "s")]
+    docs = documents(spark, rows)
+    want = {d: (n, c) for d, (n, c) in brute_classes([(r[0], r[1]) for r in rows[7:8] + rows[300:]]).items()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(docs).collect()}
+    assert {d: got[d] for d in want} == want and all(got[d][1] == d for d in range(300))
+    keyed = docs.select(F.col("doc_id").alias("id"), "text")
+    table = shingle_join._order_table(shingle_join._scan(keyed.select("id", F.lit(False).alias("gone"), "text", F.lit(0).cast("long").alias("tx")), 5).where("chunk is not null"))
+    assert shingle_join._lists(shingle_join._prefixes(keyed, table, 5, 80, 100)).groupBy("h").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_shingle_join_one_id_with_two_texts(spark):
+    """The id is one node: it links to what either of its texts links to."""
+    a, b = prose(3000, 60), prose(3001, 60)
+    rows = [(3, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (9, b + " x", "en", "s"), (10, prose(3002, 60), "en", "s")]
+    got = {(r.doc_id, r.component_id) for r in shingle_join.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (10, 10)}
 
 
 def test_shingle_join_wide_tiles(spark):
