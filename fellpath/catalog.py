@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fellpath.plans import network_queries
+from fellpath.plans import network_queries, sequence_queries, text_queries
 from fellpath.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES"]
+__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES", "sequence_queries", "text_queries"]
 
 ENTRY = network_queries.nearest_snap

@@ -1,7 +1,8 @@
 """Network views projected from the relational test tables.
 
 The tables hold no trails, so features, polyline vertices, legs, GPS fixes,
-query points and addresses are derived from them by plain SQL that Spark and
+query points, addresses and
+rides (times on a calendar of 31-day months) are derived from them by plain SQL that Spark and
 DuckDB both accept. Vertices lie on a lattice of 0.001 degree, far wider than
 any snap tolerance, so results do not depend on the order of rows.
 """
@@ -70,6 +71,14 @@ addresses AS (
          CAST(40.4 AS DOUBLE) + CAST(c_custkey % 97 AS DOUBLE) * CAST(0.00025 AS DOUBLE) AS lat,
          CAST(-89.2 AS DOUBLE) + CAST(c_custkey % 83 AS DOUBLE) * CAST(0.0006 AS DOUBLE) AS lon
   FROM {customer}),
+rides AS (
+  SELECT CAST(o_orderkey AS BIGINT) AS ride_id, CAST(o_custkey AS BIGINT) AS rider,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'ExerciseLoop' ELSE 'Navigation' END AS kind,
+         concat('Ride ', CAST(o_orderkey % 40 AS STRING)) AS title,
+         o_totalprice / 10 AS meters, CAST(o_custkey % 10 AS DOUBLE) * 60 AS access_m, CAST(o_orderkey % 4 AS DOUBLE) * 45 AS shared_m,
+         CAST(o_orderkey % 9 AS DOUBLE) * o_totalprice / 200 AS overlap_m, o_totalprice / 10 + CAST(o_orderkey % 7 AS DOUBLE) * 400 AS target_m,
+         CAST(year(o_orderdate) * 372 + month(o_orderdate) * 31 + day(o_orderdate) AS BIGINT) * 86400000 + CAST(o_orderkey % 86400 AS BIGINT) * 1000 AS used_ms
+  FROM {orders}),
 parts_before AS (SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, CAST(p_retailprice AS DOUBLE) AS price FROM {part} WHERE p_partkey % 10 <> 0),
 parts_after AS (
   SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name,
