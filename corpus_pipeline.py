@@ -33,9 +33,9 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, where=~langid.held_out())
-    kept = [c for c in docs.columns if c not in ("__pred", "__score")]
-    scored = langid.predict(docs, model, kept, pred="__pred", score="__score")
-    return scored.where((F.col("__pred") != langid.UNDETERMINED) & (F.col("__score") >= MIN_SCORE)).select(*kept)
+    scored = docs.withColumn("__judged", langid.judged(docs, model))
+    kept = (F.col("__judged.label") != langid.UNDETERMINED) & (F.col("__judged.score") >= MIN_SCORE)
+    return scored.where(kept).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ _PLACE = _rng.randint(1, 2**63 - 1, 64).astype(np.uint64) * np.uint64(2) + np.ui
 _powers: dict[str, np.ndarray] = {}
 
 #: Bytes hashed at once; one longer text is hashed on its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

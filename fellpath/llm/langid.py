@@ -174,20 +174,26 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", *, where: Colu
     return LanguageModel(labels, prior, matrix.astype(np.float32), orders, bits)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", *, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Columns ``keep`` of every row, its predicted label and posterior (0 to 1)."""
+def judged(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:
+    """Per row a struct (label, score) of its text; only the text reaches Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    wanted = docs.select(*keep, F.col(text).cast("string").alias("__text"))
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            labels, scores = shared.value.predict(batch["__text"].tolist())
-            out = batch.drop(columns="__text")
-            out[pred], out[score] = labels, scores
-            yield out
+    @F.pandas_udf("label string, score double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        labels, scores = shared.value.predict(texts.tolist())
+        return pd.DataFrame({"label": pd.Series(labels, dtype=object), "score": scores})
+
+    return judge(F.col(text).cast("string"))
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema if f.name != "__text")
-    return wanted.mapInPandas(apply, f"{schema}, `{pred}` string, `{score}` double")
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", *, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Columns ``keep`` of every row, its predicted label and posterior (0 to 1).
+
+    A kept column named like one of the results gives way to it.
+    """
+    kept = [F.col(c) for c in keep if c not in (pred, score)]
+    out = docs.select(*kept, judged(docs, model, text).alias("__judged"))
+    return out.select(*(c for c in keep if c not in (pred, score)), F.col("__judged.label").alias(pred), F.col("__judged.score").alias(score))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

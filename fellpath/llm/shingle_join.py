@@ -10,7 +10,7 @@ How a link is found:
 2. Prefix filter: with any fixed order of all shingles, two linked documents
    share a shingle among the first ``n - ceil(num/den * n) + 1`` of each. The
    order is by how many documents hold a shingle, rare first, then by hash.
-   Counts come from one table of 2^24 hashed counters, summed over all
+   Counts come from one table of 2^23 hashed counters, summed over all
    documents; counters that several shingles share make the order less good,
    never the result less exact.
 3. Prefix shingles with the same documents are one list; each distinct list is
@@ -49,7 +49,7 @@ from fellpath.operators.components import connected_components
 
 WIDTH, NUM, DEN = 5, 80, 100
 #: Counters of the table that orders shingles, and of one of its rows.
-COUNTER_BITS, CHUNK_BITS = 24, 13
+COUNTER_BITS, CHUNK_BITS = 23, 13
 #: Least bits of a signature, rows of a tile's block.
 SIGNATURE_BITS, BLOCK_ROWS = 1024, 512
 #: Shingles of the texts that meet in one task on each side.
@@ -99,9 +99,11 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                     counts[_slots(own)] += np.uint32(1)
                 part = batch.iloc[first : first + len(n)]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "gone": part["gone"].to_numpy(), "tx": pd.array(part["tx"], "Int64"), "n": pd.array(n, "Int32"), "d1": np.array(d1, np.uint64).view(np.int64), "d2": np.array(d2, np.uint64).view(np.int64), "sig": sig, "chunk": none.repeat(len(n)), "counts": None})
-        for chunk, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
-            if part.any():
-                yield pd.DataFrame({"id": [0], "gone": True, "tx": none, "n": pd.array([None], "Int32"), "d1": 0, "d2": 0, "sig": None, "chunk": pd.array([chunk], "Int64"), "counts": [zlib.compress(part.astype(np.min_scalar_type(int(part.max()))).tobytes(), 1)]})
+        parts = counts.reshape(-1, 1 << CHUNK_BITS)
+        for first in range(0, len(parts), 128):
+            held = [k for k in range(first, min(first + 128, len(parts))) if parts[k].any()]
+            packed = [zlib.compress(parts[k].astype(np.min_scalar_type(int(parts[k].max()))).tobytes(), 1) for k in held]
+            yield pd.DataFrame({"id": 0, "gone": True, "tx": none.repeat(len(held)), "n": pd.array([None] * len(held), "Int32"), "d1": 0, "d2": 0, "sig": None, "chunk": pd.array(held, "Int64"), "counts": packed})
 
     return docs.mapInPandas(scan, "id long, gone boolean, tx long, n int, d1 long, d2 long, sig binary, chunk long, counts binary")
 
@@ -110,7 +112,7 @@ def _order_table(counts: DataFrame) -> np.ndarray:
     """The order class of every counter in one byte: eight steps for each doubling.
 
     Tasks add up the rows of a chunk as they stream in, so what is held is at
-    most one table whatever the number of rows; 2^24 bytes reach the driver.
+    most one table whatever the number of rows; 2^23 bytes reach the driver.
     """
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,30 +254,45 @@ def _tiles(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
     rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     rows = rows.join(held.select("id", "sig"), "id")
 
-    tiles = rows.groupBy("h", "band", "lo", "hi").agg(F.collect_list(F.struct("id", "n", "root", (F.col("own") == F.col("band")).alias("own"), "block", "sig")).alias("x"))
-    tiles = tiles.where(F.size("x") > 1).select((F.col("lo") == F.col("hi")).alias("within"), *(F.col(f"x.{c}").alias(c) for c in ("id", "n", "root", "own", "block", "sig")))
+    key = ["h", "band", "lo", "hi"]
+    tiles = rows.select(*key, "id", "n", "root", (F.col("own") == F.col("band")).alias("own"), "block", "sig").repartition(*key).sortWithinPartitions(*key)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            for tile in batch.itertuples(index=False):
-                seen.update(_compare(tile, num, den))
-            yield pd.DataFrame(sorted(seen), columns=["a", "b"], dtype=np.int64)
+        for tile in _whole_tiles(batches, key):
+            found = _compare(tile, num, den)
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return tiles.mapInPandas(compare, "a long, b long").where("a <> b").distinct()
 
 
-def _compare(tile: tuple, num: int, den: int) -> list[tuple[int, int]]:
+def _whole_tiles(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Tiles of several rows from sorted batches; a tile that goes on in the next batch waits for it."""
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat((rest, batch), ignore_index=True)
+        values = rows[key].to_numpy()
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                yield rows.iloc[a:b]
+        rest = rows.iloc[cuts[-1] :]
+    if rest is not None and len(rest) > 1:
+        yield rest
+
+
+def _compare(tile: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of one tile that may link; each pair is taken in one band and one block pair."""
-    ids, n, root, block = (np.asarray(x, np.int64) for x in (tile.id, tile.n, tile.root, tile.block))
-    own = np.asarray(tile.own, bool)
-    words = min(len(s) for s in tile.sig) // 8
-    sig = np.stack([_fold(s, words) for s in tile.sig])
+    ids, n, root, block = (tile[c].to_numpy(np.int64) for c in ("id", "n", "root", "block"))
+    own, within = tile["own"].to_numpy(bool), bool(tile["lo"].iloc[0] == tile["hi"].iloc[0])
+    held = tile["sig"].tolist()
+    words = min(map(len, held)) // 8
+    sig = np.stack([_fold(s, words) for s in held])
     found = []
     for i in range(len(ids) - 1):
         js = np.arange(i + 1, len(ids))
         small, large = np.minimum(n[i], n[js]), np.maximum(n[i], n[js])
-        js = js[(root[i] != root[js]) & (own[i] | own[js]) & (tile.within | (block[i] != block[js])) & (den * small >= num * large)]
+        js = js[(root[i] != root[js]) & (own[i] | own[js]) & (within | (block[i] != block[js])) & (den * small >= num * large)]
         if len(js):
             differing = np.bitwise_count(sig[i] ^ sig[js]).sum(1, dtype=np.int64)
             for j in js[_may_link(n[i], n[js], differing, num, den)].tolist():
