@@ -6,9 +6,8 @@ order (source, size, hash of the id, id); the expected copies are summed along
 it, one random offset per source is added, and a document is emitted once for
 every integer boundary that its stretch of the sum crosses. With documents in
 order of size, neighbours stand in for each other and the words taken stay
-close to the target. Of ``DRAWS`` random offsets of a source the one whose mix
-comes closest to the target is taken, which matters where a source has few
-documents; it stays one offset for the whole source.
+close to the target: they miss it by less than the largest document of the
+source, and every document is taken as often as expected on average.
 
 The order comes from a range shuffle, not from a window per source, so a source
 that holds a third of all rows is dealt over many tasks. Ranks are local row
@@ -35,8 +34,6 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 #: Totals of this many sources at most are taken to the driver.
 MAX_SOURCES = 100_000
-#: Random offsets tried for each source.
-DRAWS = 16
 
 
 def words(text: str = "text") -> Column:
@@ -66,11 +63,10 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, max_repeat
     return out
 
 
-def _offsets(source: str | None, seed: int) -> list[float]:
-    """Uniform in (0, 1), multiples of 1/2048, so that sums stay exact."""
+def _offset(source: str | None, seed: int) -> float:
+    """Uniform in (0, 1), an odd multiple of 1/2048, so that sums stay exact."""
     name = f"{seed}:{'-' if source is None else '+' + source}".encode("utf-8", "surrogatepass")
-    draws = (hashlib.sha256(name + b":%d" % k).digest() for k in range(DRAWS))
-    return [(int.from_bytes(d[:4], "big") % 1024 * 2 + 1) / 2048 for d in draws]
+    return (int.from_bytes(hashlib.sha256(name).digest()[:4], "big") % 1024 * 2 + 1) / 2048
 
 
 def _crossed(offset: Column) -> Column:
@@ -88,8 +84,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         raise ValueError(f"more than {MAX_SOURCES} sources")
     totals.sort(key=lambda r: (r["__source"] is None, r["__source"] or ""))
     goals = targets([r["source_size"] for r in totals], weights, max_repeat)
-    plan = [(k, r["__source"], r["source_size"], goal, min(goal / r["source_size"], float(max_repeat)) if r["source_size"] else 0.0, _offsets(r["__source"], seed)) for k, (r, goal) in enumerate(zip(totals, goals, strict=True))]
-    sources = spark.createDataFrame(plan, "k int, s string, source_size long, target double, rate double, offsets array<double>")
+    plan = [(k, r["__source"], r["source_size"], goal, min(goal / r["source_size"], float(max_repeat)) if r["source_size"] else 0.0, _offset(r["__source"], seed)) for k, (r, goal) in enumerate(zip(totals, goals, strict=True))]
+    sources = spark.createDataFrame(plan, "k int, s string, source_size long, target double, rate double, offset double")
 
     placed = sized.join(F.broadcast(sources.select("k", "s")), F.col("__source").eqNullSafe(F.col("s"))).select("__id", "k", "size")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -112,8 +108,5 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     earlier = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = held.select("k", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("earlier"))
     out = numbered.join(F.broadcast(before), ["k", "part"]).join(F.broadcast(sources), "k").withColumn("rank", F.col("row") + F.col("earlier"))
-    tried = out.groupBy("k").agg(*(F.sum(F.col("size") * _crossed(F.col("offsets")[j])).alias(f"t{j}") for j in range(DRAWS)))
-    chosen = {r["k"]: min(range(DRAWS), key=lambda j: abs(r[f"t{j}"] - goals[r["k"]])) for r in tried.collect()}
-    picked = spark.createDataFrame([(k, p[5][chosen.get(k, 0)]) for k, p in enumerate(plan)], "k int, offset double")
-    out = out.join(F.broadcast(picked), "k").withColumn("copies", F.least(_crossed(F.col("offset")), F.ceil("rate")).cast("long"))
+    out = out.withColumn("copies", F.least(_crossed(F.col("offset")), F.ceil("rate")).cast("long"))
     return out.select(F.col("__id").alias(doc_id), F.col("s").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

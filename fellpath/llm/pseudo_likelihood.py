@@ -1,25 +1,30 @@
 """Document scores by the masked pseudo-likelihood of a window network.
 
 Each token is hidden and predicted from the two tokens on either side by a
-small network (position-weighted embeddings, tanh, softmax); the conditional
-log-probabilities of all tokens of a document add up to its score.
+small network (position-weighted embeddings, tanh, a softmax in three levels of
+16 branches); the conditional log-probabilities of all tokens of a document add
+up to its score.
 
-Tokens are words: the most frequent words of the whole corpus have symbols of
-their own, all others share hashed symbols, so the network has a fixed size.
-Words are counted over all documents. Training is data-parallel in numpy: in
-every round each task starts from the same weights, learns from one position in
-``TRAIN_ONE_IN`` of all its documents, and the results are averaged by the
-number of positions; what is learned from grows with the corpus.
+Tokens are words, counted over all documents: the most frequent ``WORDS`` have
+symbols of their own, all others share ``HASHED`` symbols by hash, so the
+network has a fixed size and can be broadcast. The softmax is over all 4,096
+symbols exactly, at the cost of 48 outputs a token.
+
+Training is data-parallel in numpy. In each of ``ROUNDS`` rounds every task
+starts from the same weights, learns from every position of the documents of
+that round (dealt by a hash of the text, so each document is learned from once)
+and the results are averaged by the number of positions. Weights are added up
+in parts that stream through tasks, whatever the number of tasks.
 
 Defined results: null, empty or blank text has no token, sum 0 and a null mean;
 a text of one word is predicted from padding; repeated rows give repeated
-results; weights depend on the rows and their partitioning only.
+results; weights depend on the rows and on how they are dealt to tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -28,35 +33,54 @@ from pyspark.sql import functions as F
 
 from fellpath.llm._words import blocks, hash_words
 
-#: Symbols: words of their own, then hashed ones; one more for padding.
-WORDS, HASHED = 96, 32
-SYMBOLS = WORDS + HASHED
-SIDE, WIDTH = 2, 24
-ROUNDS, TRAIN_ONE_IN, RATE, BATCH = 2, 8, 0.5, 512
-SCORE_ROWS = 16_384
+#: Branches of a level, and levels; symbols are words of their own, then hashed ones; one more pads.
+BRANCHES, LEVELS = 16, 3
+SYMBOLS = BRANCHES**LEVELS
+HASHED = 512
+WORDS = SYMBOLS - HASHED
+SIDE, WIDTH = 2, 16
+ROUNDS, RATE, BATCH = 2, 0.1, 2048
+SCORE_ROWS = 8_192
+#: Weights that travel in one row.
+PART = 8_192
 SEED = 20231
 
 
 @dataclass
 class Network:
-    """Sorted hashes of the words with symbols, their symbols, and weights."""
+    """Sorted hashes of the words with symbols, their symbols, and weights.
+
+    ``out[k]`` and ``bias[k]`` hold for each node of level k the weights of its
+    branches; a symbol's digits to the base ``BRANCHES`` are its way down."""
 
     known: np.ndarray
     symbol: np.ndarray
     embed: np.ndarray
     place: np.ndarray
-    out: np.ndarray
-    bias: np.ndarray
+    out: list[np.ndarray]
+    bias: list[np.ndarray]
+    squares: list[np.ndarray] = field(default_factory=list)
+
+    @classmethod
+    def fresh(cls, known: np.ndarray, symbol: np.ndarray) -> Network:
+        rng = np.random.RandomState(SEED)
+        nodes = [BRANCHES**k for k in range(LEVELS)]
+        embed = (rng.randn(SYMBOLS + 1, WIDTH) * 0.3).astype(np.float32)
+        out = [(rng.randn(n, WIDTH, BRANCHES) * 0.1).astype(np.float32) for n in nodes]
+        return cls(known, symbol, embed, np.ones((2 * SIDE, WIDTH), np.float32), out, [np.zeros((n, BRANCHES), np.float32) for n in nodes])
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.embed, self.place, *self.out, *self.bias]
 
     def weights(self) -> np.ndarray:
-        return np.concatenate([self.embed.ravel(), self.place.ravel(), self.out.ravel(), self.bias])
+        return np.concatenate([x.ravel() for x in self.arrays()])
 
     def with_weights(self, flat: np.ndarray) -> Network:
         parts, at = [], 0
-        for like in (self.embed, self.place, self.out, self.bias):
-            parts.append(flat[at : at + like.size].astype(np.float32).reshape(like.shape))
+        for like in self.arrays():
+            parts.append(flat[at : at + like.size].astype(like.dtype).reshape(like.shape))
             at += like.size
-        return Network(self.known, self.symbol, *parts)
+        return Network(self.known, self.symbol, parts[0], parts[1], parts[2 : 2 + LEVELS], parts[2 + LEVELS :])
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         out = (WORDS + (hashes % np.uint64(HASHED)).astype(np.int64)).astype(np.int32)
@@ -67,36 +91,69 @@ class Network:
         return out
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(around), WIDTH), np.float32)
+        total = np.zeros((len(around), WIDTH), self.embed.dtype)
         for k in range(2 * SIDE):
             total += self.embed[around[:, k]] * self.place[k]
         return np.tanh(total)
 
+    def _level(self, k: int, hid: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes of level ``k`` on the way to the targets, their branches, and log-probabilities of all branches."""
+        node, digit = target // BRANCHES ** (LEVELS - k), target // BRANCHES ** (LEVELS - 1 - k) % BRANCHES
+        logits = (hid @ self.out[0][0] if k == 0 else np.einsum("nw,nwb->nb", hid, self.out[k][node])) + self.bias[k][node]
+        logits -= logits.max(1, keepdims=True)
+        return node, digit, logits - np.log(np.exp(logits).sum(1, keepdims=True))
+
     def log_prob(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        logits = self.hidden(around) @ self.out + self.bias
-        top = logits.max(1)
-        return logits[np.arange(len(target)), target] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        hid, rows, out = self.hidden(around), np.arange(len(target)), np.zeros(len(target))
+        for k in range(LEVELS):
+            _, digit, log_p = self._level(k, hid, target)
+            out += log_p[rows, digit]
+        return out
+
+    def gradient(self, around: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+        """Of the mean negative log-probability, by array."""
+        n, rows = len(target), np.arange(len(target))
+        hid = self.hidden(around)
+        back, outs, biases = np.zeros_like(hid), [], []
+        for k in range(LEVELS):
+            node, digit, log_p = self._level(k, hid, target)
+            d = np.exp(log_p)
+            d[rows, digit] -= 1
+            d /= n
+            if k == 0:
+                outs.append((hid.T @ d)[None])
+                biases.append(d.sum(0)[None])
+                back += d @ self.out[0][0].T
+            else:
+                outs.append(_added(node, (hid[:, :, None] * d[:, None, :]).reshape(n, -1), len(self.out[k])).reshape(self.out[k].shape))
+                biases.append(_added(node, d, len(self.bias[k])))
+                back += np.einsum("nwb,nb->nw", self.out[k][node], d)
+        back *= 1 - hid**2
+        embed, place = np.zeros_like(self.embed), np.zeros_like(self.place)
+        for k in range(2 * SIDE):
+            place[k] = (back * self.embed[around[:, k]]).sum(0)
+        shares = (back[:, None, :] * self.place[None]).reshape(-1, WIDTH)
+        seen = around.ravel()
+        for w in range(WIDTH):
+            embed[:, w] = np.bincount(seen, shares[:, w], SYMBOLS + 1)
+        return [embed, place, *outs, *biases]
 
     def learn(self, around: np.ndarray, target: np.ndarray) -> None:
-        """One pass of minibatch gradient descent."""
+        """One pass of minibatch gradient descent, each weight by the size of its past steps."""
+        self.squares = self.squares or [np.full_like(x, 1e-10) for x in self.arrays()]
         for a in range(0, len(target), BATCH):
-            near, hit = around[a : a + BATCH], target[a : a + BATCH]
-            n = len(hit)
-            hid = self.hidden(near)
-            logits = hid @ self.out + self.bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(n), hit] -= 1
-            p *= RATE / n
-            back = (p @ self.out.T) * (1 - hid**2)
-            self.out -= hid.T @ p
-            self.bias -= p.sum(0)
-            for k in range(2 * SIDE):
-                seen = self.embed[near[:, k]]
-                step = back * self.place[k]
-                self.place[k] -= (back * seen).sum(0)
-                for w in range(WIDTH):
-                    self.embed[:, w] -= np.bincount(near[:, k], step[:, w], SYMBOLS + 1).astype(np.float32)
+            for weight, square, step in zip(self.arrays(), self.squares, self.gradient(around[a : a + BATCH], target[a : a + BATCH]), strict=True):
+                square += step * step
+                weight -= RATE * step / np.sqrt(square)
+
+
+def _added(node: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``rows`` by node."""
+    order = np.argsort(node, kind="stable")
+    there, first = np.unique(node[order], return_index=True)
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    out[there] = np.add.reduceat(rows[order], first)
+    return out
 
 
 def _contexts(raw: list[bytes], net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,14 +180,30 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).cast("string").alias("text")).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text: str = "text", *, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN) -> Network:
-    """Learn from every document of ``docs``."""
+def _mean(learned: DataFrame) -> np.ndarray | None:
+    """Weights of all tasks, averaged by their positions; rows are (part, w, n)."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        n: dict[int, int] = {}
+        for batch in batches:
+            for part, w, count in zip(batch["part"].tolist(), batch["w"].tolist(), batch["n"].tolist(), strict=True):
+                total[part] = total.get(part, 0) + np.frombuffer(w, np.float32).astype(np.float64) * count
+                n[part] = n.get(part, 0) + count
+        for part, own in total.items():
+            yield pd.DataFrame({"part": [part], "w": [np.round(own / n[part], 6).astype(np.float32).tobytes()]})
+
+    rows = learned.repartition(F.col("part")).mapInPandas(add, "part int, w binary").collect()
+    return np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(rows, key=lambda r: r["part"])]) if rows else None
+
+
+def train(docs: DataFrame, text: str = "text", *, rounds: int = ROUNDS) -> Network:
+    """Learn from every position of every document of ``docs``."""
     common = count_words(docs, text).orderBy(F.desc("n"), "h").limit(WORDS).collect()
     hashes = np.array([r["h"] for r in common], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    rng = np.random.RandomState(SEED)
-    net = Network(hashes[order], order.astype(np.int32), (rng.randn(SYMBOLS + 1, WIDTH) * 0.3).astype(np.float32), np.ones((2 * SIDE, WIDTH), np.float32), (rng.randn(WIDTH, SYMBOLS) * 0.1).astype(np.float32), np.zeros(SYMBOLS, np.float32))
-    rows = docs.select(F.col(text).cast("string").alias("text"))
+    net = Network.fresh(hashes[order], order.astype(np.int32))
+    rows = docs.select(F.col(text).cast("string").alias("text")).where("text is not null")
     for turn in range(rounds):
         start = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -140,16 +213,16 @@ def train(docs: DataFrame, text: str = "text", *, rounds: int = ROUNDS, one_in:
             for batch in batches:
                 for _, raw in blocks(batch["text"].tolist()):
                     around, target, _ = _contexts(raw, own)
-                    pick = (np.arange(len(target), dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(one_in) == turn % one_in
-                    own.learn(around[pick], target[pick])
-                    learned += int(pick.sum())
+                    own.learn(around, target)
+                    learned += len(target)
             if learned:
-                flat = own.weights().astype(np.float64)
-                yield pd.DataFrame({"at": np.arange(len(flat), dtype=np.int32), "w": flat * learned, "n": np.int64(learned)})
+                flat = own.weights().astype(np.float32)
+                parts = [flat[a : a + PART].tobytes() for a in range(0, len(flat), PART)]
+                yield pd.DataFrame({"part": np.arange(len(parts), dtype=np.int32), "w": parts, "n": np.int64(learned)})
 
-        mean = rows.mapInPandas(learn, "at int, w double, n long").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
-        if len(mean):
-            net = net.with_weights(np.round(mean.sort_values("at")["w"].to_numpy(), 7))
+        mean = _mean(rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).mapInPandas(learn, "part int, w binary, n long"))
+        if mean is not None:
+            net = net.with_weights(mean)
     return net
 
 

@@ -79,6 +79,14 @@ QUERIES: dict[str, Query] = {
 
 #: The others cannot be written in SQL; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc_zst": """
+        WITH d AS (
+          SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id THEN first END AS refers_to, NULL::VARCHAR AS error
+        FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest
+    """,
     "op2_voronoi_knn": """
         WITH valid AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v

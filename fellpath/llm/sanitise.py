@@ -40,6 +40,10 @@ KINDS = ("email", "ip", "card", "phone", "term")
 MIN_SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 #: Entities, disclosing terms or term spans that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Keys of copies (8 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST_COPIES = 1_000_000
+#: Terms whose verdict a task remembers at once; more are looked up anew.
+REMEMBERED = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -161,8 +165,26 @@ def find_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return materialise(keyed.mapInPandas(scan, schema), "entities")
 
 
-def term_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (t, n_t): in how many distinct texts each term occurs."""
+def _distinct_texts(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Each distinct text once as ``__text``. Only keys are grouped; texts move
+    only where the same row is repeated, or where more copies than
+    ``BROADCAST_COPIES`` have to be told apart."""
+    rows = found.where("same is not null").groupBy("same", "k1").agg(F.count("*").alias("m"))
+    first = rows.groupBy("same").agg(F.min(F.struct("k1", "m")).alias("first"))
+    later = rows.join(first, "same").where(F.col("k1") != F.col("first.k1")).select("k1")
+    again = first.where(F.col("first.m") > 1).select(F.col("first.k1").alias("k1"))
+    aside = materialise(later.withColumn("later", F.lit(True)).unionByName(again.withColumn("later", F.lit(False))), "copies")
+    n_aside = aside.count()
+    marked = F.broadcast(aside) if n_aside <= BROADCAST_COPIES else aside
+    joined = _keyed(docs, doc_id, text).select("k1", "__text").where("__text is not null").join(marked, "k1", "left")
+    once = joined.where("later is null").select("__text")
+    if not n_aside or aside.where("not later").isEmpty():
+        return once
+    return once.union(joined.where("not later").select("__text").distinct())
+
+
+def term_documents(texts: DataFrame) -> DataFrame:
+    """Rows (t, n_t): in how many of the distinct ``texts`` (column ``__text``) each term occurs."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,7 +193,6 @@ def term_documents(docs: DataFrame, text: str = "text") -> DataFrame:
                 seen.update({term.lower() for term in set(_TERM.findall(body))})
             yield pd.DataFrame({"t": _term_hash(list(seen)), "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
-    texts = docs.select(F.col(text).cast("string").alias("__text")).where("__text is not null").distinct()
     return texts.mapInPandas(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
@@ -198,16 +219,24 @@ def term_spans(docs: DataFrame, rules: DataFrame, doc_id: str = "doc_id", text:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = known.value
+        memo: dict[str, bool] = {}
+        none = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         for batch in batches:
             held = []
             for body in batch["__text"]:
-                found = _terms(body, [])
-                hashes = _term_hash([x[0] for x in found])
-                hit = np.ones(len(hashes), bool) if wanted is None else np.searchsorted(wanted, hashes, "right") > np.searchsorted(wanted, hashes)
-                free = set(_terms(body, base_spans(body))) if hit.any() else set()
-                hit &= np.array([x in free for x in found], bool)
+                words = {term.lower() for term in set(_TERM.findall(body))}
+                if wanted is not None:
+                    if len(memo) > REMEMBERED:
+                        memo.clear()
+                    new = [w for w in words if w not in memo]
+                    hashes = _term_hash(new)
+                    memo.update(zip(new, (np.searchsorted(wanted, hashes, "right") > np.searchsorted(wanted, hashes)).tolist(), strict=True))
+                    if not any(memo[w] for w in words):
+                        held.append(none)
+                        continue
+                found = [x for x in _terms(body, base_spans(body)) if wanted is None or memo[x[0]]]
                 at = np.array([x[1:] for x in found], np.int32).reshape(-1, 2)
-                held.append((hashes[hit], at[hit, 0], at[hit, 1]))
+                held.append((_term_hash([x[0] for x in found]), at[:, 0], at[:, 1]))
             out = batch.drop(columns="__text")
             out["t"], out["s"], out["f"] = ([x[k] for x in held] for k in range(3))
             yield out[out["t"].map(len) > 0]
@@ -221,7 +250,7 @@ def term_spans(docs: DataFrame, rules: DataFrame, doc_id: str = "doc_id", text:
 
 def _plan(docs: DataFrame, doc_id: str, text: str, options: dict) -> tuple[DataFrame, DataFrame]:
     found = find_entities(docs, doc_id, text)
-    rules = disclosing(found, term_documents(docs, text), found.where("same is not null").select("same").distinct().count(), **options)
+    rules = disclosing(found, term_documents(_distinct_texts(docs, found, doc_id, text)), found.where("same is not null").select("same").distinct().count(), **options)
     return found, materialise(term_spans(docs, rules, doc_id, text), "term-spans")
 
 

@@ -15,7 +15,9 @@ never finished are not in it.
 
 Defined results: a null payload is empty; a null URL has no target header; a
 record that fails validation is returned with ``error`` set and what was read
-of it; repeated rows give repeated records; an empty table gives no archive.
+of it; repeated rows give repeated records of one type; a null id has a record
+named so, which revisits the smallest id of an equal payload (rows without any
+id are all responses); an empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -51,11 +53,16 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def train_dictionary(pages: DataFrame, payload: str) -> bytes:
-    """A dictionary from the ``SAMPLES`` payloads with the smallest digests."""
-    rows = pages.select(F.substring(payload, 1, SAMPLE_BYTES).alias("p"), F.xxhash64(payload).alias("h")).where(F.length("p") > 0)
-    samples = [bytes(r["p"]) for r in rows.orderBy("h", "p").limit(SAMPLES).collect()]
+    """A dictionary from the ``SAMPLES`` distinct payloads with the smallest hashes.
+
+    Hashes are compared first, so only the payloads chosen are sent."""
+    hashed = pages.select(F.substring(payload, 1, SAMPLE_BYTES).alias("p"), F.xxhash64(payload).alias("h")).where(F.length("p") > 0)
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLES).collect()]
+    if len(least) < 16:
+        return b""
+    samples = [bytes(r["p"]) for r in hashed.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("p").alias("p")).orderBy("h").collect()]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 16 else b""
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too little to learn from
         return b""
 
@@ -65,11 +72,11 @@ def _clean(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def build_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
+def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
     """One record; a revisit has the HTTP head of the payload but not its body."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = [VERSION.decode(), f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = [VERSION.decode(), f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
     if refers_to is not None:
@@ -138,7 +145,8 @@ def parse_record(record: bytes) -> dict:
     out |= {"record_type": fields["WARC-Type"], "url": fields.get("WARC-Target-URI")}
     try:
         length = int(fields["Content-Length"])
-        out["page_id"] = int(fields["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">"))
+        name = fields["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
+        out["page_id"] = None if name == "null" else int(name)
         if "WARC-Refers-To" in fields:
             out["refers_to"] = int(fields["WARC-Refers-To"].removeprefix("<urn:page:").removesuffix(">"))
     except ValueError:
@@ -165,10 +173,10 @@ def _plan(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     """Rows (id, url, payload, digest, refers_to)."""
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.encode(F.col(html).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    first = rows.where(F.length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.coalesce("id", F.lit(0)), F.lit(SALTS)).cast("int")).join(first, ["digest", "salt"], "left")
-    return rows.select("id", "url", F.when(F.col("first") < F.col("id"), F.col("first")).alias("refers_to"), "digest", "payload")
+    rows = rows.withColumn("salt", F.pmod(F.coalesce("id", F.xxhash64("url")), F.lit(SALTS)).cast("int")).join(first, ["digest", "salt"], "left")
+    return rows.select("id", "url", F.when((F.col("first") < F.col("id")) | F.col("id").isNull(), F.col("first")).alias("refers_to"), "digest", "payload")
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -200,7 +208,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
         for batch in batches:
             for key, target, refers, digest, payload in zip(batch["id"], batch["url"], batch["refers_to"], batch["digest"], batch["payload"], strict=True):
-                frame = writer.compress(build_record(int(key), target if isinstance(target, str) else None, bytes(payload), digest, None if pd.isna(refers) else int(refers)))
+                frame = writer.compress(build_record(None if key is None else int(key), target if isinstance(target, str) else None, bytes(payload), digest, None if pd.isna(refers) else int(refers)))
                 held.append(frame)
                 size, records = size + len(frame), records + 1
                 if size >= archive_bytes:
@@ -209,7 +217,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             close()
         yield pd.DataFrame(done, columns=["path", "records", "bytes"]).astype({"path": object, "records": np.int64, "bytes": np.int64})
 
-    kept = rows.where("id is not null").withColumn("refers_to", F.col("refers_to").cast("string"))
+    kept = rows.withColumns({c: F.col(c).cast("string") for c in ("id", "refers_to")})
     return materialise(kept.mapInPandas(write, "path string, records long, bytes long"), "manifest")
 
 
