@@ -8,8 +8,9 @@ bands that reach the bound are regions to verify, and a banded alignment of the
 whole item against the region decides.
 
 Letters count in lower case and every white-space character as a blank. The
-edit budget of an item is ``rate`` of its length, at most ``max_edits``, and no
-more than leaves one q-gram for the bound. The index of the items is broadcast
+edit budget of an item is ``rate`` of its length, at most ``max_edits`` where
+that is given, and no more than leaves one q-gram for the bound. Shared q-grams
+are expanded a bounded number at a time, however often one repeats. The index of the items is broadcast
 in blocks of bounded size, one pass over the documents for each block, so a
 large benchmark needs no large broadcast. Documents are never shuffled.
 
@@ -30,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Q = 8
-RATE, MAX_EDITS = 0.1, 64
+RATE = 0.1
 #: Characters of benchmark text in one broadcast index.
 BLOCK_CHARS = 1_000_000
 #: Characters searched at once; longer documents are cut into overlapping pieces.
 PIECE_CHARS = 500_000
+#: Pairs of equal q-grams expanded at once.
+HITS_AT_ONCE = 2_000_000
 _SLOT_BITS = 21
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _END = 0x110000
@@ -77,18 +80,19 @@ def _slots(grams: np.ndarray) -> np.ndarray:
 class Index:
     """All q-grams of a block of items, with a table of slots to look up first."""
 
-    def __init__(self, ids: list, texts: list[str], rate: float = RATE, max_edits: int = MAX_EDITS):
+    def __init__(self, ids: list, texts: list[str], rate: float = RATE, max_edits: int | None = None):
         self.ids, self.items = [], []
         for key, text in zip(ids, texts, strict=True):
             if isinstance(text, str) and len(text) >= Q:
                 self.ids.append(key)
                 self.items.append(_codes(text))
         self.sizes = np.array([len(c) for c in self.items], np.int64)
-        self.edits = np.minimum(np.minimum((self.sizes * rate).astype(np.int64), max_edits), (self.sizes - Q) // Q)
+        self.edits = np.minimum((self.sizes * rate).astype(np.int64), (self.sizes - Q) // Q)
+        if max_edits is not None:
+            self.edits = np.minimum(self.edits, max_edits)
         self.bound = self.sizes - Q + 1 - Q * self.edits
-        self.slack = int(self.edits.max(initial=0))
-        self.band = 1 << max(4, int(self.slack).bit_length())
-        self.width = self.band + self.slack
+        self.band = np.array([1 << max(4, int(e).bit_length()) for e in self.edits], np.int64)
+        self.width = self.band + self.edits
         grams = [_grams(c)[: len(c) - Q + 1].copy() for c in self.items]
         every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -105,7 +109,7 @@ class Index:
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
         if not self.items:
             return []
-        overlap = int(self.sizes.max()) + 2 * self.width
+        overlap = int((self.sizes + 2 * self.width).max())
         held, size = [], 0
         for row, text in enumerate(texts):
             if not isinstance(text, str):
@@ -145,31 +149,38 @@ class Index:
         same = self.grams[place] == value
         at, place = at[same], place[same]
         count = self.first[place + 1] - self.first[place]
-        total = int(count.sum())
-        if not total:
+        if not len(at):
             return
-        post = np.repeat(self.first[place] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total)
-        piece = np.repeat(np.searchsorted(begins, at, side="right") - 1, count)
-        item = self.post_item[post].astype(np.int64)
-        diagonal = np.repeat(at, count) - begins[piece] - self.post_at[post]
-        band = diagonal // self.band
-        again = diagonal - band * self.band < self.edits[item]
-        base, spread = int(band.min()) - 1, int(band.max() - band.min()) + 3
-        key = (piece * len(self.items) + item) * spread + (band - base)
-        key = np.concatenate((key, key[again] - 1))
-        key, hits = np.unique(key, return_counts=True)
+        piece_of = np.searchsorted(begins, at, side="right") - 1
+        base = -int(self.sizes.max()) // 16 - 2
+        spread = int(lengths.max()) // 16 + 2 - base
+        keys, hits, done = [], [], np.concatenate(([0], np.cumsum(count)))
+        cut = np.unique(np.concatenate((np.searchsorted(done, np.arange(0, done[-1], HITS_AT_ONCE)), [len(at)])))
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            n = count[x:y]
+            post = np.repeat(self.first[place[x:y]] - (done[x:y] - done[x]), n) + np.arange(done[y] - done[x])
+            piece, item = np.repeat(piece_of[x:y], n), self.post_item[post].astype(np.int64)
+            diagonal = np.repeat(at[x:y] - begins[piece_of[x:y]], n) - self.post_at[post]
+            band = diagonal // self.band[item]
+            again = diagonal - band * self.band[item] < self.edits[item]
+            key = (piece * len(self.items) + item) * spread + (band - base)
+            own, times = np.unique(np.concatenate((key, key[again] - 1)), return_counts=True)
+            keys.append(own)
+            hits.append(times)
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        hits = np.bincount(back, np.concatenate(hits)).astype(np.int64)
         own = key // spread
         enough = hits >= self.bound[own % len(self.items)]
         key, own = key[enough], own[enough]
         for k in np.unique(own % len(self.items)).tolist():
             mine = own % len(self.items) == k
             where = own[mine] // len(self.items)
-            low = (key[mine] % spread + base) * self.band
+            low = (key[mine] % spread + base) * self.band[k]
             self._verify(k, pieces, codes, begins, lengths, where, low, found)
 
     def _verify(self, k: int, pieces: list, codes: np.ndarray, begins: np.ndarray, lengths: np.ndarray, where: np.ndarray, low: np.ndarray, found: dict) -> None:
         item = self.items[k]
-        reach = len(item) + self.width - 1
+        reach = len(item) + int(self.width[k]) - 1
         for a in range(0, len(where), 256):
             w, lo = where[a : a + 256], low[a : a + 256]
             column = lo[:, None] + np.arange(reach)
@@ -218,7 +229,7 @@ def _align(item: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return d[np.arange(len(d)), best], best + m
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, rate: float, max_edits: int) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, rate: float, max_edits: int | None) -> Iterator[Index]:
     items = benchmark.select(F.col(item_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.length("text") >= Q)
     chars = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = -(-chars // BLOCK_CHARS)
@@ -227,7 +238,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, rate: float, max_edit
         yield Index([r["id"] for r in rows], [r["text"] for r in rows], rate, max_edits)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, rate: float = RATE, max_edits: int = MAX_EDITS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, rate: float = RATE, max_edits: int | None = None) -> DataFrame:
     """One row per benchmark item found in a document: ``doc_id``, ``item_id``,
     ``start``, ``end`` (code points) and ``edits``."""
     spark = docs.sparkSession
@@ -251,7 +262,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", *, rate: float = RATE, max_edits: int = MAX_EDITS) -> Column:
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", *, rate: float = RATE, max_edits: int | None = None) -> Column:
     """A column with the number of benchmark passages in each text of ``docs``."""
 
     def counted(index: Index) -> Column:

@@ -167,6 +167,51 @@ def test_alignment_against_plain_edit_distance():
             assert cost[0] == 0
 
 
+def brute_edits(item, text):
+    """Fewest edits of the whole item against any part of a text, cell by cell."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, t in enumerate(text, 1):
+            last, row[j] = row[j], min(last + (c != t), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def test_search_against_brute_force(monkeypatch):
+    """Exactly the items within their budget are found, with their edits, in every text."""
+    monkeypatch.setattr(decontaminate, "HITS_AT_ONCE", 50)
+    rng = random.Random(12)
+    items = [prose(700 + k, 6 + 5 * k)[: 30 + 40 * k] for k in range(6)] + ["a" * 40, " ." * 20]
+    texts = ["", "a" * 300, " . " * 60 + " ." * 30, prose(800, 60)]
+    for _ in range(40):
+        part = list(rng.choice(items))
+        for _ in range(rng.randint(0, len(part) // 7)):
+            at = rng.randrange(len(part))
+            part[at] = rng.choice(["", "#", part[at] + "x"])
+        texts.append(prose(rng.randint(900, 990), rng.randint(0, 20)) + "".join(part) + prose(rng.randint(900, 990), rng.randint(0, 20)))
+    index = decontaminate.Index(list(range(len(items))), items)
+    got = {}
+    for row, item, _, _, edits in index.search(texts):
+        got[row, item] = min(edits, got.get((row, item), 999))
+    want = {}
+    for row, text in enumerate(texts):
+        for k, item in enumerate(items):
+            edits = brute_edits(item.lower(), text.lower())
+            if edits <= index.edits[k]:
+                want[row, k] = edits
+    assert got == want and sum(1 for e in want.values() if e) > 5
+
+
+def test_long_items_have_their_whole_budget():
+    item = prose(720, 500)[:2000]
+    edited = list(item)
+    for at in range(3, 2000, 20):
+        edited[at] = "#"
+    index = decontaminate.Index([1], [item])
+    (found,) = index.search(["x " * 400 + "".join(edited) + " y" * 300])
+    assert found[1] == 0 and 90 <= found[4] <= 100
+
+
 def test_long_documents_are_searched_in_pieces(monkeypatch):
     item = prose(55, 40)
     text = prose(56, 400) + item + prose(57, 400) + item
