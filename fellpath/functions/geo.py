@@ -5,6 +5,8 @@ All take and give DOUBLE degrees and metres and stay inside code generation.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,14 +87,23 @@ def maneuver(delta) -> Column:  # noqa: ANN001
 
 
 def grid_cell(lat, lon, meters: float) -> tuple[Column, Column]:  # noqa: ANN001
-    """Row and column of the grid cell of a point; cells are ``meters`` wide or wider."""
-    import math
+    """Row and column of the grid cell of a point.
 
+    Rows are ``meters`` high. Columns are ``meters`` wide at the grid's own
+    latitude and narrower further north; ``columns_around`` tells how many of
+    them ``meters`` may span.
+    """
     lat_step = meters / GRID_METERS_PER_DEGREE
     lon_step = meters / (GRID_METERS_PER_DEGREE * math.cos(GRID_LATITUDE))
     return F.floor(_c(lat) / F.lit(lat_step)), F.floor(_c(lon) / F.lit(lon_step))
 
 
+def columns_around(lat) -> Column:  # noqa: ANN001
+    """How many columns on either side of a point at ``lat`` lie within one cell's metres."""
+    narrow = F.cos(F.radians(F.least(F.abs(_c(lat)) + F.lit(0.05), F.lit(89.9))))
+    return F.ceil(F.lit(math.cos(GRID_LATITUDE) * GRID_METERS_PER_DEGREE / (EARTH_RADIUS * math.pi / 180) * 1.0001) / narrow).cast("long")
+
+
 def tile_key(lat, lon) -> tuple[Column, Column]:  # noqa: ANN001
     """Row and column of the 0.01 degree tile of a point."""
     return F.floor(_c(lat) * 100), F.floor(_c(lon) * 100)
@@ -117,10 +128,20 @@ def _factor(column: Column, table: dict[str, float], other: float = 1.0) -> Colu
     return out
 
 
-def edge_cost(distance, facility, comfort, role) -> Column:  # noqa: ANN001
-    """Trail metres weighted by facility, comfort and a shared-roadway surcharge."""
-    shared = F.when(_c(role) == "SharedRoadways", F.lit(SHARED_ROADWAY_FACTOR)).otherwise(F.lit(1.0))
-    return _c(distance) * _factor(_c(facility), FACILITY_FACTOR) * _factor(_c(comfort), COMFORT_FACTOR) * shared
+def role_factor(roles) -> Column:  # noqa: ANN001
+    """Shared roadways cost more unless the feature is a park connector too; ``roles`` is an array."""
+    roles = _c(roles)
+    shared = F.array_contains(roles, "SharedRoadways") & ~F.array_contains(roles, "ParkConnectors")
+    return F.when(shared, F.lit(SHARED_ROADWAY_FACTOR)).otherwise(F.lit(1.0))
+
+
+def edge_cost(distance, facility, comfort, roles, access=0.0, estimated=0.0, hazard=0.0) -> Column:  # noqa: ANN001
+    """Cost of an edge: trail metres weighted by facility, comfort and roles, its
+    access metres (``estimated`` of them unmapped), and hazards."""
+    distance, access = _c(distance), _c(access)
+    unmapped = F.least(_c(estimated), access)
+    trail = F.greatest(F.lit(0.0), distance - access)
+    return trail * _factor(_c(facility), FACILITY_FACTOR) * _factor(_c(comfort), COMFORT_FACTOR) * role_factor(roles) + access_cost(F.greatest(F.lit(0.0), access - unmapped), unmapped) + _c(hazard)
 
 
 def access_cost(routed, estimated, grace: float = 125.0) -> Column:  # noqa: ANN001
@@ -136,3 +157,15 @@ def recency_weight(age_days, half_life: float = 21.0) -> Column:  # noqa: ANN001
 
 def loop_tolerance(target) -> Column:  # noqa: ANN001
     return F.greatest(F.lit(160.0), _c(target) * F.lit(0.1))
+
+
+def segments_distance(a, b, c, d) -> Column:  # noqa: ANN001
+    """Metres between segments a-b and c-d, each end a (lat, lon) pair: 0 where they cross,
+    else the least distance of an end to the other segment."""
+
+    def side(p, q, r) -> Column:  # noqa: ANN001
+        return (_c(q[1]) - _c(p[1])) * (_c(r[0]) - _c(p[0])) - (_c(q[0]) - _c(p[0])) * (_c(r[1]) - _c(p[1]))
+
+    cross = (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
+    ends = [project_to_segment(*p, *q, *r)["distance"] for p, q, r in ((a, c, d), (b, c, d), (c, a, b), (d, a, b))]
+    return F.when(cross, F.lit(0.0)).otherwise(F.least(*ends))

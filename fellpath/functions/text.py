@@ -211,9 +211,12 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-@F.pandas_udf("string")
-def route_key(value: pd.Series) -> pd.Series:
+def route_key(value: Column | str) -> Column:
     """``route-`` and the 64-bit FNV-1a hash of the UTF-8 bytes, 16 hex digits."""
+    return F.pandas_udf(_route_keys, "string")(_c(value))
+
+
+def _route_keys(value: pd.Series) -> pd.Series:
     raw = [None if v is None else v.encode() for v in value]
     size = max((len(r) for r in raw if r is not None), default=0)
     out, prime = np.full(len(raw), 0xCBF29CE484222325, np.uint64), np.uint64(0x100000001B3)

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,15 +9,6 @@ from fellpath.functions import geo
 from fellpath.operators.components import connected_components
 from fellpath.plans.staging import materialise
 
-#: Rows of a side that is broadcast at most; larger sides are shuffled.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def pair_legs(points: DataFrame) -> DataFrame:
     """Consecutive vertices of each feature as legs with their length in metres."""
     order = Window.partitionBy("feature_ord").orderBy("vertex_ord")
@@ -34,21 +21,39 @@ def with_length(legs: DataFrame) -> DataFrame:
 
 
 def snap_vertices(points: DataFrame, meters: float = 15.0) -> DataFrame:
-    """Each vertex with the node it snaps to: the earliest vertex within
-    ``meters``, found through grid cells of that width and their neighbours.
-
-    Order is (feature_ord, vertex_ord). A vertex snaps to the earliest vertex
-    in reach whether or not that one snapped elsewhere; chains of vertices
-    therefore do not drift, and the result needs no ordered pass.
+    """Each vertex with the node it snaps to, in the order (feature_ord, vertex_ord).
+
+    A vertex is a node if no earlier node is within ``meters``; else it snaps to
+    an earlier node in reach, that of the smallest cell row, then column, then
+    order. Nodes are found by rounds over distinct places: a place whose earlier
+    neighbours are all settled as snapped is a node, one next to a node is
+    snapped. A round is two joins over what is still open; places in random
+    order need a logarithmic number of rounds, a densely drawn line up to one
+    for every second vertex. Rows with null coordinates are left out; equal
+    orders at one place are one vertex.
     """
     row, col = geo.grid_cell("lat", "lon", meters)
-    placed = points.withColumns({"row": row, "col": col, "ord": F.struct("feature_ord", "vertex_ord")})
-    nodes = placed.groupBy("row", "col", "lat", "lon").agg(F.min("ord").alias("node_ord"))
-    near = nodes.select(*(F.col(c).alias(f"n_{c}") for c in ("lat", "lon")), "node_ord", F.explode(_around("row", 1)).alias("row"), "col")
-    near = near.withColumn("col", F.explode(_around("col", 1)))
-    found = nodes.drop("node_ord").join(near, ["row", "col"]).where(geo.haversine("lat", "lon", "n_lat", "n_lon") <= meters)
-    best = found.groupBy("row", "col", "lat", "lon").agg(F.min("node_ord").alias("node_ord"))
-    return placed.join(best, ["row", "col", "lat", "lon"]).select("feature_ord", "vertex_ord", "lat", "lon", F.col("node_ord.feature_ord").alias("node_feature"), F.col("node_ord.vertex_ord").alias("node_vertex"))
+    sound = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    placed = sound.withColumns({"row": row, "col": col, "ord": F.struct("feature_ord", "vertex_ord")})
+    places = materialise(placed.groupBy("row", "col", "lat", "lon").agg(F.min("ord").alias("ord")), "places")
+    reach = geo.columns_around("lat")
+    spread = places.withColumn("c", F.explode(F.sequence(F.col("col") - reach, F.col("col") + reach))).withColumn("r", F.explode(_around("row", 1)))
+    look = places.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), F.col("ord").alias("n_ord"))
+    near = spread.join(look, ["r", "c"]).where((F.col("n_ord") < F.col("ord")) & (geo.haversine("lat", "lon", "n_lat", "n_lon") <= meters))
+    near = materialise(near.select("ord", "n_ord"), "earlier-places")
+    nodes = materialise(places.select("ord").join(near.select("ord").distinct(), "ord", "left_anti"), "nodes")
+    new = nodes
+    while not near.isEmpty():
+        snapped = materialise(near.join(new.withColumnRenamed("ord", "n_ord"), "n_ord", "left_semi").select("ord").distinct(), "snapped")
+        left = near.join(snapped, "ord", "left_anti").join(snapped.withColumnRenamed("ord", "n_ord"), "n_ord", "left_anti").select("ord", "n_ord")
+        left = materialise(left, "earlier-places")
+        new = materialise(near.select("ord").distinct().join(snapped, "ord", "left_anti").join(left.select("ord").distinct(), "ord", "left_anti"), "nodes")
+        nodes, near = materialise(nodes.union(new), "nodes"), left
+    known = places.join(nodes, "ord").select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), F.col("ord").alias("n_ord"))
+    offered = spread.drop("ord").join(known, ["r", "c"]).where(geo.haversine("lat", "lon", "n_lat", "n_lon") <= meters).select("lat", "lon", "r", "c", "n_ord")
+    held = placed.join(offered, ["lat", "lon"]).where(F.col("n_ord") <= F.col("ord"))
+    best = held.groupBy("feature_ord", "vertex_ord", "lat", "lon").agg(F.min(F.struct("r", "c", "n_ord")).alias("best"))
+    return best.select("feature_ord", "vertex_ord", "lat", "lon", F.col("best.n_ord.feature_ord").alias("node_feature"), F.col("best.n_ord.vertex_ord").alias("node_vertex"))
 
 
 def _around(column: str, reach: int) -> Column:
@@ -77,94 +82,223 @@ def components(edges: DataFrame) -> DataFrame:
     return connected_components(edges, "u", "v").select(F.col("node").alias("node_id"), F.col("root").alias("component_id"))
 
 
+SEGMENT = ["a_lat", "a_lon", "b_lat", "b_lon"]
+
+
 def segments_in_reach(points: DataFrame, legs: DataFrame, meters: float) -> DataFrame:
     """Every (point, leg) pair within ``meters``, with the projection ``p``.
 
-    Legs are copied to the grid cells of their bounding box; a point looks in
-    its own cell and those around it. Only an equi-join on cells remains.
+    Legs are copied to the grid cells that their bounding box can be reached
+    from; a point looks in its own cell. Only an equi-join on cells remains.
     """
     row, col = geo.grid_cell("lat", "lon", meters)
     asked = points.withColumns({"row": row, "col": col})
     lo = geo.grid_cell(F.least("a_lat", "b_lat"), F.least("a_lon", "b_lon"), meters)
     hi = geo.grid_cell(F.greatest("a_lat", "b_lat"), F.greatest("a_lon", "b_lon"), meters)
-    cells = legs.withColumn("row", F.explode(F.sequence(lo[0] - 1, hi[0] + 1))).withColumn("col", F.explode(F.sequence(lo[1] - 1, hi[1] + 1)))
-    found = asked.join(cells, ["row", "col"]).withColumn("p", geo.project_to_segment("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon"))
+    reach = geo.columns_around(F.greatest(F.abs("a_lat"), F.abs("b_lat")))
+    cells = legs.withColumn("row", F.explode(F.sequence(lo[0] - 1, hi[0] + 1))).withColumn("col", F.explode(F.sequence(lo[1] - reach, hi[1] + reach)))
+    found = asked.join(cells, ["row", "col"]).withColumn("p", geo.project_to_segment("lat", "lon", *SEGMENT))
     return found.where(F.col("p.distance") <= meters).drop("row", "col")
 
 
-def nearest_legs(points: DataFrame, legs: DataFrame, k: int, meters: float) -> DataFrame:
-    """The ``k`` nearest legs of every point within ``meters``; ties by leg order."""
-    order = Window.partitionBy("point_id").orderBy("distance", "feature_ord", "leg_ord")
-    found = segments_in_reach(points, legs, meters).select("point_id", "feature_ord", "leg_ord", F.col("p.distance").alias("distance"), F.col("p.t").alias("t"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def places_in_reach(points: DataFrame, legs: DataFrame, meters: float) -> DataFrame:
+    """``segments_in_reach`` of distinct places and distinct segments: lat, lon, the
+    segment's ends, p. However often a road is ridden or a place asked for, each
+    pair is projected once, so popular cells hold only what is different in them."""
+    return segments_in_reach(points.select("lat", "lon").distinct(), legs.select(*SEGMENT).distinct(), meters)
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, limit: float) -> DataFrame:
-    """Cheapest cost from every start to every node within ``limit``.
+def nearest_legs(points: DataFrame, legs: DataFrame, k: int, meters: float) -> DataFrame:
+    """The ``k`` nearest legs of every point within ``meters``: the point's columns,
+    feature_ord, leg_ord, distance, t, rank. Ties (1e-6 m) go to the smaller feature, then leg.
 
-    ``edges``: u, v, cost (undirected); ``starts``: start. A frontier relaxes
-    over the edges, all starts at once, until nothing improves; each round is
-    one join on the node and one aggregation, so graphs of any size stay spread.
+    Of legs on one segment only the first ``k`` can be among the nearest.
+    """
+    first = Window.partitionBy(*SEGMENT).orderBy("feature_ord", "leg_ord")
+    few = legs.select(*SEGMENT, "feature_ord", "leg_ord").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    pairs = places_in_reach(points, legs, meters).select("lat", "lon", *SEGMENT, F.col("p.distance").alias("distance"), F.col("p.t").alias("t"))
+    order = Window.partitionBy("lat", "lon").orderBy(F.round("distance", 6), "feature_ord", "leg_ord")
+    ranked = pairs.join(few, SEGMENT).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop(*SEGMENT)
+    return points.join(ranked, ["lat", "lon"])
+
+
+def features_in_reach(points: DataFrame, legs: DataFrame, vertices: DataFrame, meters: float) -> DataFrame:
+    """Features with a leg or a vertex within ``meters`` of any point."""
+    if not 0 <= meters < float("inf"):
+        return legs.select("feature_ord").limit(0)
+    dots = vertices.select("feature_ord", *(F.col(c).alias(f"{e}_{c}") for e in "ab" for c in ("lat", "lon")))
+    drawn = legs.select("feature_ord", *SEGMENT).unionByName(dots).distinct()
+    near = places_in_reach(points, drawn, meters).select(*SEGMENT).distinct()
+    return drawn.join(near, SEGMENT, "left_semi").select("feature_ord").distinct()
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, limit: float = float("inf"), hops: int = 4) -> DataFrame:
+    """Cheapest way from every start to every node within ``limit``: start, node, cost, hops, before.
+
+    ``edges``: u, v, cost (undirected, cost 0 or more); ``starts``: start, and
+    where they are given node and cost at which it enters. ``before`` is the node
+    before on the way (null where it enters); ties go to fewer hops, then to the
+    smaller node. A frontier relaxes over the edges, all starts at once, until
+    nothing improves; a round is ``hops`` joins and aggregations and one write.
     """
     both = edges.select("u", "v", "cost").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost"))
-    both = materialise(both.where("cost >= 0").groupBy("u", "v").agg(F.min("cost").alias("cost")), "adjacency")
-    best = materialise(starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0.0).alias("cost")).distinct(), "settled")
+    both = materialise(both.where("cost >= 0 and u <> v").groupBy("u", "v").agg(F.min("cost").alias("step")), "adjacency")
+    own = starts if "node" in starts.columns else starts.select("start", F.col("start").alias("node"))
+    own = own if "cost" in own.columns else own.withColumn("cost", F.lit(0.0))
+    kind = both.schema["u"].dataType
+    label = F.struct(F.col("cost").cast("double").alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("before"))
+    best = materialise(own.where(F.col("cost") <= limit).groupBy("start", "node").agg(F.min(label).alias("label")), "settled")
     frontier = best
     while not frontier.isEmpty():
-        reached = frontier.join(both.withColumnRenamed("cost", "step"), F.col("node") == F.col("u"))
-        reached = reached.select("start", F.col("v").alias("node"), (F.col("cost") + F.col("step")).alias("cost")).where(F.col("cost") <= limit)
-        offered = reached.groupBy("start", "node").agg(F.min("cost").alias("offer"))
-        merged = best.join(offered, ["start", "node"], "full").withColumn("better", F.col("offer").isNotNull() & (F.col("cost").isNull() | (F.col("offer") < F.col("cost") - 1e-9)))
-        merged = materialise(merged.select("start", "node", F.when(F.col("better"), F.col("offer")).otherwise(F.col("cost")).alias("cost"), "better"), "settled")
-        best, frontier = merged.select("start", "node", "cost"), merged.where("better").select("start", "node", "cost")
-    return best
+        offered, wave = None, frontier
+        for _ in range(hops):
+            reached = wave.join(both, F.col("node") == F.col("u"))
+            step = F.struct((F.col("label.cost") + F.col("step")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.col("node").alias("before"))
+            wave = reached.select("start", F.col("v").alias("node"), step.alias("label")).where(F.col("label.cost") <= limit).groupBy("start", "node").agg(F.min("label").alias("label"))
+            offered = wave if offered is None else offered.unionByName(wave)
+        offered = offered.groupBy("start", "node").agg(F.min("label").alias("offer"))
+        merged = best.join(offered, ["start", "node"], "full")
+        better = F.col("offer").isNotNull() & (F.col("label").isNull() | (F.col("offer.cost") < F.col("label.cost") - 1e-9))
+        merged = materialise(merged.select("start", "node", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), better.alias("better")), "settled")
+        best, frontier = merged.select("start", "node", "label"), merged.where("better").select("start", "node", "label")
+    return best.select("start", "node", "label.cost", "label.hops", "label.before")
+
+
+def path_nodes(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The nodes of the ways to ``wanted`` (start, node): start, goal, place, node, with
+    place 0 at the goal. Walks all predecessors at once, one join a step, written between."""
+    at = materialise(wanted.select("start", F.col("node").alias("goal"), "node").distinct().join(tree.select("start", "node", "before"), ["start", "node"]).select("start", "goal", F.lit(0).alias("place"), "node", "before"), "path")
+    out = at
+    while not at.where("before is not null").isEmpty():
+        up = at.where("before is not null").select("start", "goal", (F.col("place") + 1).alias("place"), F.col("before").alias("node"))
+        at = materialise(up.join(tree.select("start", "node", "before"), ["start", "node"]).select("start", "goal", "place", "node", "before"), "path")
+        out = out.unionByName(at)
+    return out.select("start", "goal", "place", "node")
+
+
+def direct_plans(requests: DataFrame, legs: DataFrame, reach: float = 800.0) -> DataFrame:
+    """The shortest way over the network between the legs nearest to both ends of each
+    request (request, from_lat, from_lon, to_lat, to_lon): request, meters, from_m, to_m.
+
+    Both ends snap to their nearest leg within ``reach`` and enter the network
+    at either end of that leg; ends on one leg may be joined along it. Requests
+    that find no leg or no way have no row. All requests are searched at once.
+    """
+    measured = with_length(legs)
+    ends = {}
+    for side in ("from", "to"):
+        points = requests.select("request", F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lon").alias("lon")).where("lat is not null and lon is not null")
+        snap = nearest_legs(points, measured, 1, reach).join(measured.select("feature_ord", "leg_ord", "a_id", "b_id", "meters"), ["feature_ord", "leg_ord"])
+        ends[side] = materialise(snap.select("request", F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v"), "meters", "distance", F.when(F.col("a_id") <= F.col("b_id"), F.col("t")).otherwise(1 - F.col("t")).alias("t")), f"{side}-snaps")
 
+    def entries(snaps: DataFrame) -> DataFrame:
+        return snaps.select("request", F.explode(F.array(F.struct(F.col("u").alias("node"), (F.col("meters") * F.col("t")).alias("cost")), F.struct(F.col("v").alias("node"), (F.col("meters") * (1 - F.col("t"))).alias("cost")))).alias("e")).select("request", "e.*")
 
-def route_totals(legs: DataFrame) -> DataFrame:
-    """Per feature: metres, legs, and metres that repeat an earlier stretch."""
-    keyed = legs.withColumns({"u": F.least("a_id", "b_id"), "v": F.greatest("a_id", "b_id")})
-    per_key = keyed.groupBy("feature_ord", "u", "v").agg(F.sum("meters").alias("total"), F.max("meters").alias("longest"), F.count("*").alias("n"))
-    return per_key.groupBy("feature_ord").agg(F.sum("total").alias("meters"), F.sum("n").alias("n_legs"), F.sum(F.col("total") - F.col("longest")).alias("self_overlap"))
+    tree = shortest_paths(undirected_edges(measured).withColumnRenamed("meters", "cost"), entries(ends["from"]).withColumnRenamed("request", "start"))
+    over = tree.join(entries(ends["to"]).select(F.col("request").alias("start"), "node", F.col("cost").alias("last")), ["start", "node"]).groupBy(F.col("start").alias("request")).agg(F.min(F.col("cost") + F.col("last")).alias("over"))
+    both = ends["from"].alias("f").join(ends["to"].alias("t"), "request").join(over, "request", "left")
+    along = F.when((F.col("f.u") == F.col("t.u")) & (F.col("f.v") == F.col("t.v")), F.abs(F.col("f.t") - F.col("t.t")) * F.col("f.meters"))
+    out = both.select("request", F.least("over", along).alias("meters"), F.col("f.distance").alias("from_m"), F.col("t.distance").alias("to_m"))
+    return out.where("meters is not null")
 
 
-def search_trees(edges: DataFrame, requests: DataFrame, limit: float) -> DataFrame:
-    """Cost, hops and predecessor of every node within ``limit`` of each start.
+def totals(legs: DataFrame, group: str = "feature_ord") -> DataFrame:
+    """Per route: meters, access_meters and shared_meters; ``legs`` have meters, access and roles (array)."""
+    shared = F.when(F.array_contains("roles", "SharedRoadways"), F.greatest(F.lit(0.0), F.col("meters") - F.col("access"))).otherwise(0.0)
+    return legs.groupBy(group).agg(F.sum("meters").alias("meters"), F.sum("access").alias("access_meters"), F.sum(shared).alias("shared_meters"))
 
-    One Dijkstra per start in Arrow batches over a broadcast edge list; for
-    graphs of at most ``BROADCAST_ROWS`` edges. Larger graphs are refused:
-    ``shortest_paths`` has no such bound. Ties go to fewer hops, then to the
-    smaller predecessor.
-    """
-    import heapq
-
-    rows = edges.select("u", "v", "cost").limit(BROADCAST_ROWS + 1).toPandas()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} edges; use shortest_paths")
-    nodes, at = np.unique(np.concatenate((rows["u"], rows["v"])), return_inverse=True)
-    u, v = at[: len(rows)], at[len(rows) :]
-    tail, head, cost = np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((rows["cost"], rows["cost"]))
-    order = np.lexsort((head, tail))
-    first = np.searchsorted(tail[order], np.arange(len(nodes) + 1))
-    graph = edges.sparkSession.sparkContext.broadcast((nodes, first, head[order], cost[order]))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nodes, first, head, cost = graph.value
-        for batch in batches:
-            for start in batch["start"]:
-                here = int(np.searchsorted(nodes, start))
-                if here == len(nodes) or nodes[here] != start:
-                    continue
-                done: dict[int, tuple[float, int, int]] = {}
-                heap = [(0.0, 0, -1, here)]
-                while heap:
-                    so_far, hops, before, node = heapq.heappop(heap)
-                    if node in done:
-                        continue
-                    done[node] = (so_far, hops, before)
-                    for k in range(first[node], first[node + 1]):
-                        if int(head[k]) not in done and so_far + cost[k] <= limit:
-                            heapq.heappush(heap, (so_far + float(cost[k]), hops + 1, node, int(head[k])))
-                keys = list(done)
-                yield pd.DataFrame({"start": start, "node": nodes[keys], "cost": [done[x][0] for x in keys], "hops": np.array([done[x][1] for x in keys], np.int32), "before": pd.array([None if done[x][2] < 0 else int(nodes[done[x][2]]) for x in keys], "Int64")})
-
-    return requests.select("start").distinct().mapInPandas(search, "start long, node long, cost double, hops int, before long")
+
+def self_overlap(legs: DataFrame, group: str = "feature_ord") -> DataFrame:
+    """Per route: metres that repeat an earlier stretch of the same undirected leg (u, v)."""
+    per_key = legs.groupBy(group, "u", "v").agg(F.sum("meters").alias("total"), F.max("meters").alias("longest"))
+    return per_key.groupBy(group).agg(F.sum(F.greatest(F.lit(0.0), F.col("total") - F.col("longest"))).alias("self_overlap"))
+
+
+def part_summary(legs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Per component: n_features, n_legs, km, and total_km of the whole network."""
+    joined = legs.withColumn("node_id", F.least("a_id", "b_id")).join(parts, "node_id")
+    per_feature = joined.groupBy("component_id", "feature_ord").agg(F.count("*").alias("n"), F.sum("meters").alias("m"))
+    out = per_feature.groupBy("component_id").agg(F.count("*").alias("n_features"), F.sum("n").alias("n_legs"), (F.sum("m") / 1000).alias("km"))
+    return out.withColumn("total_km", F.lit(legs.agg(F.sum("meters") / 1000).first()[0]))
+
+
+def viewports(points: DataFrame, group: str = "feature_ord", pad: float = 0.08, least: float = 0.002) -> DataFrame:
+    """Per route the box of its sound points around its centre: at least ``least``
+    degrees, ``pad`` of it more on each side, within the limits of the map."""
+    sound = points.where(F.col("lat").between(-85, 85) & F.col("lon").between(-180, 180) & ~F.isnan("lat") & ~F.isnan("lon"))
+    box = sound.groupBy(group).agg(*(f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    half = {c: F.greatest(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(least)) * (0.5 + pad) for c in ("lat", "lon")}
+    centre = {c: (F.col(f"hi_{c}") + F.col(f"lo_{c}")) / 2 for c in ("lat", "lon")}
+    return box.select(group, F.greatest(F.lit(-85.0), centre["lat"] - half["lat"]).alias("south"), F.least(F.lit(85.0), centre["lat"] + half["lat"]).alias("north"), F.greatest(F.lit(-180.0), centre["lon"] - half["lon"]).alias("west"), F.least(F.lit(180.0), centre["lon"] + half["lon"]).alias("east"))
+
+
+def turns(legs: DataFrame, group: str = "feature_ord", order: str = "leg_ord") -> DataFrame:
+    """Legs with their ``bearing`` and ``delta``, the turn from the leg before (null for the first)."""
+    w = Window.partitionBy(group).orderBy(order)
+    out = legs.withColumn("bearing", geo.bearing("a_lat", "a_lon", "b_lat", "b_lon"))
+    return out.withColumn("delta", geo.turn_delta(F.lag("bearing").over(w), "bearing"))
+
+
+def reversed_legs(legs: DataFrame, group: str = "feature_ord", order: str = "leg_ord") -> DataFrame:
+    """The same route the other way: ends change places, and the order is counted from the end."""
+    w = Window.partitionBy(group).orderBy(F.desc(order))
+    swapped = {f"{x}_{c}": F.col(f"{y}_{c}") for x, y in ("ab", "ba") for c in ("id", "lat", "lon")}
+    return legs.withColumn("_back", F.row_number().over(w)).withColumns(swapped | {order: F.col("_back")}).drop("_back")
+
+
+def route_keys(edges: DataFrame, group: str, edge: str) -> DataFrame:
+    """(group, key): the distinct edges of a route in order with their rounded millimetres."""
+    summed = edges.groupBy(group, edge).agg(F.floor(F.sum("meters") * 1000 + 0.5).cast("string").alias("mm"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(edge, "mm"))), lambda x: F.concat(x[edge], F.lit(":"), x["mm"]))
+    return summed.groupBy(group).agg(F.concat(F.lit("exercise:"), F.array_join(parts, "|")).alias("key"))
+
+
+def top_of(rows: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each group in order; Spark cuts each task to ``k`` before the shuffle."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+
+
+def first_of(rows: DataFrame, group: list[str], order: list) -> DataFrame:
+    """The first row of each group in order."""
+    return top_of(rows, group, order, 1)
+
+
+def path_keys(points: DataFrame, group: str = "feature_ord", order: str = "vertex_ord") -> DataFrame:
+    """(group, key): the nodes of a path in order, or backwards if that sorts first."""
+    ordered = points.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "node_id"))), lambda p: p["node_id"].cast("string")).alias("n"))
+    return ordered.select(group, F.least(F.array_join("n", ";"), F.array_join(F.reverse("n"), ";")).alias("key"))
+
+
+def interval_overlaps(a: DataFrame, b: DataFrame, group: str, cell: float) -> DataFrame:
+    """Every pair of intervals (lo, hi) of one group that overlap, with ``overlap``.
+
+    Intervals meet in cells of ``cell`` units; a pair counts in the cell where its
+    overlap begins, so none is told twice and only near intervals are compared."""
+
+    def placed(rows: DataFrame, tag: str) -> DataFrame:
+        cells = F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))
+        return rows.where("hi > lo").withColumn("_cell", F.explode(cells)).select(group, "_cell", F.col("lo").alias(f"{tag}_lo"), F.col("hi").alias(f"{tag}_hi"))
+
+    both = placed(a, "a").join(placed(b, "b"), [group, "_cell"]).where("a_lo < b_hi and b_lo < a_hi")
+    start = F.greatest("a_lo", "b_lo")
+    return both.where(F.floor(start / cell) == F.col("_cell")).withColumn("overlap", F.least("a_hi", "b_hi") - start).drop("_cell")
+
+
+def points_near(points: DataFrame, places: DataFrame, meters: float) -> DataFrame:
+    """``points`` within ``meters`` of any of ``places`` (lat, lon), by grid cells."""
+    row, col = geo.grid_cell("lat", "lon", meters)
+    reach = geo.columns_around("lat")
+    held = places.select("lat", "lon").distinct().withColumns({"_r": row, "_c": col}).select("_r", "_c", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    asked = points.withColumns({"_row": row, "_col": col}).withColumn("_r", F.explode(_around("_row", 1))).withColumn("_c", F.explode(F.sequence(F.col("_col") - reach, F.col("_col") + reach)))
+    near = asked.join(held, ["_r", "_c"]).where(geo.haversine("lat", "lon", "p_lat", "p_lon") <= meters)
+    return near.select(*points.columns).distinct()
+
+
+def project_to_polylines(legs: DataFrame, lat: Column, lon: Column, group: str = "feature_ord", order: str = "leg_ord") -> DataFrame:
+    """Per polyline the nearest place to a point: distance, along and left; the first leg wins ties."""
+    w = Window.partitionBy(group).orderBy(order)
+    before = F.coalesce(F.sum("meters").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = legs.withColumns({"_at": before, "_whole": F.sum("meters").over(Window.partitionBy(group)), "_p": geo.project_to_segment(lat, lon, *SEGMENT)})
+    along = F.least(F.col("_whole"), F.col("_at") + F.col("_p.t") * F.col("meters"))
+    best = rows.groupBy(group).agg(F.min(F.struct(F.col("_p.distance").alias("distance"), order, along.alias("along"), F.col("_whole").alias("whole"))).alias("x"))
+    return best.select(group, "x.distance", "x.along", (F.col("x.whole") - F.col("x.along")).alias("left"))

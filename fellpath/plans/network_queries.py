@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fellpath.functions import geo
-from fellpath.operators import network
+from fellpath.operators import network, rules, sequence
 from fellpath.plans.projection import view
 from fellpath.plans.registry import query, sql_haversine, sql_segment
+from fellpath.plans.staging import materialise
 
 LENGTH = sql_haversine("a_lat", "a_lon", "b_lat", "b_lon")
 MEASURED = f", measured AS (SELECT *, {LENGTH} AS meters, least(a_id, b_id) AS u, greatest(a_id, b_id) AS v FROM legs)"
@@ -32,18 +33,17 @@ SELECT point_id, feature_ord, leg_ord, round(distance, 4) AS distance, rank FROM
   FROM d WHERE distance <= 150) WHERE rank <= 3""")
 def nearest_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest legs of every query point within 150 m."""
-    found = network.segments_in_reach(view(spark, sf_dir, "query_points"), view(spark, sf_dir, "legs"), 150.0)
-    order = Window.partitionBy("point_id").orderBy(F.round("p.distance", 6), "feature_ord", "leg_ord")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 3)
-    return ranked.select("point_id", "feature_ord", "leg_ord", F.round("p.distance", 4).alias("distance"), "rank")
+    ranked = network.nearest_legs(view(spark, sf_dir, "query_points"), view(spark, sf_dir, "legs"), 3, 150.0)
+    return ranked.select("point_id", "feature_ord", "leg_ord", F.round("distance", 4).alias("distance"), "rank")
 
 
 @query("flt02_proximity", f"""
-SELECT DISTINCT feature_ord FROM query_points, legs
-WHERE abs(lat - (a_lat + b_lat) / 2) < 0.003 AND abs(lon - (a_lon + b_lon) / 2) < 0.004 AND {sql_segment('lat', 'lon', 'd')} <= 60""")
+SELECT feature_ord FROM query_points, legs
+WHERE abs(lat - (a_lat + b_lat) / 2) < 0.003 AND abs(lon - (a_lon + b_lon) / 2) < 0.004 AND {sql_segment('lat', 'lon', 'd')} <= 60
+UNION SELECT p.feature_ord FROM query_points q, points p WHERE abs(q.lat - p.lat) < 0.001 AND abs(q.lon - p.lon) < 0.001 AND {sql_haversine('q.lat', 'q.lon', 'p.lat', 'p.lon')} <= 60""")
 def proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features with a leg within 60 m of any query point."""
-    return network.segments_in_reach(view(spark, sf_dir, "query_points"), view(spark, sf_dir, "legs"), 60.0).select("feature_ord").distinct()
+    """Features with a leg or a vertex within 60 m of any query point."""
+    return network.features_in_reach(view(spark, sf_dir, "query_points"), view(spark, sf_dir, "legs"), view(spark, sf_dir, "points"), 60.0)
 
 
 @query("jon05_map_tap", f"""
@@ -55,20 +55,26 @@ FROM query_points q LEFT JOIN near n ON q.point_id = n.point_id LEFT JOIN featur
 def map_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tapped point: snapped within 20 m or left where it is, with a label."""
     points, features = view(spark, sf_dir, "query_points"), view(spark, sf_dir, "features").select("feature_ord", "name")
-    found = network.segments_in_reach(points, view(spark, sf_dir, "legs"), 20.0)
-    best = found.groupBy("point_id").agg(F.min_by("feature_ord", F.struct(F.round("p.distance", 6), "feature_ord", "leg_ord")).alias("feature_ord"))
+    best = network.nearest_legs(points, view(spark, sf_dir, "legs"), 1, 20.0).select("point_id", "feature_ord")
     labelled = points.join(best, "point_id", "left").join(features, "feature_ord", "left")
     label = F.coalesce("name", F.when(F.col("feature_ord").isNull(), "Map point").otherwise("Trail"))
     return labelled.select("point_id", F.col("feature_ord").isNotNull().alias("snapped"), label.alias("label"))
 
 
-@query("jon01_vertex_snap", "SELECT node_id, count(*) AS n_vertices, min(feature_ord) AS first_feature FROM points GROUP BY node_id")
+@query("jon01_vertex_snap")
 def vertex_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertices of each snapped node; on the lattice a node is a lattice point."""
-    points = view(spark, sf_dir, "points")
-    snapped = network.snap_vertices(points).join(points.select("feature_ord", "vertex_ord", "node_id"), ["feature_ord", "vertex_ord"])
-    per_node = snapped.groupBy("node_feature", "node_vertex").agg(F.count("*").alias("n_vertices"), F.min("node_id").alias("node_id"))
-    return per_node.select("node_id", "n_vertices", F.col("node_feature").alias("first_feature"))
+    """Vertices of each snapped node, on walks of which every second lattice line is 11 m from the last.
+
+    No SQL: whether a vertex is a node depends on all nodes before it; tests hold
+    it against the ordered pass."""
+    snapped = network.snap_vertices(close_points(spark, sf_dir))
+    return snapped.groupBy("node_feature", "node_vertex").agg(F.count("*").alias("n_vertices"))
+
+
+def close_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertices drawn together to steps of 11 m north and 21 m east."""
+    row, col = F.col("node_id") % 10000 - 500, F.floor(F.col("node_id") / 10000) - 500
+    return view(spark, sf_dir, "points").select("feature_ord", "vertex_ord", (F.lit(40.4) + row * 0.0001).alias("lat"), (F.lit(-89.2) + col * 0.00025).alias("lon"))
 
 
 @query("agg01_path_length", MEASURED + "SELECT feature_ord, round(sum(meters), 3) AS meters FROM measured GROUP BY feature_ord")
@@ -76,22 +82,31 @@ def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured_legs(spark, sf_dir).groupBy("feature_ord").agg(F.round(F.sum("meters"), 3).alias("meters"))
 
 
-@query("agg02_route_totals", MEASURED + """
-SELECT m.feature_ord, round(sum(meters), 3) AS meters, round(sum(CASE WHEN f.role = 'SharedRoadways' THEN meters ELSE 0 END), 3) AS shared_meters
+ACCESS = "CASE WHEN leg_ord % 4 = 0 THEN meters * 0.25::DOUBLE ELSE 0 END"
+
+
+@query("agg02_route_totals", MEASURED + f"""
+SELECT m.feature_ord, round(sum(meters), 3) AS meters, round(sum({ACCESS}), 3) AS access_meters, round(sum(CASE WHEN f.role = 'SharedRoadways' THEN greatest(0, meters - {ACCESS}) ELSE 0 END), 3) AS shared_meters
 FROM measured m JOIN features f ON f.feature_ord = m.feature_ord GROUP BY m.feature_ord""")
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metres of each feature, and those on shared roadways."""
-    joined = measured_legs(spark, sf_dir).join(view(spark, sf_dir, "features").select("feature_ord", "role"), "feature_ord")
-    shared = F.when(F.col("role") == "SharedRoadways", F.col("meters")).otherwise(0.0)
-    return joined.groupBy("feature_ord").agg(F.round(F.sum("meters"), 3).alias("meters"), F.round(F.sum(shared), 3).alias("shared_meters"))
+    """Metres of each feature, its access metres (a quarter of every fourth leg), and those on shared roadways."""
+    joined = measured_legs(spark, sf_dir).join(view(spark, sf_dir, "features").select("feature_ord", F.array("role").alias("roles")), "feature_ord")
+    out = network.totals(joined.withColumn("access", F.when(F.col("leg_ord") % 4 == 0, F.col("meters") * 0.25).otherwise(0.0)))
+    return out.select("feature_ord", *(F.round(c, 3).alias(c) for c in ("meters", "access_meters", "shared_meters")))
 
 
 @query("agg03_self_overlap", MEASURED + """
-SELECT feature_ord, round(sum(total), 3) AS meters, CAST(sum(n) AS BIGINT) AS n_legs, round(sum(total - longest), 3) AS self_overlap
-FROM (SELECT feature_ord, u, v, sum(meters) AS total, max(meters) AS longest, count(*) AS n FROM measured GROUP BY feature_ord, u, v) GROUP BY feature_ord""")
+, s AS (SELECT *, sum(meters) OVER (PARTITION BY feature_ord) AS whole, coalesce(sum(meters) OVER (PARTITION BY feature_ord ORDER BY leg_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM measured),
+h AS (SELECT *, least(150, whole * 0.025::DOUBLE) AS stem, meters - greatest(0, least(meters, least(150, whole * 0.025::DOUBLE) - before)) AS rest FROM s),
+t AS (SELECT *, coalesce(sum(rest) OVER (PARTITION BY feature_ord ORDER BY leg_ord DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM h),
+k AS (SELECT feature_ord, u, v, rest - greatest(0, least(rest, stem - after)) AS m FROM t)
+SELECT feature_ord, round(sum(total - longest), 3) AS self_overlap
+FROM (SELECT feature_ord, u, v, sum(m) AS total, max(m) AS longest FROM k WHERE m > 0 GROUP BY feature_ord, u, v) GROUP BY feature_ord""")
 def self_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = network.route_totals(measured_legs(spark, sf_dir))
-    return out.select("feature_ord", F.round("meters", 3).alias("meters"), "n_legs", F.round("self_overlap", 3).alias("self_overlap"))
+    """Metres that repeat an earlier stretch, less the stems at both ends."""
+    legs = measured_legs(spark, sf_dir).withColumns({"u": F.least("a_id", "b_id"), "v": F.greatest("a_id", "b_id")})
+    out = network.self_overlap(sequence.without_stems(legs))
+    return out.select("feature_ord", F.round("self_overlap", 3).alias("self_overlap"))
 
 
 @query("grf03_adjacency", BOTH + "SELECT u, count(*) AS n_neighbours, round(sum(meters), 3) AS meters FROM both_ways GROUP BY u")
@@ -110,44 +125,32 @@ def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("grf04_components", """
-, kept AS (SELECT DISTINCT least(a_id, b_id) AS u, greatest(a_id, b_id) AS v FROM legs l JOIN features f ON f.feature_ord = l.feature_ord WHERE f.status = 'Proposed' AND f.facility = 'BikeLane'),
-adj AS (SELECT u, v FROM kept UNION ALL SELECT v, u FROM kept),
+WALK = """
 labels AS (
   WITH RECURSIVE walk(node, label) USING KEY (node) AS (
     SELECT u, u FROM adj GROUP BY u
     UNION
     SELECT a.v, min(w.label) FROM walk w JOIN adj a ON a.u = w.node JOIN recurring.walk r ON r.node = a.v WHERE w.label < r.label GROUP BY a.v)
-  SELECT node, label FROM walk)
-SELECT node AS node_id, label AS component_id FROM labels""")
+  SELECT node, label FROM walk)"""
+
+
+@query("grf04_components", "\n, adj AS (SELECT DISTINCT a_id AS u, b_id AS v FROM legs UNION SELECT b_id, a_id FROM legs)," + WALK + " SELECT node AS node_id, label AS component_id FROM labels")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the proposed bike-lane network."""
-    features = view(spark, sf_dir, "features").where("status = 'Proposed' AND facility = 'BikeLane'").select("feature_ord")
-    legs = measured_legs(spark, sf_dir).join(features, "feature_ord", "left_semi")
-    return network.components(network.undirected_edges(legs))
+    """Components of the whole network."""
+    return network.components(edges(spark, sf_dir))
 
 
-@query("agg18_part_summary", """
-, kept AS (SELECT least(a_id, b_id) AS u, greatest(a_id, b_id) AS v, """ + LENGTH + """ AS meters FROM legs l JOIN features f ON f.feature_ord = l.feature_ord WHERE f.status = 'Proposed' AND f.facility = 'BikeLane'),
-adj AS (SELECT u, v FROM kept UNION SELECT v, u FROM kept),
-labels AS (
-  WITH RECURSIVE walk(node, label) USING KEY (node) AS (
-    SELECT u, u FROM adj GROUP BY u
-    UNION
-    SELECT a.v, min(w.label) FROM walk w JOIN adj a ON a.u = w.node JOIN recurring.walk r ON r.node = a.v WHERE w.label < r.label GROUP BY a.v)
-  SELECT node, label FROM walk)
-SELECT l.label AS component_id, count(*) AS n_legs, round(sum(k.meters) / 1000, 6) AS km FROM kept k JOIN labels l ON l.node = k.u GROUP BY l.label""")
+@query("agg18_part_summary", MEASURED + ", adj AS (SELECT DISTINCT u, v FROM measured UNION SELECT v, u FROM measured)," + WALK + """
+SELECT l.label AS component_id, count(DISTINCT feature_ord) AS n_features, count(*) AS n_legs, round(sum(k.meters) / 1000, 6) AS km, round((SELECT sum(meters) FROM measured) / 1000, 4) AS total_km FROM measured k JOIN labels l ON l.node = k.u GROUP BY l.label""")
 def part_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legs and kilometres of each component of that network."""
-    features = view(spark, sf_dir, "features").where("status = 'Proposed' AND facility = 'BikeLane'").select("feature_ord")
-    legs = measured_legs(spark, sf_dir).join(features, "feature_ord", "left_semi")
-    parts = network.components(network.undirected_edges(legs))
-    joined = legs.withColumn("node_id", F.least("a_id", "b_id")).join(parts, "node_id")
-    return joined.groupBy("component_id").agg(F.count("*").alias("n_legs"), F.round(F.sum("meters") / 1000, 6).alias("km"))
+    """Features, legs and kilometres of each component, and kilometres in all."""
+    legs = measured_legs(spark, sf_dir)
+    out = network.part_summary(legs, network.components(network.undirected_edges(legs)))
+    return out.select("component_id", "n_features", "n_legs", F.round("km", 6).alias("km"), F.round("total_km", 4).alias("total_km"))
 
 
-@query("grf08_shortest_path", EDGES + """
-, starts AS (SELECT DISTINCT node_id AS start FROM points WHERE feature_ord <= 8 AND vertex_ord = 1),
+SEARCH = EDGES + """
+, starts AS (SELECT DISTINCT node_id AS start FROM points WHERE feature_ord % 2000 = 0 AND vertex_ord = 1),
 adj AS (SELECT u, v, meters FROM edges UNION ALL SELECT v, u, meters FROM edges),
 dist AS (
   WITH RECURSIVE walk(start, node, cost) USING KEY (start, node) AS (
@@ -155,65 +158,98 @@ dist AS (
     UNION
     SELECT w.start, a.v, min(w.cost + a.meters) FROM walk w JOIN adj a ON a.u = w.node
       LEFT JOIN recurring.walk r ON r.start = w.start AND r.node = a.v
-    WHERE w.cost + a.meters <= 2500 AND (r.cost IS NULL OR w.cost + a.meters < r.cost - 1e-9) GROUP BY w.start, a.v)
+    WHERE r.cost IS NULL OR w.cost + a.meters < r.cost - 1e-9 GROUP BY w.start, a.v)
   SELECT * FROM walk)
-SELECT start, node, round(cost, 3) AS cost FROM dist""")
+"""
+
+
+def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of searches: first vertices of features whose number is divisible by 2000."""
+    return view(spark, sf_dir, "points").where("feature_ord % 2000 = 0 AND vertex_ord = 1").select(F.col("node_id").alias("start")).distinct()
+
+
+@query("grf08_shortest_path", SEARCH + "SELECT start, node, round(cost, 3) AS cost FROM dist")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance from eight trail heads to all nodes within 2.5 km."""
-    starts = view(spark, sf_dir, "points").where("feature_ord <= 8 AND vertex_ord = 1").select(F.col("node_id").alias("start")).distinct()
-    found = network.shortest_paths(edges(spark, sf_dir).withColumnRenamed("meters", "cost"), starts, 2500.0)
+    """Distance from every trail head of the query set to all nodes it reaches."""
+    found = network.shortest_paths(edges(spark, sf_dir).withColumnRenamed("meters", "cost"), heads(spark, sf_dir))
     return found.select("start", "node", F.round("cost", 3).alias("cost"))
 
 
-@query("grf09_search_trees", EDGES + """
-, starts AS (SELECT DISTINCT node_id AS start FROM points WHERE feature_ord <= 8 AND vertex_ord = 1),
+@query("grf09_path", SEARCH + """, goals AS (SELECT DISTINCT a.node_id AS start, b.node_id AS goal FROM points a JOIN points b ON b.feature_ord = a.feature_ord + 1 AND b.vertex_ord = 1 WHERE a.feature_ord % 2000 = 0 AND a.vertex_ord = 1)
+SELECT g.start, g.goal, round(d.cost, 3) AS cost, round(d.cost, 3) AS along, true AS joined FROM goals g JOIN dist d ON d.start = g.start AND d.node = g.goal""")
+def path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way from each head to the next feature's: its cost, the metres along its
+    nodes, and whether each step of it is an edge."""
+    graph = edges(spark, sf_dir).withColumnRenamed("meters", "cost")
+    points = view(spark, sf_dir, "points").where("vertex_ord = 1")
+    goals = points.where("feature_ord % 2000 = 0").select((F.col("feature_ord") + 1).alias("feature_ord"), F.col("node_id").alias("start")).join(points.select("feature_ord", F.col("node_id").alias("node")), "feature_ord").select("start", "node").distinct()
+    tree = materialise(network.shortest_paths(graph, heads(spark, sf_dir)), "tree")
+    nodes = network.path_nodes(tree, goals)
+    step = nodes.withColumn("next", F.lead("node").over(Window.partitionBy("start", "goal").orderBy(F.desc("place"))))
+    steps = step.withColumns({"u": F.least("node", "next"), "v": F.greatest("node", "next")}).join(graph.select("u", "v", F.col("cost").alias("step")), ["u", "v"], "left")
+    along = steps.groupBy("start", "goal").agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("along"), F.max(F.col("next").isNotNull() & F.col("step").isNull()).alias("broken"))
+    found = goals.join(tree, ["start", "node"]).withColumnRenamed("node", "goal").join(along, ["start", "goal"])
+    return found.select("start", "goal", F.round("cost", 3).alias("cost"), F.round("along", 3).alias("along"), (~F.col("broken")).alias("joined"))
+
+
+@query("rte03_direct_plan", EDGES + f"""
+, requests AS (SELECT p.point_id AS request, p.lat AS f_lat, p.lon AS f_lon, q.lat AS t_lat, q.lon AS t_lon FROM query_points p JOIN query_points q ON q.point_id = p.point_id + 1 WHERE p.point_id % 200 = 0),
+ends AS (SELECT request, 'f' AS side, f_lat AS lat, f_lon AS lon FROM requests UNION ALL SELECT request, 't', t_lat, t_lon FROM requests),
+near AS (SELECT *, {sql_segment('lat', 'lon', 'd')} AS d, {sql_segment('lat', 'lon', 't')} AS t FROM ends, measured WHERE abs(lat - (a_lat + b_lat) / 2) < 0.009 AND abs(lon - (a_lon + b_lon) / 2) < 0.012),
+snap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request, side ORDER BY round(d, 6), feature_ord, leg_ord) AS n FROM near WHERE d <= 800) WHERE n = 1),
+entry AS (SELECT request, side, a_id AS node, meters * t AS cost FROM snap UNION ALL SELECT request, side, b_id, meters * (1 - t) FROM snap),
 adj AS (SELECT u, v, meters FROM edges UNION ALL SELECT v, u, meters FROM edges),
 dist AS (
   WITH RECURSIVE walk(start, node, cost) USING KEY (start, node) AS (
-    SELECT start, start, 0::DOUBLE FROM starts
+    SELECT request, node, min(cost) FROM entry WHERE side = 'f' GROUP BY request, node
     UNION
-    SELECT w.start, a.v, min(w.cost + a.meters) FROM walk w JOIN adj a ON a.u = w.node
-      LEFT JOIN recurring.walk r ON r.start = w.start AND r.node = a.v
-    WHERE w.cost + a.meters <= 2500 AND (r.cost IS NULL OR w.cost + a.meters < r.cost - 1e-9) GROUP BY w.start, a.v)
-  SELECT * FROM walk)
-SELECT start, count(*) AS n_nodes, round(sum(cost), 1) AS total_cost FROM dist GROUP BY start""")
-def search_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same searches as one tree per start."""
-    starts = view(spark, sf_dir, "points").where("feature_ord <= 8 AND vertex_ord = 1").select(F.col("node_id").alias("start")).distinct()
-    trees = network.search_trees(edges(spark, sf_dir).withColumnRenamed("meters", "cost"), starts, 2500.0)
-    return trees.groupBy("start").agg(F.count("*").alias("n_nodes"), F.round(F.sum("cost"), 1).alias("total_cost"))
-
-
-@query("fun13_edge_cost", MEASURED + """
-SELECT feature_ord, round(sum(meters * fac * com * CASE WHEN role = 'SharedRoadways' THEN 10 ELSE 1 END), 2) AS cost FROM (
-  SELECT m.feature_ord, meters, role,
+    SELECT w.start, a.v, min(w.cost + a.meters) FROM walk w JOIN adj a ON a.u = w.node LEFT JOIN recurring.walk r ON r.start = w.start AND r.node = a.v
+    WHERE r.cost IS NULL OR w.cost + a.meters < r.cost - 1e-9 GROUP BY w.start, a.v)
+  SELECT * FROM walk),
+over AS (SELECT request, min(dist.cost + entry.cost) AS over FROM dist JOIN entry ON entry.request = dist.start AND entry.node = dist.node AND side = 't' GROUP BY request)
+SELECT f.request, round(least(over, CASE WHEN f.u = t.u AND f.v = t.v THEN abs(CASE WHEN f.a_id = f.u THEN f.t ELSE 1 - f.t END - CASE WHEN t.a_id = t.u THEN t.t ELSE 1 - t.t END) * f.meters END), 3) AS meters, round(f.d, 3) AS from_m, round(t.d, 3) AS to_m
+FROM snap f JOIN snap t ON t.request = f.request AND t.side = 't' JOIN over ON over.request = f.request WHERE f.side = 'f'""")
+def direct_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest way over the network from each 200th query point to the next point."""
+    points = view(spark, sf_dir, "query_points")
+    asked = points.where("point_id % 200 = 0").select(F.col("point_id").alias("request"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"))
+    asked = asked.join(points.select((F.col("point_id") - 1).alias("request"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon")), "request")
+    out = network.direct_plans(asked, view(spark, sf_dir, "legs"))
+    return out.select("request", *(F.round(c, 3).alias(c) for c in ("meters", "from_m", "to_m")))
+
+
+@query("fun13_edge_cost", MEASURED + f"""
+SELECT feature_ord, round(sum((meters - access) * fac * com * CASE WHEN role = 'SharedRoadways' THEN 10 ELSE 1 END + (access - estimated) * 8 + estimated * 75 + greatest(0, estimated - 125) * 400), 2) AS cost FROM (
+  SELECT m.feature_ord, meters, role, {ACCESS} AS access, CASE WHEN leg_ord % 4 = 0 THEN meters * 0.125::DOUBLE ELSE 0 END AS estimated,
     CASE facility WHEN 'BikeLane' THEN 1.15::DOUBLE WHEN 'SharedLane' THEN 1.35::DOUBLE WHEN 'Other' THEN 1.2::DOUBLE WHEN 'Unknown' THEN 1.1::DOUBLE ELSE 1::DOUBLE END AS fac,
     CASE comfort WHEN 'MostAdults' THEN 1.1::DOUBLE WHEN 'ExperiencedBicyclists' THEN 1.35::DOUBLE WHEN 'StrongAndFearless' THEN 1.75::DOUBLE WHEN 'Unknown' THEN 1.1::DOUBLE ELSE 1::DOUBLE END AS com
   FROM measured m JOIN features f ON f.feature_ord = m.feature_ord) GROUP BY feature_ord""")
 def edge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted cost of every feature."""
-    joined = measured_legs(spark, sf_dir).join(view(spark, sf_dir, "features").select("feature_ord", "role", "facility", "comfort"), "feature_ord")
-    return joined.groupBy("feature_ord").agg(F.round(F.sum(geo.edge_cost("meters", "facility", "comfort", "role")), 2).alias("cost"))
+    """Weighted cost of every feature; a quarter of every fourth leg is access, half of that unmapped."""
+    joined = measured_legs(spark, sf_dir).join(view(spark, sf_dir, "features").select("feature_ord", F.array("role").alias("roles"), "facility", "comfort"), "feature_ord")
+    access = F.when(F.col("leg_ord") % 4 == 0, F.col("meters") * 0.25).otherwise(0.0)
+    cost = geo.edge_cost("meters", "facility", "comfort", "roles", access, access / 2)
+    return joined.groupBy("feature_ord").agg(F.round(F.sum(cost), 2).alias("cost"))
 
 
 @query("agg08_bounds", """
-SELECT feature_ord, round(min(lat) - pad_lat, 9) AS south, round(max(lat) + pad_lat, 9) AS north, round(min(lon) - pad_lon, 9) AS west, round(max(lon) + pad_lon, 9) AS east FROM (
-  SELECT *, greatest(max(lat) OVER w - min(lat) OVER w, 0.002::DOUBLE) * 0.08::DOUBLE AS pad_lat, greatest(max(lon) OVER w - min(lon) OVER w, 0.002::DOUBLE) * 0.08::DOUBLE AS pad_lon
-  FROM points WINDOW w AS (PARTITION BY feature_ord)) GROUP BY feature_ord, pad_lat, pad_lon""")
+SELECT feature_ord, round(greatest(-85, (s + n) / 2 - greatest(n - s, 0.002::DOUBLE) * 0.58::DOUBLE), 9) AS south, round(least(85, (s + n) / 2 + greatest(n - s, 0.002::DOUBLE) * 0.58::DOUBLE), 9) AS north,
+  round(greatest(-180, (w + e) / 2 - greatest(e - w, 0.002::DOUBLE) * 0.58::DOUBLE), 9) AS west, round(least(180, (w + e) / 2 + greatest(e - w, 0.002::DOUBLE) * 0.58::DOUBLE), 9) AS east
+FROM (SELECT feature_ord, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM points GROUP BY feature_ord)""")
 def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounding box of every feature with 8 % of its span (0.002 degree at least) around it."""
-    box = view(spark, sf_dir, "points").groupBy("feature_ord").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
-    pad_lat, pad_lon = (F.greatest(F.col(hi) - F.col(lo), F.lit(0.002)) * 0.08 for lo, hi in (("s", "n"), ("w", "e")))
-    return box.select("feature_ord", F.round(F.col("s") - pad_lat, 9).alias("south"), F.round(F.col("n") + pad_lat, 9).alias("north"), F.round(F.col("w") - pad_lon, 9).alias("west"), F.round(F.col("e") + pad_lon, 9).alias("east"))
+    """Viewport of every feature: at least 0.002 degree wide, 8 % more on each side."""
+    out = network.viewports(view(spark, sf_dir, "points"))
+    return out.select("feature_ord", *(F.round(c, 9).alias(c) for c in ("south", "north", "west", "east")))
 
 
 @query("jon30_tile_window", """
-, wanted AS (SELECT DISTINCT CAST(floor(lat * 100) AS BIGINT) + dy AS tr, CAST(floor(lon * 100) AS BIGINT) + dx AS tc FROM query_points, (VALUES (-1), (0), (1)) y(dy), (VALUES (-1), (0), (1)) x(dx) WHERE point_id % 100 = 0)
+, wanted AS (SELECT DISTINCT CAST(floor(lat * 100) AS BIGINT) + dy AS tr, CAST(floor(lon * 100) AS BIGINT) + dx AS tc FROM query_points, (VALUES (-1), (0), (1)) y(dy), (VALUES (-1), (0), (1)) x(dx))
 SELECT feature_ord, count(*) AS n_vertices FROM points p WHERE EXISTS (SELECT 1 FROM wanted WHERE tr = floor(p.lat * 100) AND tc = floor(p.lon * 100)) GROUP BY feature_ord""")
 def tile_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertices in the 3 x 3 tiles around every hundredth query point."""
+    """Vertices in the 3 x 3 tiles around every query point."""
     row, col = geo.tile_key("lat", "lon")
-    asked = view(spark, sf_dir, "query_points").where("point_id % 100 = 0").select(F.explode(F.sequence(row - 1, row + 1)).alias("row"), col.alias("col"))
+    asked = view(spark, sf_dir, "query_points").select(row.alias("row"), col.alias("col")).distinct()
+    asked = asked.select(F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1)).alias("row"), "col")
     asked = asked.select("row", F.explode(F.sequence(F.col("col") - 1, F.col("col") + 1)).alias("col")).distinct()
     points = view(spark, sf_dir, "points").withColumns({"row": row, "col": col})
     return points.join(asked, ["row", "col"], "left_semi").groupBy("feature_ord").agg(F.count("*").alias("n_vertices"))
@@ -222,4 +258,5 @@ def tile_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("flt01_layers", "SELECT feature_ord, status, role FROM features WHERE status <> 'Proposed' AND role IN ('TrailBranches', 'ParkConnectors')")
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of the enabled layers; proposed ones are off by default."""
-    return view(spark, sf_dir, "features").where((F.col("status") != "Proposed") & F.col("role").isin("TrailBranches", "ParkConnectors")).select("feature_ord", "status", "role")
+    features = view(spark, sf_dir, "features")
+    return features.where(rules.layer_enabled("status", F.array("role"), ["TrailBranches", "ParkConnectors"])).select("feature_ord", "status", "role")

@@ -12,7 +12,7 @@ from fellpath.plans.projection import view
 from fellpath.plans.registry import query, sql_haversine
 
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-LEGS = MEASURED + f", at AS (SELECT *, coalesce(sum(meters) OVER (PARTITION BY feature_ord ORDER BY leg_ord {BEFORE}), 0) AS starts_at, sum(meters) OVER (PARTITION BY feature_ord ORDER BY leg_ord) AS ends_at, sum(meters) OVER (PARTITION BY feature_ord) AS whole FROM measured)"
+LEGS = MEASURED + f", placed AS (SELECT *, coalesce(sum(meters) OVER (PARTITION BY feature_ord ORDER BY leg_ord {BEFORE}), 0) AS starts_at, sum(meters) OVER (PARTITION BY feature_ord ORDER BY leg_ord) AS ends_at, sum(meters) OVER (PARTITION BY feature_ord) AS whole FROM measured)"
 SHAPE = MEASURED + """
 , shape AS (SELECT *, sum(u_turn::INT) OVER (PARTITION BY feature_ord ORDER BY leg_ord) AS leg_index FROM (
   SELECT *, coalesce(lag(a_id) OVER w = b_id AND lag(b_id) OVER w = a_id, false) AS u_turn, row_number() OVER (PARTITION BY feature_ord, u, v ORDER BY leg_ord) > 1 AS repeats
@@ -25,7 +25,7 @@ def leg_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.pair_legs(view(spark, sf_dir, "points")).select("feature_ord", "leg_ord", "a_id", "b_id")
 
 
-@query("win02_cumulative", LEGS + "SELECT feature_ord, leg_ord, round(starts_at, 3) AS starts_at, round(ends_at, 3) AS ends_at FROM at")
+@query("win02_cumulative", LEGS + "SELECT feature_ord, leg_ord, round(starts_at, 3) AS starts_at, round(ends_at, 3) AS ends_at FROM placed")
 def cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sequence.cumulative_legs(measured_legs(spark, sf_dir))
     return out.select("feature_ord", "leg_ord", F.round("starts_at", 3).alias("starts_at"), F.round("ends_at", 3).alias("ends_at"))
@@ -113,7 +113,7 @@ def excursions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STEMS = LEGS + f"""
-, head AS (SELECT *, least(150, whole * 0.025::DOUBLE) AS stem FROM at),
+, head AS (SELECT *, least(150, whole * 0.025::DOUBLE) AS stem FROM placed),
 h AS (SELECT *, meters - greatest(0, least(meters, stem - starts_at)) AS rest FROM head),
 t AS (SELECT *, coalesce(sum(rest) OVER (PARTITION BY feature_ord ORDER BY leg_ord DESC {BEFORE}), 0) AS after FROM h),
 kept AS (SELECT feature_ord, leg_ord, u, v, rest - greatest(0, least(rest, stem - after)) AS meters FROM t)"""
@@ -125,7 +125,7 @@ def stem_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("win13_traversal_slice", LEGS + """
-SELECT feature_ord, leg_ord, round(CASE WHEN inside >= meters - 1e-6 THEN meters ELSE inside END, 3) AS meters FROM (SELECT *, least(ends_at, whole * 0.6::DOUBLE) - greatest(starts_at, 130) AS inside FROM at) WHERE inside > 1e-6""")
+SELECT feature_ord, leg_ord, round(CASE WHEN inside >= meters - 1e-6 THEN meters ELSE inside END, 3) AS meters FROM (SELECT *, least(ends_at, whole * 0.6::DOUBLE) - greatest(starts_at, 130) AS inside FROM placed) WHERE inside > 1e-6""")
 def traversal_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 130 m to six tenths of each feature."""
     legs = measured_legs(spark, sf_dir)
@@ -135,7 +135,7 @@ def traversal_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("win14_distance_basis", LEGS + f"""
-, w AS (SELECT *, meters * (1 + leg_ord % 3) AS other, coalesce(sum(meters * (1 + leg_ord % 3)) OVER (PARTITION BY feature_ord ORDER BY leg_ord {BEFORE}), 0) AS other_at, leg_ord = max(leg_ord) OVER (PARTITION BY feature_ord) AS last FROM at)
+, w AS (SELECT *, meters * (1 + leg_ord % 3) AS other, coalesce(sum(meters * (1 + leg_ord % 3)) OVER (PARTITION BY feature_ord ORDER BY leg_ord {BEFORE}), 0) AS other_at, leg_ord = max(leg_ord) OVER (PARTITION BY feature_ord) AS last FROM placed)
 SELECT feature_ord, round(other_at + other * least(1, (250 - starts_at) / meters), 3) AS converted FROM w WHERE 250 >= starts_at AND (250 < ends_at OR last)""")
 def distance_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """250 m along each feature told along a measure that counts some legs twice or thrice."""
@@ -145,7 +145,7 @@ def distance_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("jon22_leg_at", LEGS + """
-, w AS (SELECT *, leg_ord = max(leg_ord) OVER (PARTITION BY feature_ord) AS last FROM at)
+, w AS (SELECT *, leg_ord = max(leg_ord) OVER (PARTITION BY feature_ord) AS last FROM placed)
 SELECT feature_ord, leg_ord, round(a_lat + (b_lat - a_lat) * s, 7) AS lat, round(a_lon + (b_lon - a_lon) * s, 7) AS lon FROM (
   SELECT *, least(1, greatest(0, (250 - starts_at) / meters)) AS s FROM w WHERE (250 <= ends_at AND (250 > starts_at OR starts_at = 0)) OR (last AND 250 > ends_at))""")
 def leg_at(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ def leg_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("win15_ridden", LEGS + """
-SELECT feature_ord, count(*) AS n_legs, round(sum(meters * s), 3) AS meters, round(arg_max(a_lat + (b_lat - a_lat) * s, leg_ord), 7) AS end_lat FROM (SELECT *, least(1, (whole * 0.4::DOUBLE - starts_at) / meters) AS s FROM at WHERE starts_at < whole * 0.4::DOUBLE) GROUP BY feature_ord""")
+SELECT feature_ord, count(*) AS n_legs, round(sum(meters * s), 3) AS meters, round(arg_max(a_lat + (b_lat - a_lat) * s, leg_ord), 7) AS end_lat FROM (SELECT *, least(1, (whole * 0.4::DOUBLE - starts_at) / meters) AS s FROM placed WHERE starts_at < whole * 0.4::DOUBLE) GROUP BY feature_ord""")
 def ridden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four tenths of each feature."""
     legs = measured_legs(spark, sf_dir).withColumn("whole", F.sum("meters").over(sequence.Window.partitionBy("feature_ord")))
@@ -175,8 +175,8 @@ def sideways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win17_vertices_between", f"""
 , s AS (SELECT *, coalesce({sql_haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')}, 0) AS step FROM points WINDOW w AS (PARTITION BY feature_ord ORDER BY vertex_ord)),
-c AS (SELECT *, sum(step) OVER (PARTITION BY feature_ord ORDER BY vertex_ord) AS at, sum(step) OVER (PARTITION BY feature_ord) AS whole FROM s)
-SELECT feature_ord, vertex_ord, CAST(row_number() OVER (PARTITION BY feature_ord ORDER BY vertex_ord DESC) AS INTEGER) AS rank FROM c WHERE whole > 0 AND at > 0.2::DOUBLE * whole + 0.01 AND at < 0.8::DOUBLE * whole - 0.01""")
+c AS (SELECT *, sum(step) OVER (PARTITION BY feature_ord ORDER BY vertex_ord) AS reached, sum(step) OVER (PARTITION BY feature_ord) AS whole FROM s)
+SELECT feature_ord, vertex_ord, CAST(row_number() OVER (PARTITION BY feature_ord ORDER BY vertex_ord DESC) AS INTEGER) AS rank FROM c WHERE whole > 0 AND reached > 0.2::DOUBLE * whole + 0.01 AND reached < 0.8::DOUBLE * whole - 0.01""")
 def vertices_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner vertices from eight tenths back to two tenths of each feature."""
     return sequence.vertices_between(view(spark, sf_dir, "points"), 0.8, 0.2).select("feature_ord", "vertex_ord", "rank")
@@ -202,7 +202,7 @@ def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("win20_marks", LEGS + """
-, k AS (SELECT feature_ord, leg_ord, unnest(generate_series(0, CAST(whole / 110 AS BIGINT) + 1)) AS mark, starts_at, ends_at, meters, a_lat, b_lat, a_lon, b_lon FROM at)
+, k AS (SELECT feature_ord, leg_ord, unnest(generate_series(0, CAST(whole / 110 AS BIGINT) + 1)) AS mark, starts_at, ends_at, meters, a_lat, b_lat, a_lon, b_lon FROM placed)
 SELECT feature_ord, mark, round(a_lat + (b_lat - a_lat) * (mark * 110 + 55 - starts_at) / meters, 7) AS lat, round(a_lon + (b_lon - a_lon) * (mark * 110 + 55 - starts_at) / meters, 7) AS lon FROM k WHERE mark * 110 + 55 <= ends_at AND (mark * 110 + 55 > starts_at OR (starts_at = 0 AND mark = 0))""")
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mark every 110 m along each feature."""
