@@ -39,8 +39,8 @@ SYMBOLS = BRANCHES**LEVELS
 HASHED = 512
 WORDS = SYMBOLS - HASHED
 SIDE, WIDTH = 2, 16
-ROUNDS, RATE, BATCH = 2, 0.1, 2048
-SCORE_ROWS = 8_192
+ROUNDS, RATE, BATCH = 2, 0.1, 4096
+SCORE_ROWS = 32_768
 #: Weights that travel in one row.
 PART = 8_192
 SEED = 20231
@@ -93,49 +93,58 @@ class Network:
     def hidden(self, around: np.ndarray) -> np.ndarray:
         total = np.zeros((len(around), WIDTH), self.embed.dtype)
         for k in range(2 * SIDE):
-            total += self.embed[around[:, k]] * self.place[k]
-        return np.tanh(total)
-
-    def _level(self, k: int, hid: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes of level ``k`` on the way to the targets, their branches, and log-probabilities of all branches."""
-        node, digit = target // BRANCHES ** (LEVELS - k), target // BRANCHES ** (LEVELS - 1 - k) % BRANCHES
-        logits = (hid @ self.out[0][0] if k == 0 else np.einsum("nw,nwb->nb", hid, self.out[k][node])) + self.bias[k][node]
+            total += (self.embed * self.place[k]).take(around[:, k], axis=0)
+        return np.tanh(total, out=total)
+
+    def _level(self, k: int, hid: np.ndarray, target: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+        """Of sorted targets: runs (node, start, end) of nodes of level ``k`` on the way to
+        them, and for every branch of those nodes logits less their largest, and exponents."""
+        node = target // BRANCHES ** (LEVELS - k)
+        cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+        runs = [(int(node[i]), i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
+        logits = np.empty((len(node), BRANCHES), hid.dtype)
+        for n, i, j in runs:
+            np.matmul(hid[i:j], self.out[k][n], out=logits[i:j])
+            logits[i:j] += self.bias[k][n]
         logits -= logits.max(1, keepdims=True)
-        return node, digit, logits - np.log(np.exp(logits).sum(1, keepdims=True))
+        return runs, logits, np.exp(logits)
 
     def log_prob(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        hid, rows, out = self.hidden(around), np.arange(len(target)), np.zeros(len(target))
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        target, rows, total = target[order], np.arange(len(order)), np.zeros(len(order))
+        hid = self.hidden(around[order])
         for k in range(LEVELS):
-            _, digit, log_p = self._level(k, hid, target)
-            out += log_p[rows, digit]
+            _, logits, powers = self._level(k, hid, target)
+            total += logits[rows, target // BRANCHES ** (LEVELS - 1 - k) % BRANCHES] - np.log(powers.sum(1))
+        out = np.empty_like(total)
+        out[order] = total
         return out
 
     def gradient(self, around: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log-probability, by array."""
-        n, rows = len(target), np.arange(len(target))
-        hid = self.hidden(around)
-        back, outs, biases = np.zeros_like(hid), [], []
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        around, target, n = around[order], target[order], len(order)
+        rows, hid = np.arange(n), self.hidden(around)
+        back, outs, biases = np.zeros_like(hid), [np.zeros_like(x) for x in self.out], [np.zeros_like(x) for x in self.bias]
         for k in range(LEVELS):
-            node, digit, log_p = self._level(k, hid, target)
-            d = np.exp(log_p)
-            d[rows, digit] -= 1
+            runs, _, d = self._level(k, hid, target)
+            d /= d.sum(1, keepdims=True)
+            d[rows, target // BRANCHES ** (LEVELS - 1 - k) % BRANCHES] -= 1
             d /= n
-            if k == 0:
-                outs.append((hid.T @ d)[None])
-                biases.append(d.sum(0)[None])
-                back += d @ self.out[0][0].T
-            else:
-                outs.append(_added(node, (hid[:, :, None] * d[:, None, :]).reshape(n, -1), len(self.out[k])).reshape(self.out[k].shape))
-                biases.append(_added(node, d, len(self.bias[k])))
-                back += np.einsum("nwb,nb->nw", self.out[k][node], d)
-        back *= 1 - hid**2
+            biases[k][[r[0] for r in runs]] = np.add.reduceat(d, [r[1] for r in runs])
+            for node, i, j in runs:
+                part = d[i:j]
+                outs[k][node] = hid[i:j].T @ part
+                back[i:j] += part @ self.out[k][node].T
+        back *= 1 - hid * hid
         embed, place = np.zeros_like(self.embed), np.zeros_like(self.place)
+        # Of the steps that reach an embedding, those of one side at a time: one sum per side and symbol.
         for k in range(2 * SIDE):
-            place[k] = (back * self.embed[around[:, k]]).sum(0)
-        shares = (back[:, None, :] * self.place[None]).reshape(-1, WIDTH)
-        seen = around.ravel()
-        for w in range(WIDTH):
-            embed[:, w] = np.bincount(seen, shares[:, w], SYMBOLS + 1)
+            summed, seen = np.empty(self.embed.shape), np.ascontiguousarray(around[:, k])
+            for w in range(WIDTH):
+                summed[:, w] = np.bincount(seen, back[:, w], SYMBOLS + 1)
+            embed += summed * self.place[k]
+            place[k] = (summed * self.embed).sum(0)
         return [embed, place, *outs, *biases]
 
     def learn(self, around: np.ndarray, target: np.ndarray) -> None:
@@ -147,15 +156,6 @@ class Network:
                 weight -= RATE * step / np.sqrt(square)
 
 
-def _added(node: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of ``rows`` by node."""
-    order = np.argsort(node, kind="stable")
-    there, first = np.unique(node[order], return_index=True)
-    out = np.zeros((size, rows.shape[1]), rows.dtype)
-    out[there] = np.add.reduceat(rows[order], first)
-    return out
-
-
 def _contexts(raw: list[bytes], net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols around every token, the tokens, and offsets of the texts."""
     hashes, offsets = hash_words(raw)
