@@ -300,7 +300,7 @@ m AS (SELECT query, street, min(off) AS off, arg_min(CASE WHEN len(typed) + off
 def match_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = address.build_index(address_rows(spark, sf_dir))
     typed = typed_texts(spark, sf_dir).withColumn("t", text.address_tokens("text"))
-    parts = F.when(text.house_number(F.col("t")[0]).isNull(), F.col("t")).otherwise(F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))))
+    parts = F.when(text.house_number(F.get("t", F.lit(0))).isNull(), F.col("t")).otherwise(F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))))
     return address.match_streets(typed.select("query", parts.alias("typed")), index)
 
 

@@ -1,10 +1,10 @@
 """Network views projected from the relational test tables.
 
 The tables hold no trails, so features, polyline vertices, legs, GPS fixes,
-query points, addresses and
-rides (times on a calendar of 31-day months) are derived from them by plain SQL that Spark and
-DuckDB both accept. Vertices lie on a lattice of 0.001 degree, far wider than
-any snap tolerance, so results do not depend on the order of rows.
+query points, addresses and rides (times on a calendar of 31-day months) are
+derived from them by plain SQL that Spark and DuckDB both accept. Vertices lie
+on a lattice of 0.001 degree, far wider than any snap tolerance, so results do
+not depend on the order of rows.
 """
 
 from __future__ import annotations

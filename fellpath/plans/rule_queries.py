@@ -356,13 +356,14 @@ def maneuvers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.select("feature_ord", "leg_ord", geo.maneuver("delta").alias("maneuver")).where("maneuver is not null")
 
 
-@query("fun04_source_frame", f"""SELECT feature_ord, leg_ord, round((px * bx + py * by_) / len, 4) AS along, round(abs(px * by_ - py * bx) / len, 4) AS across FROM (
+@query("fun04_source_frame", f"""SELECT feature_ord, leg_ord, CASE WHEN round((px * bx + py * by_) / len, 4) = 0 THEN 0::DOUBLE ELSE round((px * bx + py * by_) / len, 4) END AS along, round(abs(px * by_ - py * bx) / len, 4) AS across FROM (
   SELECT *, sqrt(bx * bx + by_ * by_) AS len FROM (SELECT feature_ord, leg_ord, (-89.17::DOUBLE - a_lon) * 111194.93::DOUBLE * cos(radians(a_lat)) AS px, (40.42::DOUBLE - a_lat) * 111194.93::DOUBLE AS py,
   (b_lon - a_lon) * 111194.93::DOUBLE * cos(radians(a_lat)) AS bx, (b_lat - a_lat) * 111194.93::DOUBLE AS by_ FROM legs))""")
 def source_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One point seen along and across every leg."""
     place = geo.source_frame(F.lit(40.42), F.lit(-89.17), "a_lat", "a_lon", "b_lat", "b_lon")
-    return view(spark, sf_dir, "legs").select("feature_ord", "leg_ord", F.round(place["along"], 4).alias("along"), F.round(place["across"], 4).alias("across"))
+    along, across = (F.round(place[c], 4) for c in ("along", "across"))
+    return view(spark, sf_dir, "legs").select("feature_ord", "leg_ord", F.when(along == 0, 0.0).otherwise(along).alias("along"), across.alias("across"))
 
 
 @query("fun12_interpolate", "SELECT feature_ord, leg_ord, round(a_lat + (b_lat - a_lat) * 0.3::DOUBLE, 8) AS lat, round(a_lon + (b_lon - a_lon) * 0.3::DOUBLE, 8) AS lon FROM legs")

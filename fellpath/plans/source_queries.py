@@ -61,7 +61,7 @@ def tile_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = view(spark, sf_dir, "points").groupBy("feature_ord").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
     path = fresh_path(spark, "tiles")
     tiles.write(box, "feature_ord", path)
-    return tiles.window(spark, path, view(spark, sf_dir, "query_points").where("point_id % 100 = 0"), "feature_ord").select("feature_ord")
+    return tiles.window(spark, path, view(spark, sf_dir, "query_points").where("point_id % 100 = 0"), "feature_ord", schema=box.schema).select("feature_ord")
 
 
 @query("cdc09_tile_audit", "SELECT feature_ord, 'repeated' AS fault FROM features WHERE feature_ord % 40 = 0 AND feature_ord IN (SELECT feature_ord FROM points) UNION ALL SELECT feature_ord, 'outside' FROM features WHERE feature_ord % 40 = 1 AND feature_ord IN (SELECT feature_ord FROM points)")

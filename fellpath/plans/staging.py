@@ -8,17 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+#: Tables of this driver lie in a folder of its own.
+_OWN = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver see.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset
-    (single-machine tests) a temporary folder of this machine stands in.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and
+    the session runs on this machine alone a temporary folder of it stands in.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: executors and driver would each see a folder of their own")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="fellpath-")
     return _FALLBACK["dir"]
@@ -26,7 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path of its own for one intermediate table or file set."""
-    return f"{shared_dir(spark)}/fellpath/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/fellpath-{_OWN}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this driver; results that are not written yet need them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/fellpath-{_OWN}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

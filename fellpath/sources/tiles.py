@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fellpath.functions import geo
 from fellpath.plans.staging import fresh_path
@@ -31,13 +32,15 @@ def publish(df: DataFrame, label: str) -> str:
     return path
 
 
-def window(spark: SparkSession, path: str, points: DataFrame, key: str, width: int = 1) -> DataFrame:
-    """Features of the (2 width + 1)^2 tiles around points, each once."""
+def window(spark: SparkSession, path: str, points: DataFrame, key: str, width: int = 1, schema: StructType | None = None) -> DataFrame:
+    """Features of the (2 width + 1)^2 tiles around points, each once. With the
+    ``schema`` of the features an empty table of tiles can be read too."""
     row, col = geo.tile_key("lat", "lon")
     asked = points.where("lat is not null and lon is not null").select(row.alias("r"), col.alias("c")).distinct()
     asked = asked.select(F.explode(F.sequence(F.col("r") - width, F.col("r") + width)).alias("tile_row"), "c")
     asked = asked.select("tile_row", F.explode(F.sequence(F.col("c") - width, F.col("c") + width)).alias("tile_col")).distinct()
-    held = spark.read.parquet(path)
+    reader = spark.read if schema is None else spark.read.schema(StructType([*schema.fields, StructField("tile_col", LongType()), StructField("tile_row", LongType())]))
+    held = reader.parquet(path)
     found = held.join(asked.select(F.col("tile_row").cast(held.schema["tile_row"].dataType), "tile_col"), ["tile_row", "tile_col"], "left_semi")
     first = found.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("tile_row", "tile_col"))).where("_n = 1")
     return first.drop("_n", "tile_row", "tile_col")
