@@ -580,3 +580,34 @@ def test_pipeline(spark, tmp_path):
     assert kept["mix"] <= clean
     ran = {r.doc_id: r.taken for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(ran) == kept["mix"]
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Null ids, repeated rows and a very long text pass; an empty table stays empty."""
+    import corpus_pipeline
+
+    for name, frame in (("odd", odd.union(documents(spark, [(i, prose(40 + i, 50), "en", "a") for i in range(20, 30)]))), ("empty", empty)):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, prose(600, 30)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, f"{tmp_path}/odd").write.parquet(f"{tmp_path}/odd/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/odd/{name}")
+        ids = [r.doc_id for r in docs.select("doc_id").collect()]
+        assert None in ids and not {1, 2, 3, 5} & set(ids) and ids.count(4) == (2 if name == "language" else 1)
+    assert not {1, 2, 3, 5} & {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()}
+
+
+def test_predict_gives_way_on_clashing_names(spark):
+    docs = documents(spark, [(i, prose(i, 20), "en", "a") for i in range(10)]).withColumns({"score": F.lit(1), "lang_pred": F.lit("x")})
+    out = langid.predict(docs, langid.fit(docs), ["doc_id", "score", "lang_pred"])
+    assert out.columns == ["doc_id", "lang_pred", "score"] and {r.lang_pred for r in out.select("lang_pred").collect()} == {"en"}
+
+
+def test_sanitise_counts_repeated_rows_once(spark):
+    """Rows repeated with their id count as one text."""
+    base = [(i, f"Zorbalix wrote to bob@x.example about {prose(i, 8)}", None, None) for i in range(4)] + [(i, prose(i, 12), None, None) for i in range(10, 60)]
+    one = {r.doc_id: r.spans for r in sanitise.detect(documents(spark, base)).collect()}
+    many = {r.doc_id: r.spans for r in sanitise.detect(documents(spark, base + base[:3] + base[:2] + [(90, base[0][1], None, None)])).collect()}
+    assert all("term:" in one[i] for i in range(4)) and {i: many[i] for i in one} == one and many[90] == one[0]
