@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fellpath.functions import geo
 
-#: Closures of the network (id, feature, from, to, active from, estimated end; epoch milliseconds).
+#: Road classes for paths only, and values of access tags that bar a bicycle.
 PATH_ONLY_CLASSES = ("S1710", "S1820")
 PROHIBITED_VALUES = ("no", "private", "customers", "destination", "use_sidepath", "dismount")
 
