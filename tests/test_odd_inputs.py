@@ -36,7 +36,7 @@ def odd_dir(spark, tmp_path_factory):
 
 
 #: Sums over all rows have a row for an empty table.
-ONE_ROW = {"agg15_build_report", "agg19_tile_statistics"}
+ONE_ROW = {"agg15_build_report", "agg19_tile_statistics", "cdc08_dataset_checks"}
 #: Layers that a manifest lists are told even where nothing is there.
 MANIFEST = {"agg17_layer_counts"}
 
