@@ -16,6 +16,8 @@ FRAME_METERS_PER_DEGREE = 111_194.93
 GRID_METERS_PER_DEGREE = 111_320.0
 #: Latitude (radians) at which grid cells are sized in longitude.
 GRID_LATITUDE = 0.70686
+#: A degree of the grid has more metres than one of the sphere; cells this much larger than a reach hold it.
+GRID_MARGIN = 1.002
 
 
 def _c(x: Column | str | float) -> Column:

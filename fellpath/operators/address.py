@@ -7,6 +7,7 @@ by reason, never dropped silently. Null texts have no tokens.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,16 +132,44 @@ def nearest_address(points: DataFrame, index: DataFrame, meters: float = 75.0, c
     return best.select("point_id", F.col("best.oid").alias("oid"), F.round("best.d", 1).alias("distance"))
 
 
+def folded(value: Column | str) -> Column:
+    """Lower case without apostrophes, letters and their marks apart; null as ''."""
+
+    @F.pandas_udf("string")
+    def apart(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFKD")
+
+    plain = F.regexp_replace(F.lower(F.coalesce(value if isinstance(value, Column) else F.col(value), F.lit(""))), "['’]", "")
+    return F.when(plain.rlike(r"^[\x00-\x7f]*$"), plain).otherwise(apart(plain))
+
+
+#: Letters of a word by which a place is looked up.
+GRAM = 3
+
+
 def nearest_places(queries: DataFrame, places: DataFrame, k: int = 8) -> DataFrame:
-    """The ``k`` places nearest to a query's anchor among those that hold all its words.
-
-    ``queries`` (query, words, lat, lon) and ``places`` (label, lat, lon) meet on
-    the first word's presence in the label, token by token."""
-    plain = F.regexp_replace(F.lower("label"), "['’]", "")
-    spread = places.withColumn("body", plain).withColumn("token", F.explode(F.array_distinct(F.split("body", r"\s+"))))
-    words = F.filter(F.split(F.regexp_replace(F.lower("words"), "['’]", ""), r"\s+"), lambda w: w != "")
-    asked = queries.withColumn("w", words).where(F.size("w") > 0).select("query", "w", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), F.col("w")[0].alias("token"))
-    hit = asked.join(spread, "token").where(F.forall("w", lambda x: F.contains(F.col("body"), x)))
+    """The ``k`` places nearest to a query's anchor among those that hold all its words,
+    anywhere in label or address: query, rank, label. A search without words gives the
+    first ``k`` places of the catalogue.
+
+    ``queries`` (query, words, lat, lon); ``places`` (place_ord, label, lat, lon and, where it
+    is known, address). They meet on the first letters, three at most, of a query's
+    longest word, looked up among all runs of so many letters of a place; only runs
+    that some query asks for are kept, and all words are checked after.
+    """
+    address = F.col("address") if "address" in places.columns else F.lit(None).cast("string")
+    held = places.where("label is not null").select("place_ord", "label", "lat", "lon", folded(F.concat_ws(" ", "label", address)).alias("body"))
+    words = F.filter(F.split(folded("words"), r"\s+"), lambda w: w != "")
+    asked = queries.select("query", words.alias("w"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    typed = asked.where(F.size("w") > 0).withColumn("gram", F.substring(longest, 1, GRAM))
+    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("body")), lambda i: F.array(*(F.substring(F.col("body"), i, F.lit(n)) for n in range(1, GRAM + 1))))))
+    grams = held.where("body <> ''").withColumn("gram", F.explode(runs)).join(typed.select("gram").distinct(), "gram", "left_semi")
+    hit = typed.join(grams, "gram").where(F.forall("w", lambda x: F.contains(F.col("body"), x)))
     dx = (F.col("lon") - F.col("q_lon")) * F.cos(F.radians("q_lat"))
     d2 = (F.col("lat") - F.col("q_lat")) * (F.col("lat") - F.col("q_lat")) + dx * dx
-    return hit.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round(d2, 12), "label"))).where(F.col("rank") <= k).select("query", "rank", "label")
+    near = Window.partitionBy("query").orderBy(F.round(d2, 12), "label", "place_ord")
+    found = hit.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query", "rank", "label")
+    first = held.orderBy("place_ord").limit(k).agg(F.array_sort(F.collect_list(F.struct("place_ord", "label"))).alias("first"))
+    bare = asked.where(F.size("w") == 0).join(F.broadcast(first), F.lit(True)).select("query", F.posexplode("first").alias("rank", "x"))
+    return found.unionByName(bare.select("query", (F.col("rank") + 1).alias("rank"), "x.label"))

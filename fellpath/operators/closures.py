@@ -43,14 +43,29 @@ def _ordered(located: DataFrame) -> DataFrame:
     return good.withColumns({"first": F.least(*place.values()), "last": F.greatest(*place.values())}).where("last.position > first.position")
 
 
+def _united(spans: DataFrame, low: str, high: str) -> DataFrame:
+    """Per feature its spans (struct columns that sort along the path) as one ordered array
+    ``_closed``, those that overlap made one; spans that only touch stay apart."""
+    w = Window.partitionBy("feature_ord").orderBy(low, high)
+    reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("_new", (reach.isNull() | (F.col(low) >= reach)).cast("int"))
+    numbered = marked.withColumn("_span", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy("feature_ord", "_span").agg(F.min(low).alias("low"), F.max(high).alias("high"))
+    return whole.groupBy("feature_ord").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_closed"))
+
+
 def cut_at_vertices(points: DataFrame, closures: DataFrame) -> DataFrame:
-    """Vertices with ``piece``: features are cut where both bounds of their closure are
-    vertices; what lies between is gone, pieces of one vertex too. One closure per feature."""
+    """Vertices with ``piece``: features are cut where both bounds of a closure are vertices.
+
+    What lies between is gone, pieces of one vertex too. A feature may have any number
+    of closures; those that overlap close together what either of them closes."""
     bounds = _located(points, closures.where("not crossing and not projected")).where("from_vertex is not null and to_vertex is not null and from_vertex <> to_vertex")
-    bounds = bounds.select("feature_ord", F.least("from_vertex", "to_vertex").alias("_a"), F.greatest("from_vertex", "to_vertex").alias("_b"))
-    joined = points.join(bounds, "feature_ord", "left")
-    piece = F.when(F.col("_a").isNull() | (F.col("vertex_ord") <= F.col("_a")), 0).when(F.col("vertex_ord") >= F.col("_b"), 1)
-    cut = joined.withColumn("piece", piece).where("piece is not null").drop("_a", "_b")
+    spans = _united(bounds.select("feature_ord", F.least("from_vertex", "to_vertex").alias("_a"), F.greatest("from_vertex", "to_vertex").alias("_b")), "_a", "_b")
+    at = F.col("vertex_ord")
+    gone = F.exists("_closed", lambda x: (x["low"] < at) & (at < x["high"]))
+    piece = F.size(F.filter("_closed", lambda x: x["high"] <= at))
+    joined = points.join(spans, "feature_ord", "left").where(F.col("_closed").isNull() | ~gone)
+    cut = joined.withColumn("piece", F.when(F.col("_closed").isNull(), 0).otherwise(piece)).drop("_closed")
     return cut.withColumn("_n", F.count("*").over(Window.partitionBy("feature_ord", "piece"))).where("_n >= 2").drop("_n")
 
 
@@ -65,17 +80,22 @@ def _without_repeats(rows: DataFrame, group: list[str]) -> DataFrame:
 
 
 def cut_at_bounds(points: DataFrame, closures: DataFrame) -> DataFrame:
-    """(feature_ord, piece, place, lat, lon) of features that a projected closure cuts:
-    up to its first bound and on from its last, each bound a vertex of its own."""
+    """(feature_ord, piece, place, lat, lon) of features that projected closures cut: up to the
+    first bound of each and on from its last, bounds as vertices of their own; closures that
+    overlap are one."""
     found = _ordered(_located(points, closures.where("not crossing and projected"))).join(closures.select("feature_ord", "closure_id", *BOUNDS), ["feature_ord", "closure_id"])
-    ends = []
-    for piece, end in ((0, "first"), (1, "last")):
+    bound = {}
+    for end in ("first", "last"):
         lat, lon = _point(F.col(f"{end}.side"), closures)
-        ends.append(found.select("feature_ord", F.lit(piece).alias("piece"), (F.col(f"{end}.leg") + 0.5).alias("place"), lat.alias("lat"), lon.alias("lon")))
-    kept = points.join(found.select("feature_ord", F.col("first.leg").alias("_a"), F.col("last.leg").alias("_b")), "feature_ord")
-    before = kept.where("vertex_ord <= _a").select("feature_ord", F.lit(0).alias("piece"), F.col("vertex_ord").cast("double").alias("place"), "lat", "lon")
-    after = kept.where("vertex_ord > _b").select("feature_ord", F.lit(1).alias("piece"), F.col("vertex_ord").cast("double").alias("place"), "lat", "lon")
-    whole = _without_repeats(before.unionByName(ends[0]).unionByName(ends[1]).unionByName(after), ["feature_ord", "piece"])
+        bound[end] = F.struct(F.col(f"{end}.position").alias("place"), lat.alias("lat"), lon.alias("lon"))
+    spans = _united(found.select("feature_ord", bound["first"].alias("_a"), bound["last"].alias("_b")), "_a", "_b")
+    at = F.col("vertex_ord").cast("double")
+    kept = points.join(spans, "feature_ord").where(~F.exists("_closed", lambda x: (x["low"]["place"] < at) & (at < x["high"]["place"])))
+    own = kept.select("feature_ord", F.size(F.filter("_closed", lambda x: x["high"]["place"] <= at)).alias("piece"), at.alias("place"), "lat", "lon")
+    ends = spans.select("feature_ord", F.posexplode("_closed").alias("k", "x"))
+    before = ends.select("feature_ord", F.col("k").alias("piece"), "x.low.place", "x.low.lat", "x.low.lon")
+    after = ends.select("feature_ord", (F.col("k") + 1).alias("piece"), "x.high.place", "x.high.lat", "x.high.lon")
+    whole = _without_repeats(own.unionByName(before).unionByName(after), ["feature_ord", "piece"])
     return whole.withColumn("_n", F.count("*").over(Window.partitionBy("feature_ord", "piece"))).where("_n >= 2").drop("_n")
 
 

@@ -91,10 +91,11 @@ def segments_in_reach(points: DataFrame, legs: DataFrame, meters: float) -> Data
     Legs are copied to the grid cells that their bounding box can be reached
     from; a point looks in its own cell. Only an equi-join on cells remains.
     """
-    row, col = geo.grid_cell("lat", "lon", meters)
+    cell = meters * geo.GRID_MARGIN
+    row, col = geo.grid_cell("lat", "lon", cell)
     asked = points.withColumns({"row": row, "col": col})
-    lo = geo.grid_cell(F.least("a_lat", "b_lat"), F.least("a_lon", "b_lon"), meters)
-    hi = geo.grid_cell(F.greatest("a_lat", "b_lat"), F.greatest("a_lon", "b_lon"), meters)
+    lo = geo.grid_cell(F.least("a_lat", "b_lat"), F.least("a_lon", "b_lon"), cell)
+    hi = geo.grid_cell(F.greatest("a_lat", "b_lat"), F.greatest("a_lon", "b_lon"), cell)
     reach = geo.columns_around(F.greatest(F.abs("a_lat"), F.abs("b_lat")))
     cells = legs.withColumn("row", F.explode(F.sequence(lo[0] - 1, hi[0] + 1))).withColumn("col", F.explode(F.sequence(lo[1] - reach, hi[1] + reach)))
     found = asked.join(cells, ["row", "col"]).withColumn("p", geo.project_to_segment("lat", "lon", *SEGMENT))
@@ -286,7 +287,7 @@ def interval_overlaps(a: DataFrame, b: DataFrame, group: str, cell: float) -> Da
 
 def points_near(points: DataFrame, places: DataFrame, meters: float) -> DataFrame:
     """``points`` within ``meters`` of any of ``places`` (lat, lon), by grid cells."""
-    row, col = geo.grid_cell("lat", "lon", meters)
+    row, col = geo.grid_cell("lat", "lon", meters * geo.GRID_MARGIN)
     reach = geo.columns_around("lat")
     held = places.select("lat", "lon").distinct().withColumns({"_r": row, "_c": col}).select("_r", "_c", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     asked = points.withColumns({"_row": row, "_col": col}).withColumn("_r", F.explode(_around("_row", 1))).withColumn("_c", F.explode(F.sequence(F.col("_col") - reach, F.col("_col") + reach)))
@@ -295,10 +296,10 @@ def points_near(points: DataFrame, places: DataFrame, meters: float) -> DataFram
 
 
 def project_to_polylines(legs: DataFrame, lat: Column, lon: Column, group: str = "feature_ord", order: str = "leg_ord") -> DataFrame:
-    """Per polyline the nearest place to a point: distance, along and left; the first leg wins ties."""
+    """Per polyline the nearest place to a point: distance, along and left; the first leg wins ties (1e-6 m)."""
     w = Window.partitionBy(group).orderBy(order)
     before = F.coalesce(F.sum("meters").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rows = legs.withColumns({"_at": before, "_whole": F.sum("meters").over(Window.partitionBy(group)), "_p": geo.project_to_segment(lat, lon, *SEGMENT)})
     along = F.least(F.col("_whole"), F.col("_at") + F.col("_p.t") * F.col("meters"))
-    best = rows.groupBy(group).agg(F.min(F.struct(F.col("_p.distance").alias("distance"), order, along.alias("along"), F.col("_whole").alias("whole"))).alias("x"))
+    best = rows.groupBy(group).agg(F.min(F.struct(F.round("_p.distance", 6).alias("distance"), order, along.alias("along"), F.col("_whole").alias("whole"))).alias("x"))
     return best.select(group, "x.distance", "x.along", (F.col("x.whole") - F.col("x.along")).alias("left"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fellpath.operators import sequence
+from fellpath.operators.network import top_of
 
 
 def carried(ridden: DataFrame, until: Column, route: DataFrame) -> DataFrame:
@@ -42,3 +43,12 @@ def geometry_agreement(left: DataFrame, right: DataFrame, key: str, tolerance: f
 def enveloped(rows: DataFrame, error: Column, most: int = 400) -> DataFrame:
     """Rows with ``ok`` and ``message``, the error cut to ``most`` characters."""
     return rows.withColumns({"ok": error.isNull(), "message": F.substring(error, 1, most)})
+
+
+def best_pairs(starts: DataFrame, goals: DataFrame, request: str, score: Column, ties: list[Column], *, start_order: list[str], goal_order: list[str], limit: int = 8) -> DataFrame:
+    """Of all pairs of a request's ``limit`` first starts and goals the one with the least
+    ``score``, an expression of both sides' columns: all columns and ``score``. Ties (1e-6) go to
+    ``ties``; pairs without a score are left out. A request has at most ``limit`` squared pairs."""
+    few = [top_of(rows, [request], [F.col(c) for c in order], limit) for rows, order in ((starts, start_order), (goals, goal_order))]
+    pairs = few[0].join(few[1], request).withColumn("score", score).where("score is not null")
+    return top_of(pairs, [request], [F.round("score", 6), *ties], 1)

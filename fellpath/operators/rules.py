@@ -187,16 +187,19 @@ def hazard_events(legs: DataFrame, hazards: DataFrame, group: str = "feature_ord
     """Per group and hazard it meets: ``crossings`` of its circle, ``visits`` and ``enters``.
 
     ``hazards`` (hazard_id, h_lat, h_lon, radius, penalty) is a catalogue; a leg
-    meets only hazards of the cells that its box touches, so the join is on cells."""
+    meets only hazards of the cells that can be reached from its box, at its latitude,
+    so the join is on cells."""
     active = hazards.where("radius > 0 and penalty > 0")
     reach = active.agg(F.max("radius")).first()[0]
     if reach is None:
         reach = 1.0
-    row, col = geo.grid_cell("h_lat", "h_lon", reach)
+    cell = reach * geo.GRID_MARGIN
+    row, col = geo.grid_cell("h_lat", "h_lon", cell)
     placed = active.withColumns({"row": row, "col": col})
-    lo = geo.grid_cell(F.least("a_lat", "b_lat"), F.least("a_lon", "b_lon"), reach)
-    hi = geo.grid_cell(F.greatest("a_lat", "b_lat"), F.greatest("a_lon", "b_lon"), reach)
-    cells = legs.withColumn("row", F.explode(F.sequence(lo[0] - 1, hi[0] + 1))).withColumn("col", F.explode(F.sequence(lo[1] - 1, hi[1] + 1)))
+    lo = geo.grid_cell(F.least("a_lat", "b_lat"), F.least("a_lon", "b_lon"), cell)
+    hi = geo.grid_cell(F.greatest("a_lat", "b_lat"), F.greatest("a_lon", "b_lon"), cell)
+    wide = geo.columns_around(F.greatest(F.abs("a_lat"), F.abs("b_lat")))
+    cells = legs.withColumn("row", F.explode(F.sequence(lo[0] - 1, hi[0] + 1))).withColumn("col", F.explode(F.sequence(lo[1] - wide, hi[1] + wide)))
     met = cells.join(placed, ["row", "col"])
     inside = {f"{e}_in": geo.haversine(f"{e}_lat", f"{e}_lon", "h_lat", "h_lon") <= F.col("radius") for e in "ab"}
     near = geo.project_to_segment("h_lat", "h_lon", "a_lat", "a_lon", "b_lat", "b_lon")["distance"] <= F.col("radius")

@@ -121,11 +121,17 @@ def traversal_pieces(legs: DataFrame, group: str = GROUP, order: str = "leg_ord"
     return cut.groupBy(group, "piece", "leg_index", "repeats").agg(F.count("*").alias("n_legs"), F.min("starts_at").alias("starts_at"), F.max("ends_at").alias("ends_at"))
 
 
-def split_at_reversals(points: DataFrame, group: str = GROUP, order: str = "vertex_ord") -> DataFrame:
-    """Vertices with ``piece``; a vertex with equal neighbours ends one piece and begins the next
-    (it is listed once, in the piece it begins)."""
+def split_at_reversals(points: DataFrame, group: str = GROUP, order: str = "vertex_ord", least: float = 0.1) -> DataFrame:
+    """Vertices with ``piece``; a vertex with equal neighbours ends one piece and begins the
+    next, and is listed in both. Vertices within ``least`` metres of the one before are
+    left out first: they are no step."""
     w = along(group, order)
-    return islands(points, F.lag("node_id").over(w) == F.lead("node_id").over(w), group, order, "piece")
+    step = geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon")
+    kept = points.withColumn("_step", step).where(F.col("_step").isNull() | (F.col("_step") >= least)).drop("_step")
+    turns = kept.withColumn("_turn", F.coalesce(F.lag("node_id").over(w) == F.lead("node_id").over(w), F.lit(False)))
+    numbered = turns.withColumn("piece", F.sum(F.col("_turn").cast("int")).over(_until(w)))
+    both = F.when(F.col("_turn"), F.array(F.col("piece") - 1, F.col("piece"))).otherwise(F.array("piece"))
+    return numbered.withColumn("piece", F.explode(both)).drop("_turn")
 
 
 def excursions(distances: DataFrame, distance: str, target: Column, group: str = GROUP, order: str = "vertex_ord") -> DataFrame:

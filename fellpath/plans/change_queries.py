@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fellpath.functions import text
-from fellpath.operators import address, changes, network
+from fellpath.operators import address, changes, network, records
 from fellpath.plans.network_queries import EDGES, edges
 from fellpath.plans.projection import view
 from fellpath.plans.registry import query, sql_haversine
@@ -119,14 +119,18 @@ def zip_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked["meters"].join(ranked["target_m"].withColumnRenamed("ride_id", "other"), ["rider", "n"]).select("rider", "ride_id", "other")
 
 
-@query("jon20_candidate_product", "SELECT a.rider, round(min(a.meters + b.access_m), 3) AS score, count(*) AS n FROM rides a JOIN rides b ON b.rider = a.rider AND b.kind <> a.kind WHERE a.kind = 'Navigation' GROUP BY a.rider")
+@query("jon20_candidate_product", """
+, a AS (SELECT * FROM (SELECT rider, ride_id AS s, meters AS s_m, row_number() OVER (PARTITION BY rider ORDER BY meters, ride_id) AS n FROM rides WHERE kind = 'Navigation') WHERE n <= 8),
+b AS (SELECT * FROM (SELECT rider, ride_id AS g, access_m AS g_m, target_m AS g_t, row_number() OVER (PARTITION BY rider ORDER BY access_m, ride_id) AS n FROM rides WHERE kind = 'ExerciseLoop') WHERE n <= 8)
+SELECT rider, s, g, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY rider ORDER BY round(score, 6), s, g) AS k FROM (SELECT a.rider, s, g, abs(s_m * 2 - g_t) + g_m * 8 AS score FROM a JOIN b ON b.rider = a.rider)) WHERE k = 1""")
 def candidate_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of all pairs of a rider's starts and destinations: the score is a sum, so
-    the least of each side gives it, and counts tell the pairs; no pair is built."""
+    """The best pair of each rider's eight first starts and destinations, under a score of both together."""
     rides = view(spark, sf_dir, "rides")
-    start = rides.where("kind = 'Navigation'").groupBy("rider").agg(F.min("meters").alias("a"), F.count("*").alias("n_a"))
-    goal = rides.where("kind = 'ExerciseLoop'").groupBy("rider").agg(F.min("access_m").alias("b"), F.count("*").alias("n_b"))
-    return start.join(goal, "rider").select("rider", F.round(F.col("a") + F.col("b"), 3).alias("score"), (F.col("n_a") * F.col("n_b")).alias("n"))
+    starts = rides.where("kind = 'Navigation'").select("rider", F.col("ride_id").alias("s"), F.col("meters").alias("s_m"))
+    goals = rides.where("kind = 'ExerciseLoop'").select("rider", F.col("ride_id").alias("g"), F.col("access_m").alias("g_m"), F.col("target_m").alias("g_t"))
+    score = F.abs(F.col("s_m") * 2 - F.col("g_t")) + F.col("g_m") * 8
+    best = records.best_pairs(starts, goals, "rider", score, [F.col("s"), F.col("g")], start_order=["s_m", "s"], goal_order=["g_m", "g"])
+    return best.select("rider", "s", "g", F.round("score", 3).alias("score"))
 
 
 @query("jon24_interval_overlap", """SELECT a.rider, count(*) AS n, round(sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)), 3) AS shared FROM (SELECT rider, ride_id, access_m AS lo, access_m + shared_m AS hi FROM rides) a
@@ -334,13 +338,15 @@ def nearest_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("top08_place_search", ENTRIES + """
-, q2 AS (SELECT point_id AS query, lat AS q_lat, lon AS q_lon FROM query_points WHERE point_id % 100 = 0),
-p AS (SELECT oid || ' ' || street AS label, lower(oid || ' ' || street) AS body, lat / 1e6::DOUBLE AS lat, lon / 1e6::DOUBLE AS lon FROM idx)
-SELECT query, CAST(n AS INTEGER) AS rank, label FROM (SELECT query, label, row_number() OVER (PARTITION BY query ORDER BY round(pow(lat - q_lat, 2) + pow((lon - q_lon) * cos(radians(q_lat)), 2), 12), label) AS n FROM q2, p WHERE list_contains(string_split(body, ' '), 'n') AND contains(body, 'mach')) WHERE n <= 8""")
+, q2 AS (SELECT point_id AS query, lat AS q_lat, lon AS q_lon, CASE point_id // 100 % 4 WHEN 0 THEN 'n' WHEN 1 THEN 'achin' WHEN 2 THEN 'st' END AS one, CASE point_id // 100 % 4 WHEN 0 THEN 'mach' WHEN 1 THEN 'city' WHEN 2 THEN '2' END AS two FROM query_points WHERE point_id % 100 = 0),
+p AS (SELECT oid, oid || ' ' || street AS label, lower(oid || ' ' || street || ' city 61701') AS body, lat / 1e6::DOUBLE AS lat, lon / 1e6::DOUBLE AS lon FROM idx)
+SELECT query, CAST(n AS INTEGER) AS rank, label FROM (SELECT query, label, row_number() OVER (PARTITION BY query ORDER BY round(pow(lat - q_lat, 2) + pow((lon - q_lon) * cos(radians(q_lat)), 2), 12), label) AS n FROM q2, p WHERE contains(body, one) AND contains(body, two)) WHERE n <= 8
+UNION ALL SELECT query, CAST(n AS INTEGER), label FROM q2, (SELECT label, row_number() OVER (ORDER BY oid) AS n FROM p) WHERE one IS NULL AND n <= 8""")
 def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight nearest places of the query points with the words of one search."""
-    places = address.build_index(address_rows(spark, sf_dir)).select(F.concat_ws(" ", F.col("oid").cast("string"), "street").alias("label"), (F.col("lat") / 1e6).alias("lat"), (F.col("lon") / 1e6).alias("lon"))
-    asked = view(spark, sf_dir, "query_points").where("point_id % 100 = 0").select(F.col("point_id").alias("query"), F.lit("N mach").alias("words"), "lat", "lon")
+    """The eight nearest places of the query points with the words of four searches, one of them empty."""
+    places = address.build_index(address_rows(spark, sf_dir)).select(F.col("oid").alias("place_ord"), F.concat_ws(" ", F.col("oid").cast("string"), "street").alias("label"), F.concat(F.lit("City "), "zip").alias("address"), (F.col("lat") / 1e6).alias("lat"), (F.col("lon") / 1e6).alias("lon"))
+    words = F.element_at(F.array(*(F.lit(x) for x in ("N mach", "achin CITY", "st 2", " "))), (F.floor(F.col("point_id") / 100) % 4 + 1).cast("int"))
+    asked = view(spark, sf_dir, "query_points").where("point_id % 100 = 0").select(F.col("point_id").alias("query"), words.alias("words"), "lat", "lon")
     return address.nearest_places(asked, places)
 
 

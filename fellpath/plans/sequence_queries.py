@@ -92,11 +92,15 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.traversal_shape(measured_legs(spark, sf_dir)).select("feature_ord", "leg_ord", "repeats")
 
 
-@query("win10_split_at_reversals", """
-SELECT feature_ord, CAST(piece AS BIGINT) AS piece, count(*) AS n FROM (SELECT feature_ord, sum(cut) OVER (PARTITION BY feature_ord ORDER BY vertex_ord) AS piece FROM (
-  SELECT *, coalesce(lag(node_id) OVER w = lead(node_id) OVER w, false)::INT AS cut FROM points WINDOW w AS (PARTITION BY feature_ord ORDER BY vertex_ord))) GROUP BY feature_ord, piece""")
+@query("win10_split_at_reversals", f"""
+, kept AS (SELECT * FROM (SELECT *, {sql_haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS step FROM points WINDOW w AS (PARTITION BY feature_ord ORDER BY vertex_ord)) WHERE step IS NULL OR step >= 0.1),
+cut AS (SELECT *, coalesce(lag(node_id) OVER w = lead(node_id) OVER w, false)::INT AS cut FROM kept WINDOW w AS (PARTITION BY feature_ord ORDER BY vertex_ord)),
+placed AS (SELECT feature_ord, vertex_ord, cut, sum(cut) OVER (PARTITION BY feature_ord ORDER BY vertex_ord) AS piece FROM cut)
+SELECT feature_ord, CAST(piece AS BIGINT) AS piece, count(*) AS n, min(vertex_ord) AS first, max(vertex_ord) AS last FROM (SELECT feature_ord, vertex_ord, piece FROM placed UNION ALL SELECT feature_ord, vertex_ord, piece - 1 FROM placed WHERE cut = 1) GROUP BY feature_ord, piece""")
 def split_at_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.split_at_reversals(view(spark, sf_dir, "points")).groupBy("feature_ord", "piece").agg(F.count("*").alias("n"))
+    """Pieces of every feature between the vertices where it turns back on itself."""
+    cut = sequence.split_at_reversals(view(spark, sf_dir, "points"))
+    return cut.groupBy("feature_ord", "piece").agg(F.count("*").alias("n"), F.min("vertex_ord").alias("first"), F.max("vertex_ord").alias("last"))
 
 
 @query("win11_excursions", f"""

@@ -73,12 +73,13 @@ def tile_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.audit(bad, "feature_ord").select("feature_ord", "fault").distinct()
 
 
-@query("src18_geojson", COUNTS + "SELECT feature_ord, CAST(n AS BIGINT) AS n_points, 'LineString' AS type FROM n")
+@query("src18_geojson", "SELECT feature_ord, count(*) AS n_points, 'LineString' AS type, round(sum(lat), 4) AS lats, round(sum(lon * vertex_ord), 4) AS lons FROM points GROUP BY feature_ord HAVING count(*) >= 2")
 def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features written as GeoJSON, and what a reader finds in it."""
     told = formats.geojson(paths(spark, sf_dir).withColumns({"type": F.lit("Trail"), "routed": F.lit(True), "place": F.lit(0)}), "feature_ord", "place")
     back = F.from_json("geojson", "features array<struct<geometry:struct<type:string, coordinates:array<array<double>>>>>")["features"][0]["geometry"]
-    return told.select("feature_ord", F.size(back["coordinates"]).cast("long").alias("n_points"), back["type"].alias("type"))
+    found = told.select("feature_ord", back.alias("g")).select("feature_ord", F.size("g.coordinates").cast("long").alias("n_points"), "g.type", F.posexplode("g.coordinates").alias("k", "xy"))
+    return found.groupBy("feature_ord", "n_points", "type").agg(F.round(F.sum(F.col("xy")[1]), 4).alias("lats"), F.round(F.sum(F.col("xy")[0] * (F.col("k") + 1)), 4).alias("lons"))
 
 
 @query("src19_polyline", "SELECT feature_ord, count(*) AS n, round(sum(lat), 5) AS lats, round(sum(lon), 5) AS lons FROM points GROUP BY feature_ord")
@@ -92,13 +93,22 @@ def polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("feature_ord", F.size("d.lats").cast("long").alias("n"), total("lats").alias("lats"), total("lons").alias("lons"))
 
 
-@query("src20_route_geometry", COUNTS + "SELECT rider, CAST(sum(n) AS BIGINT) AS n_points, count(*) AS n_paths, CAST(count(*) FILTER (f.feature_ord % 3 = 0) AS BIGINT) AS unmapped FROM features f JOIN n ON n.feature_ord = f.feature_ord GROUP BY rider")
+@query("src20_route_geometry", COUNTS + """, s AS (SELECT p.feature_ord, sum(lat) AS lats, sum(lon * vertex_ord) AS lons, min(lat) AS south, max(lon) AS east FROM points p GROUP BY p.feature_ord)
+SELECT rider, CAST(sum(n) AS BIGINT) AS n_points, count(*) AS n_paths, CAST(count(*) FILTER (f.feature_ord % 3 = 0) AS BIGINT) AS unmapped, round(sum(lats), 4) AS lats, round(sum(lons), 4) AS lons, round(min(south) - 0.0000001::DOUBLE, 8) AS south, round(max(east) + 0.0000001::DOUBLE, 8) AS east
+FROM features f JOIN n ON n.feature_ord = f.feature_ord JOIN s ON s.feature_ord = f.feature_ord GROUP BY rider""")
 def route_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each rider's features as one geometry text, and the paths a reader finds in it."""
+    """Each rider's features as one geometry text, and the paths and places a reader finds in it."""
     rows = paths(spark, sf_dir).join(view(spark, sf_dir, "features").select("feature_ord", "rider"), "feature_ord").withColumns({"type": F.lit("Trail"), "routed": F.col("feature_ord") % 3 != 0})
     told = formats.route_geometry(rows, "rider", "feature_ord")
-    parts = F.split("geometry", ";")
-    return told.select("rider", "n_points", F.size(parts).cast("long").alias("n_paths"), F.size(F.filter(parts, lambda p: p.startswith("t:"))).cast("long").alias("unmapped"))
+    parts = told.select("*", F.explode(F.split("geometry", ";")).alias("part"))
+    read = parts.withColumn("d", formats.decode_path(F.substring("part", 3, 1_000_000_000)))
+
+    def total(value: F.Column) -> F.Column:
+        return F.round(F.sum(F.aggregate(value, F.lit(0.0), lambda a, x: a + x)), 4)
+
+    weighed = F.transform("d.lons", lambda x, i: x * (i + 1))
+    out = read.groupBy("rider", "n_points", "south", "east").agg(F.count("*").alias("n_paths"), F.count_if(F.col("part").startswith("t:")).alias("unmapped"), total(F.col("d.lats")).alias("lats"), total(weighed).alias("lons"))
+    return out.select("rider", "n_points", "n_paths", "unmapped", "lats", "lons", F.round("south", 8).alias("south"), F.round("east", 8).alias("east"))
 
 
 @query("src21_payload", "SELECT ride_id, kind || ':' || title AS body FROM rides")

@@ -3,12 +3,14 @@
 import json
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fellpath.functions import geo, text
-from fellpath.operators import address, changes, closures, graph, history, instructions, network, rules, sequence
+from fellpath.operators import address, changes, closures, graph, history, instructions, network, records, rules, sequence
 from fellpath.sources import formats, tiles
 from fellpath.streaming import deviation
 
@@ -16,7 +18,7 @@ NORTH = 1 / 111_195
 
 
 def meters(a, b):
-    return deviation.distance(*a, *b)
+    return float(deviation._metres(*a, *b))
 
 
 def polylines(spark, paths):
@@ -137,6 +139,39 @@ def test_closures_on_hand_worked_paths(spark):
     assert closures.cut_at_bounds(points, closure((41.0, -89.0), between[0], True)).count() == 0
 
 
+def test_several_closures_on_one_feature(spark):
+    points = polylines(spark, {1: [(0, 100 * k) for k in range(10)], 2: [(50, 100 * k) for k in range(10)], 3: [(90, 0), (90, 100)]})
+    where = {(r.feature_ord, r.vertex_ord): (r.lat, r.lon) for r in points.collect()}
+    schema = "feature_ord long, closure_id int, from_lat double, from_lon double, to_lat double, to_lon double, active_ms int, projected boolean, crossing boolean"
+
+    def closed(spans, projected, share=0.0):
+        def at(feature, k):
+            return tuple(a + (b - a) * share for a, b in zip(where[feature, k], where[feature, min(k + 1, 9)], strict=True))
+
+        return spark.createDataFrame([(f, n, *at(f, a), *at(f, b), 0, projected, False) for n, (f, a, b) in enumerate(spans)], schema)
+
+    spans = [(1, 2, 4), (1, 8, 6), (2, 1, 3), (2, 3, 5), (2, 4, 7)]
+    pieces = {}
+    for r in closures.cut_at_vertices(points, closed(spans, False)).collect():
+        pieces.setdefault((r.feature_ord, r.piece), []).append(r.vertex_ord)
+    assert {k: sorted(v) for k, v in pieces.items()} == {(1, 0): [0, 1, 2], (1, 1): [4, 5, 6], (1, 2): [8, 9], (2, 0): [0, 1], (2, 2): [7, 8, 9], (3, 0): [0, 1]}
+    pieces = {}
+    for r in closures.cut_at_bounds(points, closed(spans[:2] + spans[2:3] + [(2, 2, 5)], True, 0.5)).collect():
+        pieces.setdefault((r.feature_ord, r.piece), []).append(round((r.lon + 89) / NORTH * math.cos(math.radians(40))))
+    assert {k: sorted(v) for k, v in pieces.items()} == {(1, 0): [0, 100, 200, 250], (1, 1): [450, 500, 600, 650], (1, 2): [850, 900], (2, 0): [0, 100, 150], (2, 1): [550, 600, 700, 800, 900]}
+
+
+@pytest.mark.parametrize("latitude", [0.0, 40.4, 65.0, 84.0, -70.0])
+def test_hazards_at_any_latitude(spark, latitude):
+    """Hazards 95 m beside a leg with a radius of 100 m are met wherever they are."""
+    shrink = math.cos(math.radians(latitude))
+    rows = [(k, latitude + 0.01 * k, -89.0, latitude + 0.01 * k + 0.001, -89.0) for k in range(20)]
+    legs = spark.createDataFrame([(k, 1, 1, 2, *r) for k, *r in rows], "feature_ord int, leg_ord int, a_id int, b_id int, a_lat double, a_lon double, b_lat double, b_lon double")
+    side = [(k, latitude + 0.01 * k + 0.0005, -89.0 + (1 if k % 2 else -1) * 95 * NORTH / math.cos(math.radians(latitude + 0.01 * k)), 100.0, 1.0) for k in range(20)]
+    hazards = spark.createDataFrame(side, "hazard_id int, h_lat double, h_lon double, radius double, penalty double")
+    assert shrink > 0 and {(r.feature_ord, r.hazard_id) for r in rules.hazard_events(legs, hazards).collect()} == {(k, k) for k in range(20)}
+
+
 def test_hazards(spark):
     legs = network.pair_legs(polylines(spark, {1: [(0, -200), (0, 200)], 2: [(0, 0), (0, 300)], 3: [(500, 0), (500, 9)]}).withColumn("node_id", F.col("vertex_ord")))
     hazards = spark.createDataFrame([(1, 40.0, -89.0, 55.0, 100.0), (2, 40.0, -89.0, 0.0, 9.0)], "hazard_id int, h_lat double, h_lon double, radius double, penalty double")
@@ -161,54 +196,106 @@ def test_instructions(spark):
     assert got == [(1, "Start", "Start on A", 0.0), (4, "Arrive", "Arrive at destination", 70.0), (4, "TurnRight", "Turn right onto B", 160.0)]
 
 
-def steps(*fixes):
-    """fixes: (seconds, metres off, accuracy, metres north, seconds until seen)."""
-    state, told = deviation.Deviation(), []
-    for s, off, accuracy, north, late in fixes:
-        state = state.next(40 + north * NORTH, -89.0, accuracy, s * 1000, off, (s + late) * 1000)
-        told.append(state.status)
-    return told
+FIXES = "rider long, seq long, fix_ms long, now_ms long, lat double, lon double, accuracy_m double, off_m double"
 
 
-def test_deviation_states():
+def steps(spark, *rides):
+    """Statuses of rides of fixes (seconds, metres off, accuracy, metres north, seconds until seen), by
+    windows and, a few fixes at a time, by the state of a stream."""
+    rows = [(r, k, s * 1000, (s + late) * 1000, 40 + north * NORTH, -89.0, None if accuracy is None else float(accuracy), float(off)) for r, fixes in enumerate(rides) for k, (s, off, accuracy, north, late) in enumerate(fixes)]
+    told = deviation.statuses(spark.createDataFrame(rows, FIXES).withColumn("kind", deviation.fix_class())).orderBy("rider", "seq").toPandas()
+    for r in range(len(rides)):
+        own = told[told["rider"] == r]
+        for size in (1, 2, 5):
+            ride, seen = deviation.Ride(), []
+            for k in range(0, len(own), size):
+                part = own.iloc[k : k + size]
+                ride, some = deviation.advance(ride, *(part[c].to_numpy() for c in ("kind", "fix_ms", "lat", "lon")))
+                seen += some
+            assert seen == own["status"].tolist()
+    return [told[told["rider"] == r]["status"].tolist() for r in range(len(rides))]
+
+
+def test_deviation_states(spark):
     on, maybe, sure, lost = "OnRoute", "PossiblyOffRoute", "ConfirmedOffRoute", "UncertainPosition"
-    assert steps((0, 90, 10, 0, 0), (8, 90, 10, 20, 0), (15, 90, 10, 40, 0)) == [maybe, maybe, sure]
-    assert steps((0, 90, 10, 0, 0), (8, 90, 10, 2, 0), (15, 90, 10, 4, 0)) == [maybe, maybe, maybe]
-    assert steps((0, 90, 10, 0, 0), (8, 90, 10, 20, 0), (14, 90, 10, 40, 0)) == [maybe, maybe, maybe]
-    assert steps((0, 90, 10, 0, 0), (20, 90, 10, 20, 0), (28, 90, 10, 40, 0)) == [maybe, maybe, maybe]
-    assert steps((0, 90, 10, 0, 0), (8, 90, None, 20, 0), (15, 90, 10, 40, 0), (20, 90, 10, 60, 0)) == [maybe, lost, maybe, sure]
-    assert steps((0, 90, 10, 0, 11), (1, 90, 10, 0, -1), (2, 55, 10, 0, 0)) == [lost, lost, on]
-    back = steps((0, 90, 10, 0, 0), (8, 90, 10, 20, 0), (15, 90, 10, 40, 0), (18, 30, 10, 40, 0), (20, 30, 30, 40, 0), (22, 30, 10, 40, 0), (24, 30, 10, 40, 0))
-    assert back == [maybe, maybe, sure, sure, sure, sure, on]
-
-
-def test_ridden_and_completion():
-    state, told = deviation.Ridden(), []
-    for progress, off in ((100, 0), (350, 0), (900, 0), (1000, 0), (1060, 0), (2000, 80), (1100, 0)):
-        state = state.next(progress, off)
-        told.append(state.ridden)
-    assert told == [100, 350, 350, 350, 1060, 1060, 1100]
-    loop = deviation.Completion()
-    for progress in range(0, 4000, 200):
-        loop = loop.next(float(progress), 4000.0, 5.0)
-    assert loop.departed and not loop.completed and loop.next(3990.0, 4000.0, 5.0).completed
-    assert not deviation.Completion().next(3990.0, 4000.0, 5.0).completed
-
-
-def test_stream_equals_replay(spark, tmp_path):
-    """The states of a stream are those of a replay, and older fixes are dropped."""
+    a, b, c, d, e, f, g, h = steps(
+        spark,
+        [(0, 90, 10, 0, 0), (8, 90, 10, 20, 0), (15, 90, 10, 40, 0)],
+        [(0, 90, 10, 0, 0), (8, 90, 10, 2, 0), (15, 90, 10, 4, 0)],
+        [(0, 90, 10, 0, 0), (8, 90, 10, 20, 0), (14, 90, 10, 40, 0)],
+        [(0, 90, 10, 0, 0), (20, 90, 10, 20, 0), (28, 90, 10, 40, 0)],
+        [(0, 90, 10, 0, 0), (8, 90, None, 20, 0), (15, 90, 10, 40, 0), (20, 90, 10, 60, 0)],
+        [(0, 90, 10, 0, 11), (1, 90, 10, 0, -1), (2, 55, 10, 0, 0)],
+        [(0, 90, 10, 0, 0), (8, 90, 10, 20, 0), (15, 90, 10, 40, 0), (18, 30, 10, 40, 0), (20, 30, 30, 40, 0), (22, 30, 10, 40, 0), (24, 30, 10, 40, 0)],
+        [(0, 90, 10, 0, 0), (8, 90, 10, 20, 0), (15, 90, 10, 40, 0), (18, 30, 10, 40, 0), (40, 30, 10, 40, 0), (45, 45, 10, 40, 0), (46, 30, 10, 40, 0), (47, 30, 10, 40, 0), (50, 90, 10, 40, 0)],
+    )
+    assert a == [maybe, maybe, sure]
+    assert b == c == d == [maybe, maybe, maybe]
+    assert e == [maybe, lost, maybe, sure]
+    assert f == [lost, lost, on]
+    assert g == [maybe, maybe, sure, sure, sure, sure, on]
+    assert h == [maybe, maybe, sure, sure, sure, sure, sure, on, maybe]
+
+
+def test_stretches_of_random_rides(spark):
+    """Windows and the state of a stream agree however a ride is cut into batches."""
+    rng = random.Random(4)
+    rides = []
+    for _ in range(8):
+        at, fixes = 0, []
+        for _ in range(120):
+            at += rng.choice([1, 4, 7, 16])
+            fixes.append((at, rng.choice([0, 0, 45, 90, 90, 90]), rng.choice([5, 10, 30, None]), at * rng.choice([1, 3]), 0))
+        rides.append(fixes)
+    assert len({x for told in steps(spark, *rides) for x in told}) == 4
+
+
+def test_ridden_and_completion(spark, monkeypatch):
+    progress, off = np.array([100, 350, 900, 1000, 1060, 2000, 1100, np.nan, 1700, 1500, 1860, 1900, 1950]), np.array([0, 0, 0, 0, 0, 80, 0, 0, 0, 0, 0, 10, 60])
+    for size in (512, 1, 3):
+        monkeypatch.setattr(deviation, "CHUNK", size)
+        told, waits = deviation.metres_ridden(progress, off)
+        assert told.tolist() == [100, 350, 350, 350, 1060, 1060, 1100, 1100, 1100, 1100, 1100, 1100, 1100]
+        assert [None if np.isnan(x) else x for x in waits] == [None, None, 900, 900, None, None, None, None, 1700, 1500, 1860, 1860, None]
+    rows = [(1, k, float(200 * k), 4000.0, 5.0, "ExerciseLoop") for k in range(20)] + [(1, 20, None, 4000.0, 5.0, "ExerciseLoop"), (1, 21, 3990.0, 4000.0, 41.0, "ExerciseLoop"), (1, 22, 3990.0, 4000.0, 5.0, "ExerciseLoop")]
+    rows += [(2, 0, 3990.0, 4000.0, 5.0, "ExerciseLoop"), (3, 0, 3990.0, 4000.0, 5.0, "Navigation")] + [(4, k, float(200 * k), 4000.0, 5.0, "Navigation") for k in range(21)]
+    loops = deviation.completion(spark.createDataFrame(rows, "rider long, seq long, progress double, whole double, off_m double, kind string"))
+    ends = {r.rider: r for r in loops.orderBy("seq").collect()}
+    assert ends[1].departed and ends[1].verified == 3990 and ends[1].completed
+    assert ends[2].departed and not ends[2].completed and not ends[3].departed and not ends[4].completed
+    assert loops.where("completed").count() == 1
+
+
+def test_stream_equals_windows(spark, tmp_path):
+    """The states of a stream are those of a recorded trip, and older fixes are dropped."""
     rng = random.Random(1)
     rows = [(r, 8000 * k + 1, 8000 * k + 600, 40 + k * 20 * NORTH, -89.0, rng.choice([5.0, 10.0, 30.0, None]), float(rng.choice([0, 0, 90, 90, 90, 45]))) for r in (1, 2) for k in range(40)]
     schema = "rider long, fix_ms long, now_ms long, lat double, lon double, accuracy_m double, off_m double"
     for part in range(4):
         spark.createDataFrame([x for x in rows if part * 10 <= (x[1] - 1) // 8000 < part * 10 + 10] + rows[:1] * (part > 0), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     out = deviation.track(stream).writeStream.format("memory").queryName("states").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     out.awaitTermination(300)
     got = {(r.rider, r.fix_ms): r.status for r in spark.table("states").collect()}
-    all_rows = spark.createDataFrame(rows, schema).withColumn("seq", F.col("fix_ms"))
-    want = deviation.replay(all_rows, "rider", "seq", deviation.Deviation(), deviation.deviation_step, ["lat", "lon", "accuracy_m", "fix_ms", "now_ms", "off_m"], "rider long, seq long, status string, streak_fixes int, return_fixes int")
-    assert got == {(r.rider, r.seq): r.status for r in want.collect()} and len(set(got.values())) > 2
+    want = deviation.statuses(spark.createDataFrame(rows, schema), order="fix_ms")
+    assert got == {(r.rider, r.fix_ms): r.status for r in want.collect()} and len(set(got.values())) > 2
+
+
+def test_signal_loss_timer(spark, tmp_path):
+    """A ride without a fix for ten seconds is told of once, by a timer."""
+    schema = "rider long, fix_ms long, now_ms long, lat double, lon double, accuracy_m double, off_m double"
+    spark.createDataFrame([(1, 1000, 1000, 40.0, -89.0, 5.0, 0.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    out = deviation.track(stream, timers=True).writeStream.format("memory").queryName("signals").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="2 seconds").start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and spark.table("signals").where("status = 'SignalLost'").isEmpty():
+            time.sleep(1)
+    finally:
+        out.stop()
+    assert [r.status for r in spark.table("signals").orderBy("status").collect()] == ["OnRoute", "SignalLost"]
 
 
 def test_text_of_hand_worked_cases(spark):
@@ -232,6 +319,35 @@ def test_address_index(spark):
     assert got == {0: ("matches", ["12 N Main St, Normal"]), 1: ("nearest-numbers", ["12 N Main St, Normal", "14A N Main St, Normal"]), 2: ("streets", ["N Main St"]), 3: ("streets", ["Oak And Elm Ave"]), 4: ("none", None), 5: ("none", None), 6: ("none", None), 7: ("matches", ["14A N Main St, Normal"])}
 
 
+def test_place_search(spark):
+    places = spark.createDataFrame([(1, "12 N Machinery St", "Normal", 40.0, -89.0), (2, "O’Neil Park", "9 Café Way", 40.1, -89.0), (3, "Machine Hall", None, 40.2, -89.0), (4, None, "nowhere", 40.0, -89.0), (5, "12 N Machinery St", "Normal", 40.0, -89.0)], "place_ord long, label string, address string, lat double, lon double")
+    asked = spark.createDataFrame([(1, "mach", 40.2, -89.0), (2, "  ", 40.0, -89.0), (3, "ONEIL cafe", 40.0, -89.0), (4, "n st mach", 40.0, -89.0), (5, "zzz", 40.0, -89.0), (6, None, 40.0, -89.0), (7, "chin", 40.0, -89.0)], "query int, words string, lat double, lon double")
+    got = {}
+    for r in address.nearest_places(asked, places, 3).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.label)
+    first = [x[1] for x in ((1, "12 N Machinery St"), (2, "O’Neil Park"), (3, "Machine Hall"))]
+    assert got == {1: ["Machine Hall", "12 N Machinery St", "12 N Machinery St"], 2: first, 3: ["O’Neil Park"], 4: ["12 N Machinery St"] * 2, 6: first, 7: ["Machine Hall", "12 N Machinery St", "12 N Machinery St"][1:] + ["Machine Hall"]}
+
+
+def test_split_at_reversals(spark):
+    points = polylines(spark, {1: [(0, 0), (0, 100), (0, 200), (0, 200.05), (0, 100), (0, 0), (0, 50)], 2: [(0, 0), (0, 9)]})
+    names = {(0, 0): 1, (0, 100): 2, (0, 200): 3, (0, 50): 4}
+    where = {1: [1, 2, 3, 9, 2, 1, 4], 2: [1, 5]}
+    nodes = spark.createDataFrame([(f, k, n) for f, ns in where.items() for k, n in enumerate(ns)], "feature_ord long, vertex_ord long, node_id long")
+    pieces = {}
+    for r in sequence.split_at_reversals(points.drop("node_id").join(nodes, ["feature_ord", "vertex_ord"])).orderBy("vertex_ord").collect():
+        pieces.setdefault((r.feature_ord, r.piece), []).append(r.vertex_ord)
+    assert names and pieces == {(1, 0): [0, 1, 2], (1, 1): [2, 4, 5, 6], (2, 0): [0, 1]}
+
+
+def test_best_pairs(spark):
+    starts = spark.createDataFrame([(1, k, float(k)) for k in range(12)] + [(2, 1, 5.0)], "request int, s int, a double")
+    goals = spark.createDataFrame([(1, k, float((k * 7) % 11)) for k in range(11)] + [(3, 1, 5.0)], "request int, g int, b double")
+    got = records.best_pairs(starts, goals, "request", F.abs(F.col("a") * F.col("b") - 20), [F.col("s"), F.col("g")], start_order=["a"], goal_order=["b"], limit=8).collect()
+    want = min((abs(a * b - 20), a, g) for a in range(8) for g in range(11) for b in [(g * 7) % 11] if b < 8)
+    assert [(r.request, r.score, r.s, r.g) for r in got] == [(1, *want)]
+
+
 def test_changes(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "n")], "id int, v string")
     right = spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "id int, v string")
