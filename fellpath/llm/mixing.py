@@ -6,8 +6,13 @@ order (source, size, hash of the id, id); the expected copies are summed along
 it, one random offset per source is added, and a document is emitted once for
 every integer boundary that its stretch of the sum crosses. With documents in
 order of size, neighbours stand in for each other and the words taken stay
-close to the target: they miss it by less than the largest document of the
-source, and every document is taken as often as expected on average.
+close to the target.
+
+A few documents may hold much of a source: those above ``LARGE`` of the target, of
+which at most ``LARGE_DOCUMENTS`` a source, expect a whole number of copies, so
+no offset moves them: from the largest on each takes the rate rounded up or
+down, whichever keeps their words nearer to the rate. The other documents share
+what is left of the target, so the words taken miss it by about one of them.
 
 The order comes from a range shuffle, not from a window per source, so a source
 that holds a third of all rows is dealt over many tasks. Ranks are local row
@@ -34,6 +39,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 #: Totals of this many sources at most are taken to the driver.
 MAX_SOURCES = 100_000
+#: Share of its source's target above which a document expects a whole number of copies, and how many may.
+LARGE, LARGE_DOCUMENTS = 0.002, 512
 
 
 def words(text: str = "text") -> Column:
@@ -74,11 +81,27 @@ def _crossed(offset: Column) -> Column:
     return F.floor(F.col("rate") * (F.col("rank") + 1) + offset) - F.floor(F.col("rate") * F.col("rank") + offset)
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", *, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = 0) -> DataFrame:
-    """Per row: ``doc_id``, ``source``, ``size``, ``source_size``, ``target`` (of
-    its source), ``copies`` (times it is emitted) and ``taken`` (its words in the mix)."""
+def whole_copies(sizes: Sequence[int], rate: float, max_repeat: float = MAX_REPEAT) -> list[int]:
+    """Copies of documents, largest first: ``rate`` rounded up or down, as keeps their
+    words so far nearer to ``rate`` times their sizes."""
+    out, missing = [], 0.0
+    for size in sizes:
+        missing += rate * size
+        low = int(rate)
+        high = min(low + 1, int(max_repeat))
+        copies = high if abs(missing - high * size) < abs(missing - low * size) else low
+        missing -= copies * size
+        out.append(copies)
+    return out
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", *, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """Per row: ``doc_id``, ``source``, ``size``, ``source_size``, ``target`` (of its source), ``copies``
+    (times it is emitted), ``taken`` (its words in the mix), and the columns ``keep``."""
     spark = docs.sparkSession
-    sized = materialise(docs.select(F.col(doc_id).alias("__id"), F.col(source).cast("string").alias("__source"), words(text).alias("size")), "sizes")
+    kept = [f"__keep{k}" for k in range(len(keep))]
+    sized = docs.select(F.col(doc_id).alias("__id"), F.col(source).cast("string").alias("__source"), words(text).alias("size"), *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)))
+    sized = materialise(sized.withColumn("__row", F.monotonically_increasing_id()), "sizes")
     totals = sized.groupBy("__source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -87,10 +110,26 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     plan = [(k, r["__source"], r["source_size"], goal, min(goal / r["source_size"], float(max_repeat)) if r["source_size"] else 0.0, _offset(r["__source"], seed)) for k, (r, goal) in enumerate(zip(totals, goals, strict=True))]
     sources = spark.createDataFrame(plan, "k int, s string, source_size long, target double, rate double, offset double")
 
-    placed = sized.join(F.broadcast(sources.select("k", "s")), F.col("__source").eqNullSafe(F.col("s"))).select("__id", "k", "size")
+    # Ids and sizes only: what is kept besides joins again by row.
+    known = sized.select("__row", "__id", "__source", "size").join(F.broadcast(sources), F.col("__source").eqNullSafe(F.col("s")))
+    order = ["k", "size", "__hash", "__name"]
+    known = known.withColumns({"__name": F.col("__id").cast("string"), "__hash": F.xxhash64(F.col("__id").cast("string"))})
+    by_size = Window.partitionBy("k").orderBy(F.desc("size"), "__hash", "__name", "__row")
+    large = known.where(F.col("size") > F.lit(LARGE) * F.col("target")).withColumn("n", F.row_number().over(by_size)).where(F.col("n") <= LARGE_DOCUMENTS).select("k", "n", "rate", "size", "__row")
+
+    def decide(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("n")
+        return pd.DataFrame({"k": part["k"], "size": part["size"], "row": part["__row"], "whole": whole_copies(part["size"].tolist(), float(part["rate"].iloc[0]), max_repeat)})
+
+    # At most LARGE_DOCUMENTS rows of a source.
+    fixed = materialise(large.groupBy("k").applyInPandas(decide, "k int, size long, row long, whole long"), "large")
+    given = {r["k"]: (r["own"], r["words"]) for r in fixed.groupBy("k").agg(F.sum("size").alias("own"), F.sum(F.col("size") * F.col("whole")).alias("words")).collect()}
+    rest = [(k, min(max((goal - given.get(k, (0, 0))[1]) / (size - given.get(k, (0, 0))[0]), 0.0), float(max_repeat)) if size > given.get(k, (0, 0))[0] else 0.0) for k, _, size, goal, *_ in plan]
+    rates = spark.createDataFrame(rest, "k int, rate double")
+
+    placed = known.select("__row", "k", "size", "__hash", "__name").join(fixed.select(F.col("row").alias("__row")), "__row", "left_anti")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = placed.repartitionByRange(n, "k", "size", F.xxhash64(F.col("__id").cast("string")), F.col("__id").cast("string"))
-    placed = placed.sortWithinPartitions("k", "size", F.xxhash64(F.col("__id").cast("string")), F.col("__id").cast("string")).withColumn("part", F.spark_partition_id())
+    placed = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("__row", "k", F.spark_partition_id().alias("part"))
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, int] = {}
@@ -101,12 +140,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
                 seen[k] = seen.get(k, 0) + int(c)
             yield batch
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    numbered = materialise(placed.mapInPandas(number, f"__id {kind}, k int, size long, part int, row long"), "ranks")
+    numbered = materialise(placed.mapInPandas(number, "__row long, k int, part int, row long"), "ranks")
     held = numbered.groupBy("k", "part").agg(F.count("*").alias("rows"))
     # A source spans neighbouring ranges, so this has at most partitions + sources rows.
     earlier = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = held.select("k", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("earlier"))
-    out = numbered.join(F.broadcast(before), ["k", "part"]).join(F.broadcast(sources), "k").withColumn("rank", F.col("row") + F.col("earlier"))
-    out = out.withColumn("copies", F.least(_crossed(F.col("offset")), F.ceil("rate")).cast("long"))
-    return out.select(F.col("__id").alias(doc_id), F.col("s").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    small = numbered.join(F.broadcast(before), ["k", "part"]).join(F.broadcast(rates), "k").join(F.broadcast(sources.select("k", "offset")), "k").withColumn("rank", F.col("row") + F.col("earlier"))
+    copies = small.select("__row", F.least(_crossed(F.col("offset")), F.ceil("rate")).cast("long").alias("copies")).unionByName(fixed.select(F.col("row").alias("__row"), F.col("whole").alias("copies")))
+    out = sized.join(copies, "__row").join(F.broadcast(sources), F.col("__source").eqNullSafe(F.col("s")))
+    return out.select(F.col("__id").alias(doc_id), F.col("s").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)))

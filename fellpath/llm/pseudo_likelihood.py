@@ -10,15 +10,17 @@ symbols of their own, all others share ``HASHED`` symbols by hash, so the
 network has a fixed size and can be broadcast. The softmax is over all 4,096
 symbols exactly, at the cost of 48 outputs a token.
 
-Training is data-parallel in numpy. In each of ``ROUNDS`` rounds every task
-starts from the same weights, learns from every position of the documents of
-that round (dealt by a hash of the text, so each document is learned from once)
-and the results are averaged by the number of positions. Weights are added up
-in parts that stream through tasks, whatever the number of tasks.
+Training is data-parallel in numpy. Documents are dealt by a hash of id and text to
+``ROUNDS`` rounds and, within each, to as many shards as the number of tokens in the
+corpus asks for (``SHARD_TOKENS`` each). All shards of a round start from the same
+weights, learn from every position of their documents in the order of that
+hash, and are averaged by the number of positions. So the network depends on the
+rows and not on how they are stored or dealt to tasks. Only symbols, two bytes a
+token, are shuffled. Weights are added up in parts that stream through tasks.
 
 Defined results: null, empty or blank text has no token, sum 0 and a null mean;
 a text of one word is predicted from padding; repeated rows give repeated
-results; weights depend on the rows and on how they are dealt to tasks.
+results.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fellpath.llm._tables import materialise
 from fellpath.llm._words import blocks, hash_words
 
 #: Branches of a level, and levels; symbols are words of their own, then hashed ones; one more pads.
@@ -43,6 +46,8 @@ ROUNDS, RATE, BATCH = 2, 0.1, 4096
 SCORE_ROWS = 32_768
 #: Weights that travel in one row.
 PART = 8_192
+#: Tokens of a shard, on average, and tokens learned from at once.
+SHARD_TOKENS, BLOCK_TOKENS = 4_000_000, 200_000
 SEED = 20231
 
 
@@ -159,13 +164,17 @@ class Network:
 def _contexts(raw: list[bytes], net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols around every token, the tokens, and offsets of the texts."""
     hashes, offsets = hash_words(raw)
-    counts = np.diff(offsets)
-    padded = np.full(len(hashes) + SIDE * (len(raw) + 1), SYMBOLS, np.int32)
-    at = np.arange(len(hashes)) + SIDE * (np.repeat(np.arange(len(raw)), counts) + 1)
     target = net.symbols(hashes)
+    return _around(target, offsets), target, offsets
+
+
+def _around(target: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The symbols on both sides of every token of texts that begin at ``offsets``."""
+    texts = len(offsets) - 1
+    padded = np.full(len(target) + SIDE * (texts + 1), SYMBOLS, np.int32)
+    at = np.arange(len(target)) + SIDE * (np.repeat(np.arange(texts), np.diff(offsets)) + 1)
     padded[at] = target
-    around = np.stack([padded[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1) if len(at) else np.zeros((0, 2 * SIDE), np.int32)
-    return around, target, offsets
+    return np.stack([padded[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1) if len(at) else np.zeros((0, 2 * SIDE), np.int32)
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -197,30 +206,58 @@ def _mean(learned: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(rows, key=lambda r: r["part"])]) if rows else None
 
 
-def train(docs: DataFrame, text: str = "text", *, rounds: int = ROUNDS) -> Network:
+def _learned(own: Network, texts: list[bytes]) -> int:
+    """Learn from texts of symbols in order; how many positions they have."""
+    learned, first, size = 0, 0, 0
+    for i in range(len(texts) + 1):
+        if i == len(texts) or size > BLOCK_TOKENS:
+            part = texts[first:i]
+            offsets = np.concatenate(([0], np.cumsum([len(t) // 2 for t in part], dtype=np.int64)))
+            target = np.frombuffer(b"".join(part), np.uint16).astype(np.int32)
+            if len(target):
+                own.learn(_around(target, offsets), target)
+            learned, first, size = learned + len(target), i, 0
+        if i < len(texts):
+            size += len(texts[i]) // 2
+    return learned
+
+
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, rounds: int = ROUNDS, shard_tokens: int | None = None) -> Network:
     """Learn from every position of every document of ``docs``."""
-    common = count_words(docs, text).orderBy(F.desc("n"), "h").limit(WORDS).collect()
+    words = materialise(count_words(docs, text), "words")
+    tokens = words.agg(F.sum("n")).first()[0] or 0
+    common = words.orderBy(F.desc("n"), "h").limit(WORDS).collect()
     hashes = np.array([r["h"] for r in common], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     net = Network.fresh(hashes[order], order.astype(np.int32))
-    rows = docs.select(F.col(text).cast("string").alias("text")).where("text is not null")
+    shards = max(1, -(-tokens // (rounds * (shard_tokens or SHARD_TOKENS))))
+    body = F.col(text).cast("string")
+    key = F.xxhash64(F.col(doc_id), body) if doc_id in docs.columns else F.xxhash64(body)
+    rows = docs.where(body.isNotNull()).select(key.alias("key"), body.alias("text"))
     for turn in range(rounds):
         start = docs.sparkSession.sparkContext.broadcast(net)
 
-        def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = start.value.with_weights(start.value.weights())
-            learned = 0
+        def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
+                told: list[bytes] = []
                 for _, raw in blocks(batch["text"].tolist()):
-                    around, target, _ = _contexts(raw, own)
-                    own.learn(around, target)
-                    learned += len(target)
-            if learned:
-                flat = own.weights().astype(np.float32)
-                parts = [flat[a : a + PART].tobytes() for a in range(0, len(flat), PART)]
-                yield pd.DataFrame({"part": np.arange(len(parts), dtype=np.int32), "w": parts, "n": np.int64(learned)})
-
-        mean = _mean(rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).mapInPandas(learn, "part int, w binary, n long"))
+                    found, offsets = hash_words(raw)
+                    symbols = start.value.symbols(found).astype(np.uint16)
+                    told += [symbols[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pd.DataFrame({"key": batch["key"], "shard": batch["shard"], "s": told})
+
+        def learn(part: pd.DataFrame) -> pd.DataFrame:
+            own = start.value.with_weights(start.value.weights())
+            learned = _learned(own, part.sort_values(["key", "s"])["s"].tolist())
+            if not learned:
+                return pd.DataFrame({"part": np.zeros(0, np.int32), "w": [], "n": np.zeros(0, np.int64)})
+            flat = own.weights().astype(np.float32)
+            parts = [flat[a : a + PART].tobytes() for a in range(0, len(flat), PART)]
+            return pd.DataFrame({"part": np.arange(len(parts), dtype=np.int32), "w": parts, "n": np.int64(learned)})
+
+        own = rows.where(F.pmod("key", F.lit(rounds)) == turn).withColumn("shard", F.pmod(F.shiftright("key", 8), F.lit(shards)))
+        symbols = own.mapInPandas(encode, "key long, shard long, s binary")
+        mean = _mean(symbols.groupBy("shard").applyInPandas(learn, "part int, w binary, n long"))
         if mean is not None:
             net = net.with_weights(mean)
     return net

@@ -1,14 +1,18 @@
 """Information-theoretic sanitisation of personal data.
 
 Entities to protect are the addresses, network addresses, card and phone
-numbers found by fixed patterns. A term (a run of letters) of a text that holds
+numbers found by fixed patterns, each at several grains: the value itself, the
+name and the domain of an address, the networks of a network address, the issuer
+of a card, country and area of a phone number. A value seldom recurs, so it is
+the coarser grains that most often have the support to show what discloses them; a term
+that discloses any grain counts. A term (a run of letters) of a text that holds
 an entity discloses it as far as seeing the term tells that the entity is there: with
 counts of distinct texts over the whole corpus, copies of a text counting once,
 
     disclosure(e, t) = PMI(e; t) / IC(e) = log(N n_et / (n_e n_t)) / log(N / n_e)
 
 which is 1 when the term occurs in texts of the entity only. Co-occurrence is
-over whole texts of any length. Terms that co-occur with an entity in at least
+over whole texts of any length. Terms that co-occur with an entity (a grain) in at least
 ``MIN_SUPPORT`` different texts and disclose it by ``GENERALISE`` or more become
 spans wherever they occur, also in texts without the entity: they are
 generalised to their shape, and from ``REMOVE`` on removed. Spans of the fixed
@@ -51,6 +55,7 @@ _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
+_NAME = re.compile(r"[a-z]{3,}")
 
 
 def _luhn(digits: str) -> bool:
@@ -130,10 +135,21 @@ def _terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int,
     return [x for x, out in zip(found, free.tolist(), strict=True) if out]
 
 
-def _entity(text: str, span: tuple[int, int, int]) -> str:
+def _entities(text: str, span: tuple[int, int, int]) -> list[str]:
+    """What a span protects, at several grains: its value, and the parts that others may share."""
     kind, start, end = span
     value = text[start:end].lower()
-    return f"{kind}:{value if kind < 2 else re.sub('[^0-9]', '', value)}"
+    if kind == 0:
+        local, _, domain = value.partition("@")
+        name = _NAME.match(local)
+        parts = [value, f"@{domain}", *([f"{name[0]}@"] if name else [])]
+    elif kind == 1:
+        four = value.split(".")
+        parts = [value, ".".join(four[:3]), ".".join(four[:2])]
+    else:
+        digits = re.sub("[^0-9]", "", value)
+        parts = [digits, digits[: 6 if kind == 2 else 5] + "*"]
+    return [f"{kind}:{part}" for part in parts]
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -153,7 +169,7 @@ def find_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 spans = base_spans(body if isinstance(body, str) else "")
                 base.append(render(spans))
                 counts.append([sum(k == kind for k, _, _ in spans) for kind in range(4)])
-                entities.append(_term_hash(sorted({_entity(body, x) for x in spans})))
+                entities.append(_term_hash(sorted({e for x in spans for e in _entities(body, x)})))
                 terms.append(_term_hash(sorted({x[0] for x in _terms(body, spans)})) if spans else np.zeros(0, np.int64))
             out = batch.drop(columns="__text")
             out[["n_email", "n_ip", "n_card", "n_phone"]] = np.array(counts, np.int64).reshape(-1, 4)

@@ -303,6 +303,48 @@ def test_sanitise_counts_copies_once(spark):
     assert len(found) == 120 and all("term:0:7" in r.spans.split(",") for r in found)
 
 
+def brute_disclosing(texts):
+    """Terms that disclose a grain of an entity, by plain counting over distinct texts."""
+    n_e, n_t, n_et = collections.Counter(), collections.Counter(), collections.Counter()
+    texts = {t for t in texts if t is not None}
+    for text in texts:
+        spans = sanitise.base_spans(text)
+        grains = set()
+        for k, s, e in spans:
+            value = text[s:e].lower()
+            digits = re.sub("[^0-9]", "", value)
+            if k == 0:
+                local, domain = value.split("@")
+                grains |= {(k, value), (k, "@" + domain)} | {(k, m[0] + "@") for m in [re.match("[a-z]{3,}", local)] if m}
+            elif k == 1:
+                grains |= {(k, value), (k, value.rsplit(".", 1)[0]), (k, value.rsplit(".", 2)[0])}
+            else:
+                grains |= {(k, digits), (k, digits[: 6 if k == 2 else 5] + "*")}
+        outside = list(text)
+        for _, s, e in spans:
+            outside[s:e] = "\0" * (e - s)
+        whole = {m.lower() for m in re.findall(r"[^\W\d_]{3,}", text)}
+        beside = {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", text) if all(m.end() <= s or m.start() >= e for _, s, e in spans)}
+        n_e.update(grains)
+        n_t.update(whole)
+        n_et.update((g, t) for g in grains for t in beside)
+    n = len(texts)
+    return {t for (g, t), both in n_et.items() if both >= 3 and n_e[g] < n and math.log(n * both / (n_e[g] * n_t[t])) / math.log(n / n_e[g]) >= 0.8}
+
+
+def test_disclosure_against_plain_counts(spark):
+    """Terms of the given documents, and of planted ones, are those of plain counts; every occurrence is a span."""
+    rows = [(r.doc_id, r.text, None, None) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows += [(10_000 + k, f"{prose(k, 30)} Zorblat {prose(k + 50, 9)} write to someone{k}@zorb.example today quuxify", None, None) for k in range(6)] + [(10_100, "only Zorblat here, zorblat again", None, None), (10_101, None, None, None)]
+    want = brute_disclosing([t for _, t, _, _ in rows])
+    assert {"zorblat", "quuxify"} <= want and len(want) > 2
+    for r in sanitise.detect(documents(spark, rows)).collect():
+        text = next(t for d, t, _, _ in rows if d == r.doc_id) or ""
+        base = sanitise.base_spans(text)
+        told = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", text) if m[0].lower() in want and all(m.end() <= s or m.start() >= e for _, s, e in base)]
+        assert r.spans == ",".join([*([sanitise.render(base)] if base else []), *(f"term:{s}:{e}" for s, e in told)])
+
+
 def test_sanitise_finds_disclosing_terms_in_whole_texts(spark, monkeypatch):
     """A name far from its address, again further on, and in a text without the address."""
     rows = [(i, f"Zorbane {prose(i, 400)} zorbane {prose(i + 50, 400)} bob@mail.example.com", "en", "a") for i in range(6)]
@@ -488,6 +530,46 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0
 
 
+def brute_mix(rows, seed=0):
+    """Ranks and copies by plain sorting; rows as for ``documents`` with distinct ids."""
+    held = collections.defaultdict(list)
+    for d, t, _, s in rows:
+        key = str(d)
+        held[s].append((len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), key, d))
+    names = sorted(held, key=lambda s: (s is None, s or ""))
+    goals = mixing.targets([sum(x[0] for x in held[s]) for s in names])
+    return names, dict(zip(names, goals, strict=True)), held
+
+
+def test_mixing_meets_targets_with_large_documents(spark):
+    """A document of a fifth of its source does not move the mix off its target, and
+    the copies of the others are the crossings of plain running sums."""
+    rng = random.Random(8)
+    rows = [(i, prose(i, rng.randint(1, 90)), None, ("a", "b", "c")[i % 3]) for i in range(900)] + [(1000 + k, prose(k, n), None, s) for k, (n, s) in enumerate([(9000, "a"), (4000, "a"), (3000, "b"), (20_000, "c"), (700, "c")])]
+    got = {r.doc_id: r for r in mixing.mix(documents(spark, rows).withColumn("extra", F.col("doc_id") * 2), keep=["extra"]).collect()}
+    names, goals, held = brute_mix(rows)
+    assert all(r.extra == 2 * d for d, r in got.items())
+    for s in names:
+        own = [got[d] for _, _, d in held[s]]
+        assert math.isclose(own[0].target, goals[s]) and abs(sum(r.taken for r in own) - goals[s]) <= 0.005 * goals[s]
+        large = sorted((r for r in own if r.size > mixing.LARGE * goals[s]), key=lambda r: -r.size)[: mixing.LARGE_DOCUMENTS]
+        rate = goals[s] / own[0].source_size
+        assert sum(r.taken for r in large) == sum(c * r.size for c, r in zip(mixing.whole_copies([r.size for r in large], rate), large, strict=True))
+        assert all(r.copies in (int(rate), int(rate) + 1) for r in large)
+        rest = [r for r in own if r not in large]
+        left = (goals[s] - sum(r.taken for r in large)) / max(1, sum(r.size for r in rest))
+        assert sum(r.copies for r in rest) in (math.floor(left * len(rest)), math.ceil(left * len(rest)))
+        by_size = sorted(rest, key=lambda r: r.size)
+        for k in range(0, len(by_size), 25):
+            assert abs(sum(r.copies for r in by_size[:k]) - left * k) <= 1
+
+
+def test_mixing_of_the_given_documents(spark):
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    off = got.groupBy("source").agg((F.abs(F.sum("taken") - F.max("target")) / F.max("target")).alias("off"))
+    assert off.agg(F.max("off")).first()[0] < 0.02
+
+
 def test_targets():
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
     assert mixing.targets([10, 90]) == [30.0, 70.0]
@@ -546,6 +628,16 @@ def test_network_is_normalised_and_learns():
     assert net.log_prob(around, target).mean() > before + 3
 
 
+def test_pseudo_likelihood_depends_on_rows_only(spark):
+    """The same rows in one and in many partitions, in any order, give the same scores."""
+    docs = documents(spark, [(i, prose(i % 50, 40 + i), None, None) for i in range(120)])
+    told = []
+    for rows in (docs.coalesce(1), docs.repartition(7), docs.orderBy(F.desc("doc_id"))):
+        net = pseudo_likelihood.train(rows, shard_tokens=2000)
+        told.append({r.doc_id: r.mean_pll for r in pseudo_likelihood.score(docs, net).collect()})
+    assert all(math.isclose(told[0][d], other[d], abs_tol=1e-4) for other in told[1:] for d in told[0])
+
+
 def test_pseudo_likelihood_against_plain_sums(spark):
     """Scores of Spark are the plain sums over words one by one, and every document is learned from."""
     rows = [(i, prose(i, 5 + i), None, None) for i in range(30)]
