@@ -9,7 +9,7 @@
 3. decontaminate: documents that hold a passage of ``benchmark`` are dropped.
 4. sanitise: personal data and terms that disclose it are replaced in the text.
 5. mix: documents are taken to the target weights of their sources; the result
-   has a row per document taken, with its number of copies.
+   has a row per document taken, with its text and its number of copies.
 
 Each stage reads all that the one before kept, written as Parquet. Rows with a
 null id stay up to the mix. An empty table passes through every stage.
@@ -61,7 +61,13 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).where("copies > 0").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    """Documents taken, with their text; the mix itself moves ids and sizes only."""
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    mixed = mixing.mix(keyed, keep=["__key"]).where("copies > 0")
+    told = mixed.groupBy("doc_id", "__key", "source", "size", "source_size", "target").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    texts = keyed.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__own"), F.col("source").alias("__from"), "text").dropDuplicates(["__id", "__own", "__from"])
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__own")) & F.col("source").eqNullSafe(F.col("__from"))
+    return told.join(texts, same).select("doc_id", "text", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
