@@ -113,13 +113,16 @@ def nearest_legs(points: DataFrame, legs: DataFrame, k: int, meters: float) -> D
     """The ``k`` nearest legs of every point within ``meters``: the point's columns,
     feature_ord, leg_ord, distance, t, rank. Ties (1e-6 m) go to the smaller feature, then leg.
 
-    Of legs on one segment only the first ``k`` can be among the nearest.
+    Segments are ranked before their legs are looked at: the nearest legs lie on the
+    ``k`` nearest segments and those as near as the last of them. Of legs on one
+    segment only the first ``k`` can be among the nearest.
     """
     first = Window.partitionBy(*SEGMENT).orderBy("feature_ord", "leg_ord")
     few = legs.select(*SEGMENT, "feature_ord", "leg_ord").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
     pairs = places_in_reach(points, legs, meters).select("lat", "lon", *SEGMENT, F.col("p.distance").alias("distance"), F.col("p.t").alias("t"))
+    near = pairs.withColumn("_n", F.rank().over(Window.partitionBy("lat", "lon").orderBy(F.round("distance", 6)))).where(F.col("_n") <= k).drop("_n")
     order = Window.partitionBy("lat", "lon").orderBy(F.round("distance", 6), "feature_ord", "leg_ord")
-    ranked = pairs.join(few, SEGMENT).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop(*SEGMENT)
+    ranked = near.join(few, SEGMENT).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop(*SEGMENT)
     return points.join(ranked, ["lat", "lon"])
 
 
@@ -133,53 +136,147 @@ def features_in_reach(points: DataFrame, legs: DataFrame, vertices: DataFrame, m
     return drawn.join(near, SEGMENT, "left_semi").select("feature_ord").distinct()
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, limit: float = float("inf"), hops: int = 4) -> DataFrame:
+#: Directed steps of a network that are sent to all tasks at most (some 50 bytes each); more are joined by shuffle.
+BROADCAST_STEPS = 1_000_000
+#: Joins between two writes of a search, and labels a start keeps while a first bound is looked for.
+HOPS, BEAM = 8, 48
+
+
+def _steps(edges: DataFrame, places: DataFrame | None) -> DataFrame:
+    """Both directions of all edges that can be on a cheapest way, and a stay at every node:
+    u, v, step, the place of v where ``places`` are given, and what ``edges`` holds besides."""
+    more = [c for c in edges.columns if c not in ("u", "v", "cost")]
+    ways = edges.select("u", "v", "cost", *more).unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost", *more)).where("cost >= 0 and u <> v")
+    best = ways.groupBy("u", "v").agg(F.min(F.struct(F.col("cost").alias("step"), *more)).alias("x")).select("u", "v", "x.*")
+    steps = materialise(best, "steps")
+    stays = steps.select("u", F.col("u").alias("v"), *(F.lit(0).cast(steps.schema[c].dataType).alias(c) for c in ("step", *more))).distinct()
+    steps = steps.unionByName(stays)
+    if places is not None:
+        steps = steps.join(places.select(F.col("node").alias("v"), "lat", "lon").dropDuplicates(["v"]), "v", "left")
+    steps = materialise(steps, "steps")
+    return F.broadcast(steps) if steps.count() <= BROADCAST_STEPS else steps
+
+
+def _ahead(goals: DataFrame, places: DataFrame) -> DataFrame:
+    """Per start what no way to any of its goals can undercut: (start, g_lat, g_lon, slack);
+    a way from a place costs at least the straight line to the middle of the goals less ``slack``."""
+    placed = goals.join(places.select("node", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon")), "node")
+    middle = placed.groupBy("start").agg(F.avg("n_lat").alias("g_lat"), F.avg("n_lon").alias("g_lon"))
+    off = geo.haversine("n_lat", "n_lon", "g_lat", "g_lon") - F.col("last")
+    return placed.join(middle, "start").groupBy("start", "g_lat", "g_lon").agg(F.max(off).alias("slack"))
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, limit: float = float("inf"), hops: int = HOPS, *, goals: DataFrame | None = None, places: DataFrame | None = None, every: bool = False) -> DataFrame:
     """Cheapest way from every start to every node within ``limit``: start, node, cost, hops, before.
 
-    ``edges``: u, v, cost (undirected, cost 0 or more); ``starts``: start, and
-    where they are given node and cost at which it enters. ``before`` is the node
-    before on the way (null where it enters); ties go to fewer hops, then to the
-    smaller node. A frontier relaxes over the edges, all starts at once, until
-    nothing improves; a round is ``hops`` joins and aggregations and one write.
+    ``edges``: u, v, cost (undirected, cost 0 or more) and numbers that are summed along
+    the way; ``starts``: start, and where they are given node, cost at which it
+    enters and first values of those numbers. ``before`` is the node before on the way (null where it enters); ties go
+    to fewer hops, then to the smaller node. A frontier relaxes over the edges, all
+    starts at once, until nothing improves; a round is ``hops`` joins and aggregations
+    and one write. Rows with nulls are left out, repeated ones are one.
+
+    With ``goals`` (start, node, last) a start is searched only as far as the cheapest of
+    them needs, or, with ``every``, all: labels that cost more than that arrival die,
+    and, where ``places`` (node, lat, lon) are given and no edge costs less than its
+    metres, so do those whose straight line to the goals would. A narrow search
+    that keeps the ``BEAM`` most promising labels of a start looks for a first
+    arrival, so that the search itself is bounded from its first round; starts for
+    which it finds none are searched without. Goals are exact, as are the labels on the ways to them.
     """
-    both = edges.select("u", "v", "cost").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost"))
-    both = materialise(both.where("cost >= 0 and u <> v").groupBy("u", "v").agg(F.min("cost").alias("step")), "adjacency")
+    more = [c for c in edges.columns if c not in ("u", "v", "cost")]
+    steps = _steps(edges, places if goals is not None else None)
     own = starts if "node" in starts.columns else starts.select("start", F.col("start").alias("node"))
     own = own if "cost" in own.columns else own.withColumn("cost", F.lit(0.0))
-    kind = both.schema["u"].dataType
-    label = F.struct(F.col("cost").cast("double").alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("before"))
-    best = materialise(own.where(F.col("cost") <= limit).groupBy("start", "node").agg(F.min(label).alias("label")), "settled")
-    frontier = best
-    while not frontier.isEmpty():
-        offered, wave = None, frontier
+    zeros = [(F.col(c) if c in own.columns else F.lit(0.0)).cast("double").alias(c) for c in more]
+    label = F.struct(F.col("cost").cast("double").alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["u"].dataType).alias("before"), *zeros)
+    begin = materialise(own.where(F.col("cost") <= limit).groupBy("start", "node").agg(F.min(label).alias("label")), "entered")
+    aims = None
+    if goals is not None:
+        ends = materialise(goals.groupBy("start", "node").agg(F.min(F.col("last").cast("double")).alias("last")), "goals")
+        aims = (ends, None if places is None else materialise(_ahead(ends, places), "ahead"), every)
+    bound = _search(steps, begin, more, limit, hops, aims, None, BEAM)[1] if places is not None and aims else None
+    found = _search(steps, begin, more, limit, hops, aims, bound, None)[0]
+    return found.select("start", "node", "label.*")
+
+
+def _arrivals(best: DataFrame, ends: DataFrame, every: bool) -> DataFrame:
+    """(start, bound): what the cheapest arrival costs, or, with ``every``, the dearest once all are reached."""
+    met = ends.join(best, ["start", "node"], "left").groupBy("start").agg(F.min(F.col("label.cost") + F.col("last")).alias("least"), F.max(F.col("label.cost") + F.col("last")).alias("most"), F.count_if(F.col("label").isNull()).alias("missing"))
+    return met.select("start", (F.when(F.col("missing") == 0, F.col("most")) if every else F.col("least")).alias("bound"))
+
+
+def _search(steps: DataFrame, begin: DataFrame, more: list[str], limit: float, hops: int, aims: tuple[DataFrame, DataFrame | None, bool] | None, bound: DataFrame | None, beam: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """All labels, and per start its arrival; see ``shortest_paths``.
+
+    What bounds the search of a start travels with its labels, and the places of
+    nodes with the steps, so a hop is one join and one aggregation."""
+    best, frontier, known = begin, begin, bound
+    sight = steps.columns
+    while True:
+        wave = frontier
+        aim = F.lit(None).cast("struct<bound:double,g_lat:double,g_lon:double,slack:double>")
+        if aims is not None:
+            ends, ahead, every = aims
+            known = _arrivals(best, ends, every)
+            if bound is not None:
+                known = known.unionByName(bound).groupBy("start").agg(F.min("bound").alias("bound"))
+            facts = known if ahead is None else known.join(ahead, "start", "left")
+            wave = wave.join(F.broadcast(facts), "start", "left")
+            aim = F.struct("bound", *((F.col(c) if ahead is not None else F.lit(None).cast("double").alias(c)) for c in ("g_lat", "g_lon", "slack")))
+            if beam is not None:
+                wave = wave.where("bound is null")
+        wave = wave.select("start", "node", "label", aim.alias("aim"))
+        least = F.col("label.cost")
+        if "lat" in sight:
+            least = least + F.greatest(F.lit(0.0), F.coalesce(geo.haversine("lat", "lon", "aim.g_lat", "aim.g_lon") - F.col("aim.slack"), F.lit(0.0)))
         for _ in range(hops):
-            reached = wave.join(both, F.col("node") == F.col("u"))
-            step = F.struct((F.col("label.cost") + F.col("step")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.col("node").alias("before"))
-            wave = reached.select("start", F.col("v").alias("node"), step.alias("label")).where(F.col("label.cost") <= limit).groupBy("start", "node").agg(F.min("label").alias("label"))
-            offered = wave if offered is None else offered.unionByName(wave)
-        offered = offered.groupBy("start", "node").agg(F.min("label").alias("offer"))
-        merged = best.join(offered, ["start", "node"], "full")
+            step = F.struct((F.col("label.cost") + F.col("step")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.col("node").alias("before"), *((F.col(f"label.{c}") + F.col(c)).alias(c) for c in more))
+            reached = wave.join(steps, F.col("node") == F.col("u")).withColumn("label", F.when(F.col("u") == F.col("v"), F.col("label")).otherwise(step))
+            hopeful = reached.where((F.col("label.cost") <= limit) & (F.col("aim.bound").isNull() | (least <= F.col("aim.bound") + 1e-6)))
+            wave = hopeful.groupBy("start", F.col("v").alias("node")).agg(F.min("label").alias("label"), F.first("aim").alias("aim"), *([F.first(least).alias("least")] if beam is not None else []))
+        merged = best.join(wave.withColumnRenamed("label", "offer").drop("aim"), ["start", "node"], "full")
         better = F.col("offer").isNotNull() & (F.col("label").isNull() | (F.col("offer.cost") < F.col("label.cost") - 1e-9))
-        merged = materialise(merged.select("start", "node", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), better.alias("better")), "settled")
-        best, frontier = merged.select("start", "node", "label"), merged.where("better").select("start", "node", "label")
-    return best.select("start", "node", "label.cost", "label.hops", "label.before")
+        merged = materialise(merged.select("start", "node", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), better.alias("better"), *(["least"] if beam is not None else [])), "settled")
+        best, frontier = merged.select("start", "node", "label"), merged.where("better")
+        if beam is not None:
+            frontier = top_of(frontier, ["start"], [F.col("least"), F.col("node")], beam)
+        frontier = frontier.select("start", "node", "label")
+        if beam is not None and known is not None:
+            open_ = _arrivals(best, aims[0], aims[2]).where("bound is null").select("start")
+            if frontier.join(open_, "start", "left_semi").isEmpty():
+                return best, materialise(_arrivals(best, aims[0], aims[2]), "arrivals")
+        elif frontier.isEmpty():
+            return best, known
 
 
 def path_nodes(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """The nodes of the ways to ``wanted`` (start, node): start, goal, place, node, with
-    place 0 at the goal. Walks all predecessors at once, one join a step, written between."""
-    at = materialise(wanted.select("start", F.col("node").alias("goal"), "node").distinct().join(tree.select("start", "node", "before"), ["start", "node"]).select("start", "goal", F.lit(0).alias("place"), "node", "before"), "path")
-    out = at
-    while not at.where("before is not null").isEmpty():
-        up = at.where("before is not null").select("start", "goal", (F.col("place") + 1).alias("place"), F.col("before").alias("node"))
-        at = materialise(up.join(tree.select("start", "node", "before"), ["start", "node"]).select("start", "goal", "place", "node", "before"), "path")
-        out = out.unionByName(at)
-    return out.select("start", "goal", "place", "node")
+    place 0 at the goal.
+
+    Ancestors are found by doubling: a table of who is 2^k steps before each label
+    gives that of 2^(k+1) by one join with itself, and each table takes all that is
+    known of the ways that many steps further, so a way of n steps needs about log n
+    joins, one write each. Only labels before a wanted one are carried."""
+    up = materialise(tree.select("start", "node", "before"), "before")
+    at = wanted.select("start", F.col("node").alias("goal"), "node").distinct().join(up.select("start", "node", F.lit(0).alias("place")), ["start", "node"])
+    known = materialise(at.select("start", "goal", "place", "node"), "path")
+    jump, length = up.where("before is not null").select("start", "node", F.col("before").alias("up")), 1
+    while True:
+        step = known.join(jump, ["start", "node"]).select("start", "goal", (F.col("place") + length).alias("place"), F.col("up").alias("node"))
+        longer = materialise(known.unionByName(step), "path")
+        if step.isEmpty():
+            return known
+        known = longer
+        nxt = jump.select("start", F.col("node").alias("up"), F.col("up").alias("far"))
+        jump = materialise(jump.join(nxt, ["start", "up"]).select("start", "node", F.col("far").alias("up")), "before")
+        length *= 2
 
 
 def direct_plans(requests: DataFrame, legs: DataFrame, reach: float = 800.0) -> DataFrame:
     """The shortest way over the network between the legs nearest to both ends of each
     request (request, from_lat, from_lon, to_lat, to_lon): request, meters, from_m, to_m.
+    The search for each request ends at its destination.
 
     Both ends snap to their nearest leg within ``reach`` and enter the network
     at either end of that leg; ends on one leg may be joined along it. Requests
@@ -195,14 +292,21 @@ def direct_plans(requests: DataFrame, legs: DataFrame, reach: float = 800.0) ->
     def entries(snaps: DataFrame) -> DataFrame:
         return snaps.select("request", F.explode(F.array(F.struct(F.col("u").alias("node"), (F.col("meters") * F.col("t")).alias("cost")), F.struct(F.col("v").alias("node"), (F.col("meters") * (1 - F.col("t"))).alias("cost")))).alias("e")).select("request", "e.*")
 
-    tree = shortest_paths(undirected_edges(measured).withColumnRenamed("meters", "cost"), entries(ends["from"]).withColumnRenamed("request", "start"))
-    over = tree.join(entries(ends["to"]).select(F.col("request").alias("start"), "node", F.col("cost").alias("last")), ["start", "node"]).groupBy(F.col("start").alias("request")).agg(F.min(F.col("cost") + F.col("last")).alias("over"))
+    goals = entries(ends["to"]).select(F.col("request").alias("start"), "node", F.col("cost").alias("last"))
+    tree = shortest_paths(undirected_edges(measured).select("u", "v", F.col("meters").alias("cost")), entries(ends["from"]).withColumnRenamed("request", "start"), goals=goals, places=node_places(legs))
+    over = tree.join(goals, ["start", "node"]).groupBy(F.col("start").alias("request")).agg(F.min(F.col("cost") + F.col("last")).alias("over"))
     both = ends["from"].alias("f").join(ends["to"].alias("t"), "request").join(over, "request", "left")
     along = F.when((F.col("f.u") == F.col("t.u")) & (F.col("f.v") == F.col("t.v")), F.abs(F.col("f.t") - F.col("t.t")) * F.col("f.meters"))
     out = both.select("request", F.least("over", along).alias("meters"), F.col("f.distance").alias("from_m"), F.col("t.distance").alias("to_m"))
     return out.where("meters is not null")
 
 
+def node_places(legs: DataFrame) -> DataFrame:
+    """(node, lat, lon) of every node; of several places of a node the first in order."""
+    ends = legs.select(F.col("a_id").alias("node"), F.struct(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).alias("p")).unionByName(legs.select(F.col("b_id").alias("node"), F.struct(F.col("b_lat").alias("lat"), F.col("b_lon").alias("lon")).alias("p")))
+    return ends.groupBy("node").agg(F.min("p").alias("p")).select("node", "p.lat", "p.lon")
+
+
 def totals(legs: DataFrame, group: str = "feature_ord") -> DataFrame:
     """Per route: meters, access_meters and shared_meters; ``legs`` have meters, access and roles (array)."""
     shared = F.when(F.array_contains("roles", "SharedRoadways"), F.greatest(F.lit(0.0), F.col("meters") - F.col("access"))).otherwise(0.0)

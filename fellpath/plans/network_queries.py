@@ -150,7 +150,8 @@ def part_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEARCH = EDGES + """
-, starts AS (SELECT DISTINCT node_id AS start FROM points WHERE feature_ord % 2000 = 0 AND vertex_ord = 1),
+, ask AS (SELECT a.node_id AS start, b.node_id AS goal FROM points a JOIN points b ON b.feature_ord = a.feature_ord + 1 AND b.vertex_ord = 1 WHERE a.feature_ord % 100 = 0 AND a.vertex_ord = 1 GROUP BY ALL),
+starts AS (SELECT DISTINCT start FROM ask),
 adj AS (SELECT u, v, meters FROM edges UNION ALL SELECT v, u, meters FROM edges),
 dist AS (
   WITH RECURSIVE walk(start, node, cost) USING KEY (start, node) AS (
@@ -163,37 +164,45 @@ dist AS (
 """
 
 
-def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query set of searches: first vertices of features whose number is divisible by 2000."""
-    return view(spark, sf_dir, "points").where("feature_ord % 2000 = 0 AND vertex_ord = 1").select(F.col("node_id").alias("start")).distinct()
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of searches (start, node): from the first vertex of each feature whose
+    number is divisible by 100 to that of the next feature."""
+    points = view(spark, sf_dir, "points").where("vertex_ord = 1")
+    heads = points.where("feature_ord % 100 = 0").select((F.col("feature_ord") + 1).alias("feature_ord"), F.col("node_id").alias("start"))
+    return heads.join(points.select("feature_ord", F.col("node_id").alias("node")), "feature_ord").select("start", "node").distinct()
+
 
+def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The query set, the graph, and the labels of the searches from its starts to its goals."""
+    goals = materialise(asked(spark, sf_dir), "asked")
+    legs = measured_legs(spark, sf_dir)
+    graph = materialise(network.undirected_edges(legs).select("u", "v", F.col("meters").alias("cost")), "graph")
+    found = network.shortest_paths(graph, goals.select("start").distinct(), goals=goals.withColumn("last", F.lit(0.0)), places=network.node_places(legs), every=True)
+    return goals, graph, found
 
-@query("grf08_shortest_path", SEARCH + "SELECT start, node, round(cost, 3) AS cost FROM dist")
+
+@query("grf08_shortest_path", SEARCH + "SELECT start, goal AS node, round(cost, 3) AS cost FROM ask JOIN dist USING (start) WHERE node = goal")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance from every trail head of the query set to all nodes it reaches."""
-    found = network.shortest_paths(edges(spark, sf_dir).withColumnRenamed("meters", "cost"), heads(spark, sf_dir))
-    return found.select("start", "node", F.round("cost", 3).alias("cost"))
+    """Distance from every trail head of the query set to its destinations."""
+    goals, _, found = searched(spark, sf_dir)
+    return goals.join(found, ["start", "node"]).select("start", "node", F.round("cost", 3).alias("cost"))
 
 
-@query("grf09_path", SEARCH + """, goals AS (SELECT DISTINCT a.node_id AS start, b.node_id AS goal FROM points a JOIN points b ON b.feature_ord = a.feature_ord + 1 AND b.vertex_ord = 1 WHERE a.feature_ord % 2000 = 0 AND a.vertex_ord = 1)
-SELECT g.start, g.goal, round(d.cost, 3) AS cost, round(d.cost, 3) AS along, true AS joined FROM goals g JOIN dist d ON d.start = g.start AND d.node = g.goal""")
+@query("grf09_path", SEARCH + "SELECT start, goal, round(cost, 3) AS cost, round(cost, 3) AS along, true AS joined FROM ask JOIN dist USING (start) WHERE node = goal")
 def path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The way from each head to the next feature's: its cost, the metres along its
+    """The way from each head to its destinations: its cost, the metres along its
     nodes, and whether each step of it is an edge."""
-    graph = edges(spark, sf_dir).withColumnRenamed("meters", "cost")
-    points = view(spark, sf_dir, "points").where("vertex_ord = 1")
-    goals = points.where("feature_ord % 2000 = 0").select((F.col("feature_ord") + 1).alias("feature_ord"), F.col("node_id").alias("start")).join(points.select("feature_ord", F.col("node_id").alias("node")), "feature_ord").select("start", "node").distinct()
-    tree = materialise(network.shortest_paths(graph, heads(spark, sf_dir)), "tree")
-    nodes = network.path_nodes(tree, goals)
+    goals, graph, found = searched(spark, sf_dir)
+    nodes = network.path_nodes(found, goals)
     step = nodes.withColumn("next", F.lead("node").over(Window.partitionBy("start", "goal").orderBy(F.desc("place"))))
     steps = step.withColumns({"u": F.least("node", "next"), "v": F.greatest("node", "next")}).join(graph.select("u", "v", F.col("cost").alias("step")), ["u", "v"], "left")
     along = steps.groupBy("start", "goal").agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("along"), F.max(F.col("next").isNotNull() & F.col("step").isNull()).alias("broken"))
-    found = goals.join(tree, ["start", "node"]).withColumnRenamed("node", "goal").join(along, ["start", "goal"])
-    return found.select("start", "goal", F.round("cost", 3).alias("cost"), F.round("along", 3).alias("along"), (~F.col("broken")).alias("joined"))
+    out = goals.join(found, ["start", "node"]).withColumnRenamed("node", "goal").join(along, ["start", "goal"])
+    return out.select("start", "goal", F.round("cost", 3).alias("cost"), F.round("along", 3).alias("along"), (~F.col("broken")).alias("joined"))
 
 
 @query("rte03_direct_plan", EDGES + f"""
-, requests AS (SELECT p.point_id AS request, p.lat AS f_lat, p.lon AS f_lon, q.lat AS t_lat, q.lon AS t_lon FROM query_points p JOIN query_points q ON q.point_id = p.point_id + 1 WHERE p.point_id % 200 = 0),
+, requests AS (SELECT p.point_id AS request, p.lat AS f_lat, p.lon AS f_lon, q.lat AS t_lat, q.lon AS t_lon FROM query_points p JOIN query_points q ON q.point_id = p.point_id + 1 WHERE p.point_id % 100 = 0),
 ends AS (SELECT request, 'f' AS side, f_lat AS lat, f_lon AS lon FROM requests UNION ALL SELECT request, 't', t_lat, t_lon FROM requests),
 near AS (SELECT *, {sql_segment('lat', 'lon', 'd')} AS d, {sql_segment('lat', 'lon', 't')} AS t FROM ends, measured WHERE abs(lat - (a_lat + b_lat) / 2) < 0.009 AND abs(lon - (a_lon + b_lon) / 2) < 0.012),
 snap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request, side ORDER BY round(d, 6), feature_ord, leg_ord) AS n FROM near WHERE d <= 800) WHERE n = 1),
@@ -210,9 +219,9 @@ over AS (SELECT request, min(dist.cost + entry.cost) AS over FROM dist JOIN entr
 SELECT f.request, round(least(over, CASE WHEN f.u = t.u AND f.v = t.v THEN abs(CASE WHEN f.a_id = f.u THEN f.t ELSE 1 - f.t END - CASE WHEN t.a_id = t.u THEN t.t ELSE 1 - t.t END) * f.meters END), 3) AS meters, round(f.d, 3) AS from_m, round(t.d, 3) AS to_m
 FROM snap f JOIN snap t ON t.request = f.request AND t.side = 't' JOIN over ON over.request = f.request WHERE f.side = 'f'""")
 def direct_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortest way over the network from each 200th query point to the next point."""
+    """The shortest way over the network from each 100th query point to the next point."""
     points = view(spark, sf_dir, "query_points")
-    asked = points.where("point_id % 200 = 0").select(F.col("point_id").alias("request"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"))
+    asked = points.where("point_id % 100 = 0").select(F.col("point_id").alias("request"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"))
     asked = asked.join(points.select((F.col("point_id") - 1).alias("request"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon")), "request")
     out = network.direct_plans(asked, view(spark, sf_dir, "legs"))
     return out.select("request", *(F.round(c, 3).alias(c) for c in ("meters", "from_m", "to_m")))

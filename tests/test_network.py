@@ -381,6 +381,12 @@ def test_sources(spark, tmp_path):
     pages = [(1, "<title>News</title><main><nav>menu</nav><p>The trail is closed at the bridge &amp; beyond, for now</p><script>x</script></main>"), (2, "<title>Not found</title><main>" + "trail " * 20 + "</main>"), (3, None), (4, "")]
     got = {r.id: r for r in formats.notices(spark.createDataFrame(pages, "id int, html string"), "html", ["Trail"]).collect()}
     assert got[1].body == "The trail is closed at the bridge & beyond, for now" and [got[k].verified for k in (1, 2, 3, 4)] == [True, False, False, False]
+    nested = "<title>A &amp; b</title><main>Hi <b>there</b> a < b <header>no</header><article>in</article> out</main> after <article/><nav>a<nav>b</nav>c</nav></main><ARTICLE>left open &eacute;<!-- <nav> -->"
+    times = [f"<meta content='{t}' property='article:published_time'>" for t in ("2026-03-01T10:00:00+02:00", "2026-03-01T10:00:00", "soon")]
+    told = spark.createDataFrame([(0, nested), *enumerate(times, 1)], "id int, html string")
+    read = told.select("id", formats.notice_text("html").alias("n"), formats.published("html").alias("at")).orderBy("id").collect()
+    assert tuple(read[0].n) == ("A & b", "Hi there a < b in out left open é")
+    assert [r["at"] for r in read] == [None, "2026-03-01T08:00:00Z", None, None]
     body = spark.createDataFrame([('{"elements":[{"type":"way","id":5,"tags":{"b":"1","a":"2"},"geometry":[{"lat":1,"lon":2},{"lat":3,"lon":4}]},{"type":"node","id":6}]}',), ("{",)], "value string")
     assert [(r.way_id, r.copies) for r in formats.overpass_ways(body).collect()] == [(5, 1)]
     told = formats.geojson(spark.createDataFrame([(1, 0, "Trail", True, [(40.0, -89.0), (41.0, -89.5)])], "route int, place int, type string, routed boolean, points array<struct<lat:double,lon:double>>"), "route", "place").first().geojson
