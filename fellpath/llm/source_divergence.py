@@ -192,11 +192,13 @@ def _streamed(rows: DataFrame, shared) -> DataFrame:
             n_held += len(keys)
 
         for batch in batches:
-            for lang, part in batch.groupby("lang", sort=False):
-                if lang not in known:
-                    continue
+            by_lang: dict[str, list[tuple[str, str]]] = {}
+            for lang, source, body in zip(batch["lang"], batch["source"], batch["text"], strict=True):
+                if lang in known:
+                    by_lang.setdefault(lang, []).append((source, body))
+            for lang, part in by_lang.items():
                 texts, codes, size = [], [], 0
-                for source, body in zip(part["source"], part["text"], strict=True):
+                for source, body in part:
                     if (lang, source) not in groups:
                         groups[lang, source] = len(names)
                         names.append((lang, source))
@@ -237,13 +239,16 @@ def _pair_sums(vectors: DataFrame, groups: dict[str, tuple[list[str], np.ndarray
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            for (lang, block), part in batch.groupby(["lang", "block"], sort=False):
+            by_block: dict[tuple[str, int], list] = {}
+            for lang, block, held in zip(batch["lang"], batch["block"].tolist(), batch["held"], strict=True):
+                by_block.setdefault((lang, block), []).append(held)
+            for (lang, block), part in by_block.items():
                 place, floor = shared.value[lang]
                 own = range(block * SOURCE_BLOCK, min(len(floor), (block + 1) * SOURCE_BLOCK))
                 total = sums.setdefault((lang, block), np.zeros((len(own), len(floor)), np.int64))
                 rows = max(1, CELLS // len(floor))
                 for k in range(0, len(part), rows):
-                    some = part["held"].iloc[k : k + rows].tolist()
+                    some = part[k : k + rows]
                     p = np.tile(floor, (len(some), 1))
                     for row, held in zip(p, some, strict=True):
                         for x in held:

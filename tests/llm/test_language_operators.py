@@ -10,6 +10,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from fellpath.llm import quality_rules, queries, source_divergence, tokenizer_alignment, transducer
@@ -35,6 +36,7 @@ def corpus():
         lang = ("en", "de", None, "")[i % 4] if i % 7 else "en"
         text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
         rows.append((i, text, lang, None if i % 11 == 0 else f"s{0 if i % 3 else i % 5}"))
+    rows += [(310 + k, "zebra abc", "en\x00" + "x" * (k % 2), "s0\x00") for k in range(20)]
     rows += [(300, None, "en", "s0"), (301, "", "en", "empty"), (302, "1 2 3", "en", "digits"), (None, "zebra " * 3, "en", "s0"), (5, rows[5][1], rows[5][2], rows[5][3]), (303, "only once", "fr", "s0"), (304, None, "fr", "s1")]
     return rows + [(305, "zebra abc " * 3000 + "\n" + "q" * 5000, "en", "s2")]
 
@@ -117,10 +119,12 @@ def tokens(spark):
 
 
 def brute_alignment(pair, rows):
-    """Token by token over whole documents, without anchors or memory."""
+    """Token by token over whole documents, without anchors or memory, A by its own library."""
+    own = tokenizers.Tokenizer.from_file(tokenizer_alignment.BYTE_BPE)
+    own.encode_special_tokens = True
     made = []
     for doc_id, text, *_ in rows:
-        a = pair.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        a = own.encode(" " + text, add_special_tokens=False).ids if text else []
         b = pair.b.encode(text) if text else []
         raw = (" " + (text or "")).encode()
         if not text or b"".join(pair.a_bytes[i] for i in a) != raw or b"".join(pair.b_bytes[i] for i in b) != raw:
