@@ -138,11 +138,12 @@ def features_in_reach(points: DataFrame, legs: DataFrame, vertices: DataFrame, m
 
 #: Directed steps of a network that are sent to all tasks at most (some 50 bytes each); more are joined by shuffle.
 BROADCAST_STEPS = 1_000_000
-#: Joins between two writes of a search, and labels a start keeps while a first bound is looked for.
-HOPS, BEAM = 8, 48
+#: Joins between two writes of a search, at first and at most; labels a start keeps while a
+#: first bound is looked for, and steps from which on a network is worth that.
+FIRST_HOPS, HOPS, BEAM, BEAM_STEPS = 4, 16, 48, 50_000
 
 
-def _steps(edges: DataFrame, places: DataFrame | None) -> DataFrame:
+def _steps(edges: DataFrame, places: DataFrame | None) -> tuple[DataFrame, int]:
     """Both directions of all edges that can be on a cheapest way, and a stay at every node:
     u, v, step, the place of v where ``places`` are given, and what ``edges`` holds besides."""
     more = [c for c in edges.columns if c not in ("u", "v", "cost")]
@@ -154,7 +155,8 @@ def _steps(edges: DataFrame, places: DataFrame | None) -> DataFrame:
     if places is not None:
         steps = steps.join(places.select(F.col("node").alias("v"), "lat", "lon").dropDuplicates(["v"]), "v", "left")
     steps = materialise(steps, "steps")
-    return F.broadcast(steps) if steps.count() <= BROADCAST_STEPS else steps
+    n = steps.count()
+    return F.broadcast(steps) if n <= BROADCAST_STEPS else steps, n
 
 
 def _ahead(goals: DataFrame, places: DataFrame) -> DataFrame:
@@ -173,19 +175,19 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, limit: float = float("in
     the way; ``starts``: start, and where they are given node, cost at which it
     enters and first values of those numbers. ``before`` is the node before on the way (null where it enters); ties go
     to fewer hops, then to the smaller node. A frontier relaxes over the edges, all
-    starts at once, until nothing improves; a round is ``hops`` joins and aggregations
+    starts at once, until nothing improves; a round is up to ``hops`` joins and aggregations
     and one write. Rows with nulls are left out, repeated ones are one.
 
     With ``goals`` (start, node, last) a start is searched only as far as the cheapest of
     them needs, or, with ``every``, all: labels that cost more than that arrival die,
     and, where ``places`` (node, lat, lon) are given and no edge costs less than its
     metres, so do those whose straight line to the goals would. A narrow search
-    that keeps the ``BEAM`` most promising labels of a start looks for a first
+    that keeps the ``BEAM`` most promising labels of a start looks, in large networks, for a first
     arrival, so that the search itself is bounded from its first round; starts for
     which it finds none are searched without. Goals are exact, as are the labels on the ways to them.
     """
     more = [c for c in edges.columns if c not in ("u", "v", "cost")]
-    steps = _steps(edges, places if goals is not None else None)
+    steps, n_steps = _steps(edges, places if goals is not None else None)
     own = starts if "node" in starts.columns else starts.select("start", F.col("start").alias("node"))
     own = own if "cost" in own.columns else own.withColumn("cost", F.lit(0.0))
     zeros = [(F.col(c) if c in own.columns else F.lit(0.0)).cast("double").alias(c) for c in more]
@@ -195,7 +197,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, limit: float = float("in
     if goals is not None:
         ends = materialise(goals.groupBy("start", "node").agg(F.min(F.col("last").cast("double")).alias("last")), "goals")
         aims = (ends, None if places is None else materialise(_ahead(ends, places), "ahead"), every)
-    bound = _search(steps, begin, more, limit, hops, aims, None, BEAM)[1] if places is not None and aims else None
+    bound = _search(steps, begin, more, limit, hops, aims, None, BEAM)[1] if places is not None and aims and n_steps > BEAM_STEPS else None
     found = _search(steps, begin, more, limit, hops, aims, bound, None)[0]
     return found.select("start", "node", "label.*")
 
@@ -211,7 +213,7 @@ def _search(steps: DataFrame, begin: DataFrame, more: list[str], limit: float, h
 
     What bounds the search of a start travels with its labels, and the places of
     nodes with the steps, so a hop is one join and one aggregation."""
-    best, frontier, known = begin, begin, bound
+    best, frontier, known, ahead_hops = begin, begin, bound, min(hops, FIRST_HOPS)
     sight = steps.columns
     while True:
         wave = frontier
@@ -230,11 +232,12 @@ def _search(steps: DataFrame, begin: DataFrame, more: list[str], limit: float, h
         least = F.col("label.cost")
         if "lat" in sight:
             least = least + F.greatest(F.lit(0.0), F.coalesce(geo.haversine("lat", "lon", "aim.g_lat", "aim.g_lon") - F.col("aim.slack"), F.lit(0.0)))
-        for _ in range(hops):
+        for _ in range(ahead_hops):
             step = F.struct((F.col("label.cost") + F.col("step")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.col("node").alias("before"), *((F.col(f"label.{c}") + F.col(c)).alias(c) for c in more))
             reached = wave.join(steps, F.col("node") == F.col("u")).withColumn("label", F.when(F.col("u") == F.col("v"), F.col("label")).otherwise(step))
             hopeful = reached.where((F.col("label.cost") <= limit) & (F.col("aim.bound").isNull() | (least <= F.col("aim.bound") + 1e-6)))
             wave = hopeful.groupBy("start", F.col("v").alias("node")).agg(F.min("label").alias("label"), F.first("aim").alias("aim"), *([F.first(least).alias("least")] if beam is not None else []))
+        ahead_hops = min(hops, 2 * ahead_hops)
         merged = best.join(wave.withColumnRenamed("label", "offer").drop("aim"), ["start", "node"], "full")
         better = F.col("offer").isNotNull() & (F.col("label").isNull() | (F.col("offer.cost") < F.col("label.cost") - 1e-9))
         merged = materialise(merged.select("start", "node", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), better.alias("better"), *(["least"] if beam is not None else [])), "settled")
