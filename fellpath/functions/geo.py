@@ -52,13 +52,15 @@ def project_to_segment(lat, lon, a_lat, a_lon, b_lat, b_lon) -> Column:  # noqa:
 
 
 def source_frame(lat, lon, a_lat, a_lon, b_lat, b_lon) -> Column:  # noqa: ANN001
-    """Place of a point along and across the directed line a to b: struct (along, across)."""
+    """Place of a point along and across the directed line a to b: struct (along, across,
+    side); side is across with its sign."""
     lat, lon, a_lat, a_lon, b_lat, b_lon = (_c(x) for x in (lat, lon, a_lat, a_lon, b_lat, b_lon))
     k, shrink = F.lit(FRAME_METERS_PER_DEGREE), F.cos(F.radians(a_lat))
     px, py = (lon - a_lon) * k * shrink, (lat - a_lat) * k
     bx, by = (b_lon - a_lon) * k * shrink, (b_lat - a_lat) * k
     length = F.sqrt(bx * bx + by * by)
-    return F.struct(((px * bx + py * by) / length).alias("along"), F.abs((px * by - py * bx) / length).alias("across"))
+    side = (px * by - py * bx) / length
+    return F.struct(((px * bx + py * by) / length).alias("along"), F.abs(side).alias("across"), side.alias("side"))
 
 
 def bearing(lat1, lon1, lat2, lon2) -> Column:  # noqa: ANN001

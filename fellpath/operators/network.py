@@ -410,3 +410,12 @@ def project_to_polylines(legs: DataFrame, lat: Column, lon: Column, group: str =
     along = F.least(F.col("_whole"), F.col("_at") + F.col("_p.t") * F.col("meters"))
     best = rows.groupBy(group).agg(F.min(F.struct(F.round("_p.distance", 6).alias("distance"), order, along.alias("along"), F.col("_whole").alias("whole"))).alias("x"))
     return best.select(group, "x.distance", "x.along", (F.col("x.whole") - F.col("x.along")).alias("left"))
+
+
+def within_loop_radius(starts: DataFrame, roads: DataFrame) -> DataFrame:
+    """(request, feature_ord): the roads that a loop of each start (request, lat, lon, target)
+    can use: within 2 km or four fifths of its target, whichever is more."""
+    asked = starts.where("lat is not null and lon is not null").withColumn("radius", F.greatest(F.lit(2000.0), F.col("target") * 0.8))
+    most = asked.agg(F.max("radius")).first()[0] or 0.0
+    near = segments_in_reach(asked.select("request", "lat", "lon", "radius"), roads.select("feature_ord", *SEGMENT).distinct(), max(most, 1.0))
+    return near.where(F.col("p.distance") <= F.col("radius")).select("request", "feature_ord").distinct()

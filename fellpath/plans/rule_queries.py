@@ -29,10 +29,15 @@ def endpoint_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.where("facility <> 'Other'").select("feature_ord").union(near)
 
 
-@query("flt04_loop_radius", "SELECT ride_id, greatest(2000, target_m * 0.8::DOUBLE) AS radius FROM rides")
+@query("flt04_loop_radius", f"""
+, starts AS (SELECT point_id AS request, lat, lon, greatest(2000, 0.8::DOUBLE * (1000 + point_id % 7 * 500)) AS radius FROM query_points WHERE point_id % 100 = 0),
+roads AS (SELECT l.* FROM legs l JOIN features f ON f.feature_ord = l.feature_ord WHERE role = 'SharedRoadways')
+SELECT request, count(DISTINCT feature_ord) AS n_roads FROM starts, roads WHERE abs(lat - a_lat) < 0.03 AND abs(lon - a_lon) < 0.04 AND {sql_segment('lat', 'lon', 'd')} <= radius GROUP BY request""")
 def loop_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far roads may lie from the start of a loop."""
-    return view(spark, sf_dir, "rides").select("ride_id", F.greatest(F.lit(2000.0), F.col("target_m") * 0.8).alias("radius"))
+    """How many roads lie within the reach of a loop from every hundredth query point."""
+    starts = view(spark, sf_dir, "query_points").where("point_id % 100 = 0").select(F.col("point_id").alias("request"), "lat", "lon", (1000 + F.col("point_id") % 7 * 500).cast("double").alias("target"))
+    roads = view(spark, sf_dir, "legs").join(view(spark, sf_dir, "features").where("role = 'SharedRoadways'").select("feature_ord"), "feature_ord", "left_semi")
+    return network.within_loop_radius(starts, roads).groupBy("request").agg(F.count("*").alias("n_roads"))
 
 
 @query("flt05_snap_eligible", "SELECT ride_id FROM rides WHERE ride_id % 3 <> 0 OR access_m / 20 <= 8")

@@ -42,6 +42,7 @@ CONFIRM_FIXES, CONFIRM_MS, CONFIRM_METERS, RETURN_FIXES = 3, 15_000, 25.0, 2
 STEP_METERS, JUMP_METERS = 300.0, 150.0
 REROUTE_MS, REROUTE_METERS = 30_000, 100.0
 LOST_MS = 10_000
+FALLBACK_METERS, FALLBACK_MS = 45.0, 4_000
 #: Fixes that are looked at together for the next event of a ride.
 CHUNK = 512
 
@@ -100,6 +101,24 @@ def completion(rows: DataFrame, ride: str = "rider", order: str = "seq") -> Data
     return out.withColumn("completed", F.max(F.coalesce(done, F.lit(False))).over(until)).drop("_step")
 
 
+def credited(rows: DataFrame, ride: str = "rider", order: str = "seq") -> DataFrame:
+    """``rows`` (fix_ms, off_m, accuracy_m, progress) with ``deviated``, ``off_route`` and ``credited`` metres so far.
+
+    A fix deviates beyond 45 m and twice its accuracy; four seconds of that are off the
+    route, unless a column ``off_route`` decides. Only progress between two fixes in a row
+    that do not deviate is credited. Fixes without accuracy or progress are left out.
+    """
+    w = Window.partitionBy(ride).orderBy(order)
+    until = w.rowsBetween(Window.unboundedPreceding, 0)
+    told = F.col("off_route") if "off_route" in rows.columns else F.lit(None).cast("boolean")
+    out = rows.where("accuracy_m is not null and progress is not null and off_m is not null")
+    out = out.withColumn("deviated", F.col("off_m") > F.greatest(F.lit(FALLBACK_METERS), F.col("accuracy_m") * 2)).withColumn("_run", F.sum((~F.col("deviated")).cast("int")).over(until))
+    since = F.min(F.when(F.col("deviated"), F.col("fix_ms"))).over(Window.partitionBy(ride, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    step = F.when(~F.col("deviated") & ~F.lag("deviated").over(w), F.greatest(F.lit(0.0), F.col("progress") - F.lag("progress").over(w))).otherwise(0.0)
+    out = out.withColumns({"off_route": F.coalesce(told, F.col("deviated") & (F.col("fix_ms") - since >= FALLBACK_MS)), "_step": step})
+    return out.withColumn("credited", F.sum("_step").over(until)).drop("_run", "_step")
+
+
 def metres_ridden(progress: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Metres ridden for certain after each fix of one ride, and the place of a jump that waits (nan: none).
 

@@ -7,10 +7,11 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fellpath.functions import geo, text
-from fellpath.operators import address, changes, closures, graph, history, instructions, network, records, rules, sequence
+from fellpath.operators import address, advisories, changes, closures, graph, history, instructions, network, records, rules, sequence
 from fellpath.sources import formats, tiles
 from fellpath.streaming import deviation
 
@@ -161,6 +162,23 @@ def test_several_closures_on_one_feature(spark):
     assert {k: sorted(v) for k, v in pieces.items()} == {(1, 0): [0, 100, 200, 250], (1, 1): [450, 500, 600, 650], (1, 2): [850, 900], (2, 0): [0, 100, 150], (2, 1): [550, 600, 700, 800, 900]}
 
 
+def test_ridden_sections(spark):
+    """Runs of legs along a section count together; crossing it, touching a bound and lines beside it do not."""
+    ways = {1: [(0, 0), (0, 50), (0, 50), (0, 51), (0, 300)], 2: [(-50, 100), (50, 100)], 3: [(0, -100), (0, 20)], 4: [(0.8, 0), (0.8, 300)], 5: [(0, 150), (0, 100), (40, 100), (0, 100), (0, 60)], 6: [(0, 199.995), (0, 400)]}
+    points = polylines(spark, ways)
+    w = Window.partitionBy("feature_ord").orderBy("vertex_ord")
+    legs = points.select(F.col("feature_ord").alias("route"), F.lit(9).alias("feature_ord"), F.col("vertex_ord").alias("leg_ord"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.lead("lat").over(w).alias("b_lat"), F.lead("lon").over(w).alias("b_lon")).where("b_lat is not null")
+    east = NORTH / math.cos(math.radians(40.0))
+    line = (9, 7, 40.0, -89.0 + 20 * east, 40.0, -89.0 + 200 * east, 0, True, False)
+    schema = "feature_ord int, closure_id int, from_lat double, from_lon double, to_lat double, to_lon double, active_ms int, projected boolean, crossing boolean"
+    sections = spark.createDataFrame([line, line, (8, 6, *line[2:]), (9, 5, 40.0, -89.0, 40.0, -89.0, 0, True, False)], schema)
+    got = {(r.route, r.closure_id): round(r.meters) for r in advisories.ridden_sections(legs, sections).collect()}
+    assert got == {(1, 7): 180, (5, 7): 50}
+    routes = legs.select("route").distinct()
+    assert {r.route: r.blocked_by for r in advisories.gate(routes, legs, sections, 0).collect()} == {1: [7], 2: [], 3: [], 4: [], 5: [7], 6: []}
+    assert advisories.gate(routes, legs, sections, -1).where("size(blocked_by) > 0").isEmpty()
+
+
 @pytest.mark.parametrize("latitude", [0.0, 40.4, 65.0, 84.0, -70.0])
 def test_hazards_at_any_latitude(spark, latitude):
     """Hazards 95 m beside a leg with a radius of 100 m are met wherever they are."""
