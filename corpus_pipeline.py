@@ -61,13 +61,21 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken, with their text; the mix itself moves ids and sizes only."""
+    """Documents taken, with their text; the mix itself moves ids and sizes only.
+
+    Texts stay where they are: what was taken is broadcast to them, if it is few
+    rows. Only of rows that are repeated, which count together, one is looked for."""
     keyed = docs.withColumn("__key", F.xxhash64("text"))
-    mixed = mixing.mix(keyed, keep=["__key"]).where("copies > 0")
-    told = mixed.groupBy("doc_id", "__key", "source", "size", "source_size", "target").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
-    texts = keyed.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__own"), F.col("source").alias("__from"), "text").dropDuplicates(["__id", "__own", "__from"])
+    mixed = mixing.mix(keyed, keep=["__key"])
+    told = mixed.groupBy("doc_id", "__key", "source", "size", "source_size", "target").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.count("*").alias("__rows"))
+    told = materialise(told.where("copies > 0"), "taken")
+    few = told.count() <= BROADCAST_IDS
+    texts = keyed.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__own"), F.col("source").alias("__from"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__own")) & F.col("source").eqNullSafe(F.col("__from"))
-    return told.join(texts, same).select("doc_id", "text", "source", "size", "source_size", "target", "copies", "taken")
+    out = texts.join(F.broadcast(told) if few else told, same)
+    once, again = out.where("__rows = 1"), out.where("__rows > 1").dropDuplicates(["__id", "__own", "__from"])
+    out = once if told.where("__rows > 1").isEmpty() else once.unionByName(again)
+    return out.select("doc_id", "text", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
