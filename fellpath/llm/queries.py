@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a network trained on all documents."""
     docs = table(spark, sf_dir, "documents")
     return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
 
@@ -22,33 +23,40 @@ RULES = [url_filter.parse_rule(*r) for r in (("block", "com/en/"), ("allow", "ex
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, by rule or by model."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
     return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, with the passages."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_warc_zst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back from them."""
     back = warc_zst.round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
 def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every document, as spans."""
     found = sanitise.detect(table(spark, sf_dir, "documents"))
     return found.withColumn("base_sha256", sanitise.digest(found["base"])).drop("base")
 
 
 def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions that documents share, and their first holders."""
     return chunk_dedup.shared_regions(table(spark, sf_dir, "documents"))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, where=~langid.held_out())
     scored = langid.predict(docs, model, ["doc_id"])
@@ -56,23 +64,28 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of shingles and its class of near duplicates."""
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, by pairs and by terms."""
     return source_divergence.audit(table(spark, sf_dir, "documents"))
 
 
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links of the tokens of two tokenizers."""
     return tokenizer_alignment.align(table(spark, sf_dir, "documents"))
 
 
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by plain rules and by how often its lines recur in its source."""
     judged = quality_rules.measure(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
 
