@@ -140,7 +140,7 @@ def features_in_reach(points: DataFrame, legs: DataFrame, vertices: DataFrame, m
 BROADCAST_STEPS = 1_000_000
 #: Joins between two writes of a search, at first and at most; labels a start keeps while a
 #: first bound is looked for, and steps from which on a network is worth that.
-FIRST_HOPS, HOPS, BEAM, BEAM_STEPS = 4, 16, 48, 50_000
+FIRST_HOPS, HOPS, BEAM, BEAM_STEPS = 4, 16, 48, 20_000
 
 
 def _steps(edges: DataFrame, places: DataFrame | None) -> tuple[DataFrame, int]:
