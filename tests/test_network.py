@@ -76,6 +76,30 @@ def test_components_and_paths(spark):
     assert {r.node for r in network.shortest_paths(edges, spark.createDataFrame([(1,)], "start long"), 1.5).collect()} == {1, 2}
 
 
+def test_searches_in_tasks_agree_with_rounds(spark, monkeypatch):
+    """Small networks are searched by tasks, start by start; labels are those of the rounds of joins."""
+    rng = random.Random(5)
+    rows = [(u, v, float(rng.randint(1, 9)), float(rng.randint(1, 5))) for u in range(60) for v in rng.sample(range(60), 3)]
+    edges = spark.createDataFrame(rows, "u long, v long, cost double, meters double")
+    starts = spark.createDataFrame([(1, 4, 0.5, 2.0), (1, 9, 0.0, 1.0), (2, 77, 1.0, 0.0), (3, None, 0.0, 0.0)], "start long, node long, cost double, meters double")
+    goals = spark.createDataFrame([(1, 30, 1.0), (1, 31, 9.0), (1, 90, 0.0), (2, 77, 0.0)], "start long, node long, last double")
+
+    def labels(**more):
+        return {(r.start, r.node): (r.cost, r.hops, r.before, r.meters) for r in network.shortest_paths(edges, starts.where("node is not null"), 20.0, **more).collect()}
+
+    calls = []
+    monkeypatch.setattr(network, "_search", lambda *a, f=network._search: calls.append(1) or f(*a))
+    mine, bounded = labels(), [labels(goals=goals, every=every) for every in (False, True)]
+    assert not calls
+    monkeypatch.setattr(network, "BROADCAST_STEPS", 0)
+    theirs = labels()
+    assert calls and mine == theirs and len(mine) > 50
+    for got in bounded:
+        assert all(theirs[k] == x for k, x in got.items()) and (1, 30) in got and (2, 77) in got
+        assert all(x[2] is None or (k[0], x[2]) in got for k, x in got.items())
+    assert (1, 31) in bounded[1] and len(bounded[1]) < len(theirs)
+
+
 @pytest.mark.parametrize("latitude", [0.0, 50.0, 70.0, -60.0])
 def test_pairs_in_reach_at_any_latitude(spark, latitude):
     rng = random.Random(2)
