@@ -20,8 +20,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _PLACE = _rng.randint(1, 2**63 - 1, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
-#: Bytes hashed at once; one longer text is hashed on its own.
-BLOCK_BYTES = 1_000_000
+#: Bytes hashed at once (some 40 bytes of a worker's memory each); one longer text is hashed on its own.
+BLOCK_BYTES = 250_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -53,7 +53,7 @@ COUNTER_BITS, CHUNK_BITS = 23, 13
 #: Least bits of a signature, rows of a tile's block.
 SIGNATURE_BITS, BLOCK_ROWS = 1024, 512
 #: Shingles of the texts that meet in one task on each side.
-TILE_SHINGLES = 500_000
+TILE_SHINGLES = 250_000
 #: Ids up to this count are broadcast to select texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
