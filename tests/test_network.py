@@ -441,3 +441,12 @@ def test_tiles(spark, tmp_path):
     points = spark.createDataFrame([(40.015, -89.005), (None, 1.0)], "lat double, lon double")
     assert sorted(r.id for r in tiles.window(spark, f"{tmp_path}/tiles", points, "id").collect()) == [1, 2]
     assert tiles.audit(tiles.placed(boxes, "id"), "id").count() == 0
+
+
+def test_distance_to_a_polyline_is_not_rounded(spark):
+    """The tie is told at 1e-6 m, the distance as it is: rounded again it would go up at a half."""
+    rows = [(1, 1, 40.0, -89.0, 40.001, -89.0, 111.0), (1, 2, 40.001, -89.0, 40.001, -88.99, 852.0)]
+    legs = spark.createDataFrame(rows, "feature_ord long, leg_ord long, a_lat double, a_lon double, b_lat double, b_lon double, meters double")
+    got = network.project_to_polylines(legs, F.lit(40.0004), F.lit(-89.00012345)).first()
+    want = spark.range(1).select(geo.project_to_segment(40.0004, -89.00012345, 40.0, -89.0, 40.001, -89.0)["distance"].alias("d")).first().d
+    assert got.distance == want and want != round(want, 6) and math.isclose(got.left, 963.0 - got.along)
