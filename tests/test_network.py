@@ -450,3 +450,21 @@ def test_distance_to_a_polyline_is_not_rounded(spark):
     got = network.project_to_polylines(legs, F.lit(40.0004), F.lit(-89.00012345)).first()
     want = spark.range(1).select(geo.project_to_segment(40.0004, -89.00012345, 40.0, -89.0, 40.001, -89.0)["distance"].alias("d")).first().d
     assert got.distance == want and want != round(want, 6) and math.isclose(got.left, 963.0 - got.along)
+
+
+def test_weights_of_coverage_without_its_pairs(spark, monkeypatch):
+    """Routes over one another: weights equal the shares of each session, summed by recency."""
+    rng = random.Random(8)
+    walks = {f: [(0, 0)] for f in range(12)}
+    for line in walks.values():
+        for _ in range(5):
+            line.append((line[-1][0] + rng.choice([-60, 0, 60]), line[-1][1] + 60))
+    points = polylines(spark, walks)
+    legs = network.pair_legs(points.withColumn("node_id", F.hash("lat", "lon").cast("long")))
+    asked = history.samples(legs.where("feature_ord < 3"), "feature_ord", 0.76)
+    past = history.segments(legs.where("feature_ord >= 3").withColumnRenamed("feature_ord", "session"), "session", 0.76)
+    recency = spark.createDataFrame([(f, 1 / f) for f in range(3, 11)], "session long, recency double")
+    want = {r.feature_ord: r.weight for r in history.edge_weights(history.coverage(asked, past, "feature_ord", "session"), recency, "feature_ord", "session").collect()}
+    monkeypatch.setattr(history, "coverage", None)
+    got = {r.feature_ord: r.weight for r in history.coverage_weights(asked, past, recency, "feature_ord", "session").collect()}
+    assert set(got) == set(want) and got and all(math.isclose(got[f], want[f]) for f in want)
