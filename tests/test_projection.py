@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fellpath import catalog
+from fellpath.operators import network
 from fellpath.plans import projection
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,3 +18,13 @@ def test_tasks_grow_with_the_table(spark, monkeypatch):
     assert dealt.select("task").distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert dealt.groupBy("feature_ord").agg(F.countDistinct("task").alias("n")).where("n > 1").isEmpty()
     assert sorted(query(spark, SF_DIR).collect()) == want
+
+
+def test_local_features_are_found_by_distinct_lines(spark, monkeypatch):
+    """Each place meets each line once, however many features share it."""
+    met = []
+    monkeypatch.setattr(network, "segments_in_reach", lambda points, legs, meters, f=network.segments_in_reach: met.append((points, legs)) or f(points, legs, meters))
+    found = catalog.QUERIES["flt03_endpoint_local"](spark, SF_DIR)
+    (points, lines) = met[0]
+    assert points.count() == points.distinct().count() and lines.count() == lines.distinct().count() == lines.select(*network.SEGMENT).distinct().count()
+    assert found.count() == found.distinct().count() > 0
