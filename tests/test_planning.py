@@ -180,6 +180,22 @@ def test_two_labels_on_random_graphs(spark, hops):
             assert (r.cost, r.meters) in sums
 
 
+def test_two_labels_in_tasks_agree_with_rounds(spark, monkeypatch):
+    """Small networks are settled start by start in tasks; ways lie in one piece, so none is put together by rounds."""
+    rng = random.Random(9)
+    edges = [(u, v, float(rng.randint(1, 100)), float(rng.randint(1, 100))) for u in range(30) for v in rng.sample(range(30), 2) if u != v]
+    frame = spark.createDataFrame(edges, "u long, v long, cost double, meters double")
+    starts = spark.createDataFrame([(0, 3, 1.0, 2.0), (0, 4, 0.0, 9.0), (5, 5, 0.0, 0.0), (6, 99, 0.0, 0.0), (7, 7, 0.0, 500.0)], "start long, node long, cost double, meters double")
+    told = {}
+    for name, most in (("tasks", planning.network.BROADCAST_STEPS), ("rounds", 0)):
+        monkeypatch.setattr(planning.network, "BROADCAST_STEPS", most)
+        found, log = planning.two_label_search(frame, starts, 150.0)
+        told[name] = {(r.start, r.node, r.meters) for r in found.where("shortest").collect()}
+        assert name == "rounds" or log.where("prev is not null").isEmpty()
+        assert found.count() == planning.label_ways(log, found.select("start", "id")).count()
+    assert told["tasks"] == told["rounds"] and {s for s, _, _ in told["tasks"]} == {0, 5, 6}
+
+
 def test_bounded_searches_are_exact(spark, monkeypatch):
     """Searches towards goals agree with plain ones, with and without places and for all goals."""
     rng = random.Random(3)
