@@ -28,3 +28,18 @@ def test_local_features_are_found_by_distinct_lines(spark, monkeypatch):
     (points, lines) = met[0]
     assert points.count() == points.distinct().count() and lines.count() == lines.distinct().count() == lines.select(*network.SEGMENT).distinct().count()
     assert found.count() == found.distinct().count() > 0
+
+
+def test_roads_of_loops_are_counted_without_pairs(spark, monkeypatch):
+    """Segments, each once, meet places; counts agree with the pairs, also over several passes."""
+    points = projection.view(spark, SF_DIR, "query_points").where("point_id % 10 = 0")
+    starts = points.select(F.col("point_id").alias("request"), "lat", "lon", (1000 + F.col("point_id") % 7 * 500).cast("double").alias("target"))
+    roads = projection.view(spark, SF_DIR, "legs").where("feature_ord % 5 = 0")
+    want = {tuple(r) for r in network.within_loop_radius(starts, roads).groupBy("request").count().collect()}
+    met = []
+    monkeypatch.setattr(network, "segments_in_reach", lambda points, legs, meters, f=network.segments_in_reach: met.append(legs) or f(points, legs, meters))
+    for name in ("SPOTS", "FEW_SPOTS"):
+        monkeypatch.setattr(network, name, 5)
+    assert {tuple(r) for r in network.count_within_loop_radius(starts, roads).collect()} == want and want
+    assert len(met) > 1 and all(x.count() == x.distinct().count() and x.columns == network.SEGMENT for x in met)
+    assert network.count_within_loop_radius(starts.limit(0), roads).count() == 0 == network.count_within_loop_radius(starts, roads.limit(0)).count()
