@@ -64,6 +64,21 @@ def test_graph_of_a_crossing(spark):
     assert got == [(1, False, 50.0), (1, False, 50.0), (1, True, 28.0), (1, True, 38.0), (2, False, 92.0), (3, False, 50.0)]
 
 
+def test_connectors_are_found_once_for_each_line(spark, monkeypatch):
+    """Copies of features on the same lines take the ways of the first; no line is projected for each of them."""
+    paths = {1: [(0, 0), (0, 50), (0, 100)], 2: [(8, 70), (100, 70)], 3: [(0, 100), (50, 100)]}
+    copies = paths | {f + 10 * k: p for f, p in paths.items() for k in range(1, 5)}
+    met = []
+    monkeypatch.setattr(network, "segments_in_reach", lambda points, legs, meters, f=network.segments_in_reach: met.append(legs.count()) or f(points, legs, meters))
+    told = {}
+    for name, own in (("once", paths), ("copies", copies)):
+        rows = graph.build(polylines(spark, own))[1].collect()
+        assert len({r.edge for r in rows}) == len(rows)
+        told[name] = sorted((r.feature_ord % 10, r.u, r.v, round(r.meters, 6), r.connector) for r in rows)
+    assert told["copies"] == sorted(5 * told["once"]) and any(r[-1] for r in told["once"])
+    assert met[0] == met[1]
+
+
 def test_components_and_paths(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (4, 5, 2.0), (3, 3, 0.0)], "u long, v long, cost double")
     parts = {r.node_id: r.component_id for r in network.components(edges).collect()}
