@@ -180,6 +180,29 @@ def test_two_labels_on_random_graphs(spark, hops):
             assert (r.cost, r.meters) in sums
 
 
+def test_trail_snaps_look_at_the_nearest_lines_only(spark, monkeypatch):
+    """The same snaps as of all legs in reach, of which few are looked at where many features share the lines."""
+    rng = random.Random(11)
+    north = [40 + k * 0.0005 for k in range(12)]
+    rows = [(f, k, north[k], -89.0, north[k + 1], -89.0, rng.randint(0, 3)) for f in range(40) for k in range(11)]
+    # One feature with many legs nearest of all, which must not fill the snaps alone.
+    rows += [(99, k, 40 + k * 0.0001, -88.9999, 40 + (k + 1) * 0.0001, -88.9999, 0) for k in range(30)]
+    trails = spark.createDataFrame([r[:6] for r in rows if r[6] < 3], "feature_ord long, leg_ord int, a_lat double, a_lon double, b_lat double, b_lon double")
+    ends = spark.createDataFrame([(1, 40.0013, -88.9990), (2, 40.004, -89.001), (3, 50.0, -89.0)], "endpoint long, lat double, lon double")
+    want = set()
+    for e, own in itertools.groupby(sorted(network.segments_in_reach(ends, trails, 1500.0).select("endpoint", F.round("p.distance", 6), "feature_ord", "leg_ord").collect()), key=lambda r: r[0]):
+        taken = []
+        for r in own:
+            if len(taken) < 24 and sum(f == r[2] for f, _ in taken) < planning.OF_A_TRAIL:
+                taken.append((r[2], r[3]))
+        want |= {(e, k + 1, f, leg) for k, (f, leg) in enumerate(taken)}
+    seen = []
+    monkeypatch.setattr(planning.network, "top_of", lambda rows, group, order, k, f=network.top_of: (group == ["lat", "lon", "feature_ord"] and seen.append(rows.count()), f(rows, group, order, k))[1])
+    got = {(r.endpoint, r.snap, r.feature_ord, r.leg_ord) for r in planning.trail_snaps(ends, trails, planning.NORMAL).collect()}
+    assert got == want and len(want) == 48
+    assert sum(seen) < trails.count() / 2
+
+
 def test_two_labels_in_tasks_agree_with_rounds(spark, monkeypatch):
     """Small networks are settled start by start in tasks; ways lie in one piece, so none is put together by rounds."""
     rng = random.Random(9)
