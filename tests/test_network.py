@@ -428,6 +428,28 @@ def test_polyline_codec(spark):
     assert [r.d.lats for r in bad] == [None, None, None, None]
 
 
+def test_polylines_are_coded_a_batch_at_once():
+    """Paths of a batch do not run into each other, and no step is taken for each of them."""
+    pa, calls = formats.pa, []
+    rng = random.Random(2)
+    paths = [None if k % 7 == 3 else [(round(rng.uniform(-90, 90), 7), round(rng.uniform(-180, 180), 7)) for _ in range(k % 5)] for k in range(60)]
+    paths[9] = [(float("inf"), 1.0), (2.0, 3.0)]
+    columns = [pa.array([None if p is None else [x[c] for x in p] for p in paths], pa.list_(pa.float64())) for c in range(2)]
+    inner, formats._packed = formats._packed, lambda values: calls.append(len(values)) or inner(values)
+    try:
+        told = formats._encode_paths(*columns)
+    finally:
+        formats._packed = inner
+    assert len(calls) == 1
+    back = formats._decode_paths(told).to_pylist()
+    for k, (path, found) in enumerate(zip(paths, back, strict=True)):
+        want = [None, None] if path is None or k == 9 else [[x[c] for x in path] for c in range(2)]
+        assert [found["lats"], found["lons"]] == want
+    long = formats._decode_paths(pa.array(["?@", "?" * 3, "~~~~~~~~~?@", "", "?@?@", "_?@"])).to_pylist()
+    assert [r["lats"] for r in long] == [[0.0], None, None, [], [0.0, 0.0], [0.0]]
+    assert formats._decode_paths(pa.array([], pa.string())).to_pylist() == [] and formats._encode_paths(*(pa.array([None], pa.list_(pa.float64())) for _ in range(2))).to_pylist() == [None]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.json").write_text('﻿{"layers":[{"id":"x","features":[{"id":"1","name":" ","routeRoles":["b","a"],"facilityType":"Urban Trail","paths":[[[-89,40],[-89.1,40.1]]]},{"id":"2","routeRoles":"c","paths":[[[-89,40]]]}]}]}')
     (only,) = formats.read_trails(spark, f"{tmp_path}/t.json").collect()
