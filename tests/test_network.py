@@ -428,6 +428,17 @@ def test_polyline_codec(spark):
     assert [r.d.lats for r in bad] == [None, None, None, None]
 
 
+def test_points_near_does_not_broadcast_copied_points(spark):
+    """Points are looked up by distinct place, and their copies around each cell are never sent whole through the driver."""
+    points = polylines(spark, {f: [(0, 0), (0, 400)] for f in range(30)}).select(F.col("feature_ord").alias("point_id"), "lat", "lon")
+    places = polylines(spark, {1: [(5, 5), (0, 900)]}).select("lat", "lon")
+    found = network.points_near(points, places, 25.0)
+    assert found.count() == 30 and found.columns == points.columns
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and plan.index("Generate explode") > plan.index("strategy=merge")
+    assert all(r.lon < -88.99999 for r in found.collect())
+
+
 def test_polylines_are_coded_a_batch_at_once():
     """Paths of a batch do not run into each other, and no step is taken for each of them."""
     pa, calls = formats.pa, []
