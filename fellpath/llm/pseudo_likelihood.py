@@ -111,7 +111,7 @@ class Network:
         for n, i, j in runs:
             np.matmul(hid[i:j], self.out[k][n], out=logits[i:j])
             logits[i:j] += self.bias[k][n]
-        logits -= logits.max(1, keepdims=True)
+        logits -= _largest(logits)[:, None]
         return runs, logits, np.exp(logits)
 
     def log_prob(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ class Network:
         hid = self.hidden(around[order])
         for k in range(LEVELS):
             _, logits, powers = self._level(k, hid, target)
-            total += logits[rows, target // BRANCHES ** (LEVELS - 1 - k) % BRANCHES] - np.log(powers.sum(1))
+            total += logits[rows, target // BRANCHES ** (LEVELS - 1 - k) % BRANCHES] - np.log(_sums(powers))
         out = np.empty_like(total)
         out[order] = total
         return out
@@ -133,7 +133,7 @@ class Network:
         back, outs, biases = np.zeros_like(hid), [np.zeros_like(x) for x in self.out], [np.zeros_like(x) for x in self.bias]
         for k in range(LEVELS):
             runs, _, d = self._level(k, hid, target)
-            d /= d.sum(1, keepdims=True)
+            d /= _sums(d)[:, None]
             d[rows, target // BRANCHES ** (LEVELS - 1 - k) % BRANCHES] -= 1
             d /= n
             biases[k][[r[0] for r in runs]] = np.add.reduceat(d, [r[1] for r in runs])
@@ -144,10 +144,11 @@ class Network:
         back *= 1 - hid * hid
         embed, place = np.zeros_like(self.embed), np.zeros_like(self.place)
         # Of the steps that reach an embedding, those of one side at a time: one sum per side and symbol.
+        by_width = np.ascontiguousarray(back.T, np.float64)
         for k in range(2 * SIDE):
-            summed, seen = np.empty(self.embed.shape), np.ascontiguousarray(around[:, k])
+            summed, seen = np.empty(self.embed.shape), around[:, k].astype(np.intp)
             for w in range(WIDTH):
-                summed[:, w] = np.bincount(seen, back[:, w], SYMBOLS + 1)
+                summed[:, w] = np.bincount(seen, by_width[w], SYMBOLS + 1)
             embed += summed * self.place[k]
             place[k] = (summed * self.embed).sum(0)
         return [embed, place, *outs, *biases]
@@ -161,6 +162,22 @@ class Network:
                 weight -= RATE * step / np.sqrt(square)
 
 
+def _largest(rows: np.ndarray) -> np.ndarray:
+    """The largest of every row of ``BRANCHES`` numbers, all rows at once."""
+    while rows.shape[1] > 1:
+        half = rows.shape[1] // 2
+        rows = np.maximum(rows[:, :half], rows[:, half:])
+    return rows[:, 0]
+
+
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """The sum of every row of ``BRANCHES`` numbers, all rows at once, in the order of ``sum``."""
+    rows = rows[:, : BRANCHES // 2] + rows[:, BRANCHES // 2 :]
+    while rows.shape[1] > 1:
+        rows = rows[:, ::2] + rows[:, 1::2]
+    return rows[:, 0]
+
+
 def _contexts(raw: list[bytes], net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols around every token, the tokens, and offsets of the texts."""
     hashes, offsets = hash_words(raw)
