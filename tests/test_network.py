@@ -516,3 +516,26 @@ def test_weights_of_coverage_without_its_pairs(spark, monkeypatch):
     monkeypatch.setattr(history, "coverage", None)
     got = {r.feature_ord: r.weight for r in history.coverage_weights(asked, past, recency, "feature_ord", "session").collect()}
     assert set(got) == set(want) and got and all(math.isclose(got[f], want[f]) for f in want)
+
+
+def test_coverage_without_pairs_of_samples(spark, monkeypatch):
+    """Distinct places meet distinct lines, over several blocks of edges; shares agree with the pairs of samples and sessions."""
+    rng = random.Random(9)
+    walks = {f: [(0, 0)] for f in range(12)}
+    for line in walks.values():
+        for _ in range(5):
+            line.append((line[-1][0] + rng.choice([-60, 0, 60]), line[-1][1] + rng.choice([-60, 60])))
+    legs = network.pair_legs(polylines(spark, walks).withColumn("node_id", F.hash("lat", "lon").cast("long")))
+    asked = history.samples(legs.where("feature_ord < 4"), "feature_ord", 0.76)
+    past = history.segments(legs.where("feature_ord >= 4").withColumnRenamed("feature_ord", "session"), "session", 0.76)
+    met = history._covered(asked, past, 25.0).select("feature_ord", "session", "sample", "piece_m").distinct().groupBy("feature_ord", "session").agg(F.sum("piece_m").alias("m"))
+    want = {(r.feature_ord, r.session): r.m / r.total for r in met.join(asked.groupBy("feature_ord").agg(F.sum("piece_m").alias("total")), "feature_ord").collect()}
+    seen = []
+    monkeypatch.setattr(history, "_covered", lambda samples, drawn, cell, f=history._covered: seen.append((samples, drawn)) or f(samples, drawn, cell))
+    for name in ("TASK_PAIRS", "BLOCK_ROWS"):
+        monkeypatch.setattr(history, name, 7, raising=False)
+    got = history.coverage(asked.union(asked.limit(0)), past.union(past), "feature_ord", "session").collect()
+    assert all(x.count() == x.distinct().count() and not {"feature_ord", "session"} & set(x.columns) for x in seen[0])
+    shares = {(r.feature_ord, r.session): r.share for r in got}
+    assert len(got) == len(shares) and set(shares) == set(want) and want and all(math.isclose(shares[p], want[p]) for p in want)
+    assert history.coverage(asked.limit(0), past, "feature_ord", "session").count() == 0
