@@ -539,3 +539,16 @@ def test_coverage_without_pairs_of_samples(spark, monkeypatch):
     shares = {(r.feature_ord, r.session): r.share for r in got}
     assert len(got) == len(shares) and set(shares) == set(want) and want and all(math.isclose(shares[p], want[p]) for p in want)
     assert history.coverage(asked.limit(0), past, "feature_ord", "session").count() == 0
+
+
+def test_nearest_address_by_distinct_places(spark):
+    """What lies at one place is told once: neither points nor entries there are paired; ties go to the first entry, repeated points are one."""
+    at = [(40.0, -89.0), (40.0004, -89.0), (40.0, -89.0005), (41.0, -89.0)]
+    index = spark.createDataFrame([(o, f"S{o % 3}", o % 7, "", "", "C", "", round(la * 1e6), round(lo * 1e6)) for o in range(80) for la, lo in [at[o % 3]]], "oid long, street string, num long, suffix string, unit string, city string, zip string, lat long, lon long")
+    points = spark.createDataFrame([(p, *at[p % 4]) for p in range(40)] + [(1, *at[1]), (90, None, -89.0)], "point_id long, lat double, lon double")
+    got = address.nearest_address(points, index).collect()
+    by_place = {k: min((f"S{o % 3}", o % 7, o) for o in range(80) if o % 3 == k)[2] for k in range(3)}
+    assert sorted((r.point_id, r.oid, r.distance) for r in got) == [(p, by_place[p % 4], 0.0) for p in range(40) if p % 4 < 3]
+    plan = address.nearest_address(points, index)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.splitlines()[next(i for i, x in enumerate(plan.splitlines()) if "Join Inner" in x and "(r#" in x) :]
+    assert sum("Aggregate" in x for x in below) == 2
