@@ -552,3 +552,28 @@ def test_nearest_address_by_distinct_places(spark):
     plan = address.nearest_address(points, index)._jdf.queryExecution().optimizedPlan().toString()
     below = plan.splitlines()[next(i for i, x in enumerate(plan.splitlines()) if "Join Inner" in x and "(r#" in x) :]
     assert sum("Aggregate" in x for x in below) == 2
+
+
+def test_place_search_by_cells(spark, monkeypatch):
+    """Anchors look at the points around them only; the nearest places equal brute force, near and far, without points and at poles."""
+    rng = random.Random(5)
+    at = [(round(rng.gauss(40, s), 4), round(rng.gauss(-89, s), 4)) for s in (0.002, 0.05, 20) for _ in range(80)] + [(40.0, -89.0)] * 30 + [(89.9, 3.0), (-89.5, 170.0), (None, -89.0), (700.0, 1.0)]
+    places = [(i, f"{rng.choice('abc')} Park {i % 50}", la, lo) for i, (la, lo) in enumerate(at)]
+    asked = [(i, ("park", "b park", "c PARK 1")[i % 3], la, lo) for i, (la, lo) in enumerate(at[::4] + [(None, 0.0), (89.99, 0.0), (0.0, 0.0), (600.0, 0.0)])]
+    met = []
+    monkeypatch.setattr(address, "_in_reach", lambda *x, f=getattr(address, "_in_reach", None): met.append(f(*x)) or met[-1])
+    got = {}
+    for r in address.nearest_places(spark.createDataFrame(asked, "query int, words string, lat double, lon double"), spark.createDataFrame(places, "place_ord int, label string, lat double, lon double"), 5).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.label)
+
+    def far(q, p):
+        if None in (*q, *p):
+            return -1.0
+        dx = (p[1] - q[1]) * math.cos(math.radians(q[0]))
+        return round((p[0] - q[0]) ** 2 + dx * dx, 12)
+
+    for i, words, *q in asked:
+        fits = [p for p in places if all(w in p[1].lower() for w in words.lower().split())]
+        assert got.get(i, []) == [x[1] for x in sorted((far(q, p[2:]), p[1], p[0]) for p in fits)[:5]]
+    sound = met[0].where("abs(q_lat - 40) < 0.01 and set = 0")
+    assert 0 < sound.count() < sound.select("q_lat", "q_lon").distinct().count() * len(set(at)) / 2
