@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fellpath.functions import geo, text
 from fellpath.operators import address, advisories, changes, closures, graph, history, instructions, network, records, rules, sequence
 from fellpath.sources import formats, tiles
+from fellpath.plans import projection
 from fellpath.streaming import deviation
 
 NORTH = 1 / 111_195
@@ -229,6 +230,24 @@ def test_hazards_at_any_latitude(spark, latitude):
     assert shrink > 0 and {(r.feature_ord, r.hazard_id) for r in rules.hazard_events(legs, hazards).collect()} == {(k, k) for k in range(20)}
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_hazards_do_not_shuffle_legs_by_cell(spark, monkeypatch, adaptive):
+    """Whatever the planner learns on the way, legs move only where the views put them in order, and all pairs are found."""
+    monkeypatch.setattr(rules, "HAZARD_CELL", 2)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        legs = projection.view(spark, "/root/testdata/sf0.001", "legs")
+        hazards = spark.createDataFrame([(k, 40.4 + k % 7 * 0.0031, -89.2 + k * 0.0017, 30.0 + k, 1.0) for k in range(40)], "hazard_id int, h_lat double, h_lon double, radius double, penalty double")
+        found = rules.hazard_events(legs, hazards)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert " Exchange hashpartitioning(row" not in plan and plan.count(" Exchange ") <= legs._jdf.queryExecution().executedPlan().toString().count(" Exchange ")
+        near = geo.project_to_segment("h_lat", "h_lon", "a_lat", "a_lon", "b_lat", "b_lon")["distance"] <= F.col("radius")
+        want = {tuple(r) for r in legs.crossJoin(hazards).where(near).select("feature_ord", "hazard_id").distinct().collect()}
+        assert {(r.feature_ord, r.hazard_id) for r in found.collect()} == want and want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_hazards(spark):
     legs = network.pair_legs(polylines(spark, {1: [(0, -200), (0, 200)], 2: [(0, 0), (0, 300)], 3: [(500, 0), (500, 9)]}).withColumn("node_id", F.col("vertex_ord")))
     hazards = spark.createDataFrame([(1, 40.0, -89.0, 55.0, 100.0), (2, 40.0, -89.0, 0.0, 9.0)], "hazard_id int, h_lat double, h_lon double, radius double, penalty double")
