@@ -163,8 +163,7 @@ def leg_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT feature_ord, count(*) AS n_legs, round(sum(meters * s), 3) AS meters, round(arg_max(a_lat + (b_lat - a_lat) * s, leg_ord), 7) AS end_lat FROM (SELECT *, least(1, (whole * 0.4::DOUBLE - starts_at) / meters) AS s FROM placed WHERE starts_at < whole * 0.4::DOUBLE) GROUP BY feature_ord""")
 def ridden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four tenths of each feature."""
-    legs = measured_legs(spark, sf_dir).withColumn("whole", sequence.whole(F.col("meters"), sequence.along("feature_ord", "leg_ord")))
-    out = sequence.ridden(legs, F.col("whole") * 0.4)
+    out = sequence.ridden_share(measured_legs(spark, sf_dir), 0.4)
     return out.groupBy("feature_ord").agg(F.count("*").alias("n_legs"), F.round(F.sum("meters"), 3).alias("meters"), F.round(F.max_by("b_lat", "leg_ord"), 7).alias("end_lat"))
 
 

@@ -230,6 +230,24 @@ def test_hazards_at_any_latitude(spark, latitude):
     assert shrink > 0 and {(r.feature_ord, r.hazard_id) for r in rules.hazard_events(legs, hazards).collect()} == {(k, k) for k in range(20)}
 
 
+def test_share_that_ends_where_a_leg_begins(spark):
+    """Five equal legs have their third begin at four tenths: the last bits decide, those of the C library."""
+    lats = [40.4 + byy * 0.001 for byy in range(-8, 68)]
+    rows = [(k, leg, lat, -89.2 + bx * 0.001, lat, -89.2 + (bx + 1) * 0.001) for k, lat in enumerate(lats) for leg, bx in enumerate((7, 8, 7, 8, 7))]
+    rows = [(k, leg, a, min(b, d), c, max(b, d)) for k, leg, a, b, c, d in rows]
+    legs = network.with_length(spark.createDataFrame(rows, "feature_ord long, leg_ord long, a_lat double, a_lon double, b_lat double, b_lon double"))
+    want = {}
+    for k, leg, *ends in rows:
+        lat1, lon1, lat2, lon2 = map(math.radians, ends)
+        h = math.pow(math.sin((lat2 - lat1) / 2), 2) + math.cos(lat1) * math.cos(lat2) * math.pow(math.sin((lon2 - lon1) / 2), 2)
+        want.setdefault(k, []).append(12742017.6 * math.atan2(math.sqrt(h), math.sqrt(1 - h)))
+    got = {r.feature_ord: r.n for r in sequence.ridden_share(legs, 0.4).groupBy("feature_ord").agg(F.count("*").alias("n")).collect()}
+    # Summed leg by leg, as both engines do; ``sum`` of Python corrects the last bits.
+    before = {k: [float(x) for x in np.concatenate([[0.0], np.cumsum(m)])] for k, m in want.items()}
+    assert got == {k: sum(s < x[-1] * 0.4 for s in x[:-1]) for k, x in before.items()}
+    assert set(got.values()) == {2, 3}
+
+
 @pytest.mark.parametrize("adaptive", ["true", "false"])
 def test_hazards_do_not_shuffle_legs_by_cell(spark, monkeypatch, adaptive):
     """Whatever the planner learns on the way, legs move only where the views put them in order, and all pairs are found."""
