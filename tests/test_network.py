@@ -230,6 +230,27 @@ def test_hazards_at_any_latitude(spark, latitude):
     assert shrink > 0 and {(r.feature_ord, r.hazard_id) for r in rules.hazard_events(legs, hazards).collect()} == {(k, k) for k in range(20)}
 
 
+def test_connectors_hold_nodes_of_a_place_together(spark, monkeypatch):
+    """Nodes of one place and edges of one line meet as arrays, of any size; the pairs are those of every node by itself."""
+    legs = projection.view(spark, "/root/testdata/sf0.001", "legs").where("feature_ord < 60")
+    legs = network.with_length(legs).select((F.col("feature_ord") * 100 + F.col("leg_ord")).alias("edge"), *network.SEGMENT, "meters", F.col("a_id").alias("from_node"), F.col("b_id").alias("to_node"))
+    ends = legs.select(F.col("from_node").alias("node"), F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).union(legs.select("to_node", "b_lat", "b_lon")).distinct()
+    tips = ends.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))).select((F.col("node") * -10 - F.col("k")).alias("node"), F.col("lat") + 0.0001, F.col("lon") + 0.0003).toDF("node", "lat", "lon")
+    tips = tips.union(ends.limit(5))
+    whole = legs.withColumns({"leg": F.lit(1), "starts_at": F.lit(0.0), "whole": F.col("meters")})
+    columns = ["node", "edge", "end_node", "toward_end", F.round("meters", 3)]
+    want = sorted(tuple(r) for r in graph.connectors(tips.union(ends), whole, 15.0).join(tips, "node", "left_semi").select(*columns).collect())
+    assert want and len(want) == len(set(want))
+    edges, lines = graph.leg_edges(legs)
+    for size in (2, 4_096):
+        monkeypatch.setattr(graph, "PLACE_NODES", size)
+        got = graph.connected(tips.union(tips), edges, 15.0, lines=lines, ends=ends, digits=3)
+        assert sorted(tuple(r) for r in got.select(*columns).collect()) == want
+    # What is shuffled grows with nodes and edges, not with their pairs: these come last.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(ways") < plan.index("Generate explode(nodes") < plan.index("Join Inner")
+
+
 def test_share_that_ends_where_a_leg_begins(spark):
     """Five equal legs have their third begin at four tenths: the last bits decide, those of the C library."""
     lats = [40.4 + byy * 0.001 for byy in range(-8, 68)]
