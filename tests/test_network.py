@@ -230,6 +230,37 @@ def test_hazards_at_any_latitude(spark, latitude):
     assert shrink > 0 and {(r.feature_ord, r.hazard_id) for r in rules.hazard_events(legs, hazards).collect()} == {(k, k) for k in range(20)}
 
 
+def test_small_networks_are_searched_without_rounds(spark, monkeypatch):
+    """Components of a small graph are one task, those of a large one rounds, with the same result."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(7, 7), (3, None), (None, 4)] + [(1000 + k, 1001 + k) for k in range(60)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    rounds = []
+    monkeypatch.setattr(network, "connected_components", lambda *a, f=network.connected_components: rounds.append(a) or f(*a))
+    small = sorted(tuple(r) for r in network.components(edges).collect())
+    assert small and not rounds
+    monkeypatch.setattr(network, "TASK_EDGES", 10)
+    assert sorted(tuple(r) for r in network.components(edges).collect()) == small and len(rounds) == 1
+    assert network.components(edges.limit(0)).count() == 0
+
+
+def test_projection_in_steps(spark):
+    """Step by step the projection is bit for bit that of the one expression, also on segments without length and nulls."""
+    rng = random.Random(3)
+    rows = [tuple(40 + rng.uniform(-0.02, 0.02) if k % 2 == 0 else -89 + rng.uniform(-0.02, 0.02) for k in range(6)) for _ in range(300)]
+    rows += [(40.0, -89.0, 40.1, -89.1, 40.1, -89.1), (40.0, -89.0, 40.0, -89.0, 40.0, -89.0), (None, -89.0, 40.1, -89.1, 40.1, -89.2)]
+    points = spark.createDataFrame(rows, "lat double, lon double, a_lat double, a_lon double, b_lat double, b_lon double")
+    both = geo.with_projection(points).withColumn("q", geo.project_to_segment("lat", "lon", *network.SEGMENT))
+    assert both.count() == 303 and both.where("not p <=> q").isEmpty()
+
+
+def test_pairs_in_reach_are_dealt_to_tasks(spark):
+    """However few bytes the segments are, more than one task projects places on them."""
+    legs = projection.view(spark, "/root/testdata/sf0.001", "legs")
+    found = network.places_in_reach(legs.limit(3).select(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")), legs, 4_000.0)
+    assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
 def test_connectors_hold_nodes_of_a_place_together(spark, monkeypatch):
     """Nodes of one place and edges of one line meet as arrays, of any size; the pairs are those of every node by itself."""
     legs = projection.view(spark, "/root/testdata/sf0.001", "legs").where("feature_ord < 60")
